@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import struct
 import zlib
 from collections import defaultdict
 
@@ -134,8 +133,8 @@ class Plan:
 
 
 @functools.lru_cache(maxsize=4)
-def _encoder(path: str) -> pretoken.PreTokens:
-    return pretoken.PreTokens(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids), limit=600_000)
+def _encoder(path: str) -> pretoken.Texts:
+    return pretoken.Texts(path)
 
 
 def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -168,7 +167,6 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = 2048, end_id:
     spark = documents.sparkSession
     if window & (window - 1) or window > 1 << 16:
         raise ValueError("window must be a power of two")
-    end = struct.pack("<I", end_id)
 
     def tokenize(batches):
         encoder, part = _encoder(tokenizer_path), TaskContext.get().partitionId()
@@ -176,14 +174,13 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = 2048, end_id:
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = b"".join(encoder.each(text)) + end
-                total = len(ids) // 4
+                ids = np.array([*encoder.ids(text), end_id], dtype="<u4")
+                total = len(ids)
                 for start in range(0, total, window):
-                    own = ids[4 * start : 4 * (start + window)]
-                    n = len(own) // 4
-                    small = np.frombuffer(own, "<u4")
-                    kept = None if n == window else (b"\2" + small.astype("<u2").tobytes() if small.max() < 1 << 16 else b"\4" + own)
-                    rows.append((doc, start, n, zlib.crc32(own), total, part, seen[n], kept))
+                    own = ids[start : start + window]
+                    n = len(own)
+                    kept = None if n == window else (own.astype("<u2") if own.max() < 1 << 16 else own).tobytes()
+                    rows.append((doc, start, n, zlib.crc32(own.tobytes()), total, part, seen[n], kept))
                     seen[n] += 1
             yield _arrow(rows, _PIECES)
 
@@ -192,7 +189,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = 2048, end_id:
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = Plan(lengths, window)
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
-    ranked = pieces.join(before, ["length", "part"]).select(
+    ranked = pieces.join(before.hint("merge"), ["length", "part"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("ord")).alias("rank"), "ids"
     )
 
@@ -204,7 +201,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = 2048, end_id:
                 if len(parts) == 1:
                     rows.append((doc, start, length, crc, total, *parts[0][1:]))
                     continue
-                ids, at = np.frombuffer(kept, "<u2" if kept[0] == 2 else "<u4", offset=1).astype("<u4"), 0
+                ids, at = np.frombuffer(kept, "<u2" if len(kept) == 2 * length else "<u4").astype("<u4"), 0
                 for n, sequence, offset in parts:
                     rows.append((doc, start + at, n, zlib.crc32(ids[at : at + n].tobytes()), total, sequence, offset))
                     at += n

@@ -12,14 +12,14 @@ from ._common import map_arrow, slices, texts
 
 
 @functools.lru_cache(maxsize=4)
-def _counter(path: str) -> pretoken.PreTokens:
-    return pretoken.PreTokens(path, len)
+def _counter(path: str) -> pretoken.Counter:
+    return pretoken.Counter(path)
 
 
 def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
     """Tokens of every whole text as the tokenizer's library counts them.
 
-    Pre-tokens that are proven to encode alone as one token count one; the others are merged by the library once and
+    Pre-tokens that are proven to encode alone as one token count one; the others are merged once and
     remembered (a bounded table for each Python worker). Texts with a special string or with code points on which
     Unicode versions differ are encoded whole by the library. No shuffle; memory is that of a slice of one batch.
 
@@ -34,7 +34,7 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = 1024) -
             n_bytes, n_tokens = [], []
             for text in batch.column("text").to_pylist():
                 n_bytes.append(len(text.encode()))
-                n_tokens.append(sum(counter.each(text)))
+                n_tokens.append(counter.count(text))
             over = [n > limit for n in n_tokens]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(over, pa.bool_())],
