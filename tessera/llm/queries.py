@@ -31,6 +31,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(repeated_spans(read(spark, sf_dir, "documents")))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_documents
+
+    return similar_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -58,6 +64,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op8_pii": op8_pii,
     "op7_packing": op7_packing,
