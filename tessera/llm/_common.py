@@ -60,6 +60,20 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
+def may_hold(rows: DataFrame, column: str, members: DataFrame, member: str, bits: int = 1 << 21) -> DataFrame:
+    """Those `rows` whose `column` may be in `members`: a hashed bitmap of fixed size (256 kB), tested before a join
+    shuffles rows. It lets through all that are in and some that are not; the join that follows decides."""
+    spark = rows.sparkSession
+    slot = lambda c: F.pmod(F.xxhash64(F.lit("slot"), c), F.lit(bits))
+    words = members.select(slot(F.col(member)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("v")).collect()
+    dense = [0] * (bits // 64)
+    for r in words:
+        dense[r["w"]] = r["v"]
+    held = spark.createDataFrame([(dense,)], "__bits array<long>")
+    at = slot(F.col(column))
+    return rows.join(F.broadcast(held), F.getbit(F.get("__bits", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("__bits")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

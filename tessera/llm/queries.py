@@ -25,6 +25,13 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import by_document, repeated_lines
+
+    documents = read(spark, sf_dir, "documents")
+    return by_document(documents, repeated_lines(documents))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import repeated_spans, span_digest
 
@@ -63,6 +70,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op6_quality_rules": op6_quality_rules,
