@@ -53,29 +53,33 @@ def repeated_words(words: list[list[bytes]], window: int = REPEAT_WINDOW) -> np.
     return np.bincount(owner[np.cumsum(edge)[:-1] > 0], minlength=len(words))
 
 
+def statistics(all_texts: list[str]) -> list[tuple]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, STATISTICS) of each text."""
+    raw = [t.encode() for t in all_texts]
+    words = [b.split() for b in raw]
+    rows = []
+    for t, b, ws, n_repeat in zip(all_texts, raw, words, repeated_words(words).tolist(), strict=True):
+        n = len(ws)
+        chars = len(t) - sum(map(t.count, ASCII_SPACE))
+        symbols = len(b) - len(b.translate(None, SYMBOLS))
+        lines = [x for x in t.split("\n") if x.strip(ASCII_SPACE)]
+        same = len(lines) - len(set(lines))
+        size = max(chars, 1)
+        x = [
+            math.log(max(chars, 1) / max(n, 1)),
+            symbols / size,
+            same / max(len(lines), 1),
+            n_repeat / max(n, 1),
+            (len(b) - len(b.translate(None, _CAPITALS))) / size,
+            (len(b) - len(b.translate(None, _MARKS))) / size,
+        ]
+        rows.append((n, chars, symbols, same, n_repeat, x))
+    return rows
+
+
 def _measure(batches):
     for batch in slices(batches):
-        all_texts = batch.column("text").to_pylist()
-        raw = [t.encode() for t in all_texts]
-        words = [b.split() for b in raw]
-        repeats = repeated_words(words)
-        rows = []
-        for t, b, ws, n_repeat in zip(all_texts, raw, words, repeats.tolist(), strict=True):
-            n = len(ws)
-            chars = len(t) - sum(map(t.count, ASCII_SPACE))
-            symbols = len(b) - len(b.translate(None, SYMBOLS))
-            lines = [x for x in t.split("\n") if x.strip(ASCII_SPACE)]
-            same = len(lines) - len(set(lines))
-            size = max(chars, 1)
-            x = [
-                math.log(max(chars, 1) / max(n, 1)),
-                symbols / size,
-                same / max(len(lines), 1),
-                n_repeat / max(n, 1),
-                (len(b) - len(b.translate(None, _CAPITALS))) / size,
-                (len(b) - len(b.translate(None, _MARKS))) / size,
-            ]
-            rows.append((n, chars, symbols, same, n_repeat, x))
+        rows = statistics(batch.column("text").to_pylist())
         columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_SCHEMA)[3:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("source"), *columns], schema=_SCHEMA)
 
