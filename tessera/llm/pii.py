@@ -69,10 +69,12 @@ def disclosing_terms(found: DataFrame, alpha: float, min_together: int) -> DataF
 
     An entity is a protected value. With p(.) estimated as shares of all documents, a term t discloses an entity e if
     their pointwise mutual information reaches `alpha` times the information content of e, that is
-    log p(e,t)/(p(e)p(t)) >= -alpha log p(e), which says p(e|t) >= p(e)^(1-alpha); and they share at least
-    `min_together` different texts, so that copies of one text disclose nothing by themselves. Terms are lower-cased words stripped of outer punctuation, of three characters or more.
+    log p(e,t)/(p(e)p(t)) >= -alpha log p(e), which says p(e|t) >= p(e)^(1-alpha); and they meet in at
+    least `min_together` texts where the term's neighbours differ, and differ in half of the texts they share, so that
+    near and exact copies of one text disclose nothing by themselves. Terms are lower-cased words stripped of outer punctuation, of three characters or more.
     """
-    words = lambda text: F.array_distinct(F.filter(F.transform(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: F.length(w) >= 3))
+    bare = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    words = lambda text: F.array_distinct(F.filter(F.transform(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), bare), lambda w: F.length(w) >= 3))
     with_base = found.filter(F.size("base") > 0)
     entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))
     entities = (
@@ -80,18 +82,18 @@ def disclosing_terms(found: DataFrame, alpha: float, min_together: int) -> DataF
         .groupBy("entity", "digest").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     )
     n_entity = entities.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("distinct")).filter(F.col("distinct") >= min_together)
+    in_order = F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), bare)
+    context = lambda w: lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.when(i > 0, F.get(w, i - 1)), F.get(w, i + 1)).alias("context"))
     pairs = (
-        entities.join(n_entity, "entity")
-        .select("entity", "n_e", "copies", F.explode(words(F.col("text"))).alias("term"))
-        .groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("distinct"))
-        .filter(F.col("distinct") >= min_together).drop("distinct")
+        entities.join(n_entity.drop("distinct"), "entity").withColumn("w", in_order)
+        .select("entity", "n_e", "copies", "digest", F.explode(F.filter(F.transform("w", context(F.col("w"))), lambda s: F.length(s["term"]) >= 3)).alias("s"))
+        .groupBy("entity", "n_e", "digest", "copies", "s.term").agg(F.min("s.context").alias("context"))
+        .groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("distinct"), F.count_distinct("context").alias("contexts"))
+        .filter((F.col("contexts") >= min_together) & (F.col("contexts") * 2 >= F.col("distinct"))).drop("distinct", "contexts")
     )
     pairs = table(pairs, "pairs")
-    terms = pairs.select("term").distinct()
-    n_term = (
-        found.select(F.explode(words(F.col("text"))).alias("term"))
-        .join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    )
+    # words are counted where they lie; what is shuffled is each task's distinct words (a semi-join would be moved below the count)
+    n_term = found.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term")
     total = found.agg(F.count("*").alias("total"))
     information = F.log(F.col("total") / F.col("n_e"))
     together = F.log(F.col("n_et") * F.col("total") / (F.col("n_e") * F.col("n_t")))
