@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from ._common import drop_table, may_hold, table
 
-_SPACE = r"[\x20\x09-\x0D]+"
+#: White space that needs tidying before words can be split at single spaces.
+_UNTIDY = r"(?md)[\x09\x0B-\x0D]|\x20\x20|^\x20|\x20$"
 
 
 def _lines(documents: DataFrame, min_words: int) -> DataFrame:
-    """(doc, line, w): the words of every line with at least `min_words` words, lower-cased."""
-    words = lambda x: F.filter(F.split(F.lower(x), _SPACE), lambda w: w != "")
+    """(doc, line, w): the 64-bit hashes of the lower-cased words of every line with at least `min_words` words."""
+    text = F.lower(F.col("text").cast("string"))
+    tidy = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r"(?md)^\x20|\x20$", "")
+    clean = F.when(text.rlike(_UNTIDY), tidy).otherwise(text)
     return (
-        documents.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "raw"))
-        .filter("doc is not null")
-        .select("doc", "line", words(F.col("raw")).alias("w"))
-        .filter(F.size("w") >= min_words)
+        documents.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(clean, "\n", -1)).alias("line", "raw"))
+        .filter("doc is not null and raw <> ''")
+        .filter(F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit(""))) + 1 >= min_words)
+        .select("doc", "line", F.transform(F.split("raw", " "), lambda w: F.xxhash64(w)).alias("w"))
     )
 
 
@@ -27,13 +30,13 @@ def _digest(w: Column) -> list[Column]:
 
 def _bound(n: Column, i: int, blocks: int) -> Column:
     """Where block i of a line of n words begins."""
-    return F.floor(n * i / blocks).cast("int")
+    return F.expr("0") if i == 0 else n if i == blocks else F.floor(n * i / blocks).cast("int")
 
 
-def _keys(w: Column, n: Column, blocks: int) -> Column:
-    """The line with each of its blocks deleted, as hashed keys.
+def _keys(w: Column, n: Column, blocks: int) -> list[tuple[Column, int, Column, Column]]:
+    """The line with each of its blocks deleted, as hashed keys: (key, less, first word of the block, its words).
 
-    The grid of blocks is that of a line of m words, m being this line's length ("own") or one less ("less"). In the
+    The grid of blocks is that of a line of m words, m being this line's length or, with `less` 1, one less. In the
     latter the deleted block is one word longer, so that a line and the same line with a word put in share the key.
     """
     def block(m: Column, i: int, shift: int) -> Column:
@@ -44,10 +47,9 @@ def _keys(w: Column, n: Column, blocks: int) -> Column:
         m = n - less
         left, right = [block(m, i, 0) for i in range(blocks)], [block(m, i, less) for i in range(blocks)]
         for i in range(blocks):
-            rest = left[:i] + right[i + 1 :]
-            cut = F.struct((_bound(m, i, blocks) + 1).alias("at"), (_bound(m, i + 1, blocks) - _bound(m, i, blocks) + less).alias("len"))
-            out.append(F.struct(F.xxhash64(F.lit(i), m, *rest).alias("key"), F.lit(less).alias("less"), cut.alias("cut")))
-    return F.filter(F.array(*out), lambda k: k["cut"]["len"] > 0)
+            key = F.xxhash64(F.lit(i), m, *left[:i], *right[i + 1 :])
+            out.append((key, less, _bound(m, i, blocks) + 1, _bound(m, i + 1, blocks) - _bound(m, i, blocks) + less))
+    return out
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -69,7 +71,8 @@ def _near(documents: DataFrame, distinct: DataFrame, min_words: int, blocks: int
     # of rows that share a doc_id, the line whose digests were grouped
     held = table(words.filter((F.xxhash64("w") == F.col("d0")) & (F.xxhash64(F.lit("second"), "w") == F.col("d1"))).dropDuplicates(["d0", "d1"]), "held")
     drop_table(wanted)
-    keys = F.filter(_keys(F.col("w"), F.size("w"), blocks), lambda k: F.array_contains("open", k["key"]))
+    named = [F.struct(key.alias("key"), F.lit(less).alias("less"), F.struct(at.alias("at"), size.alias("len")).alias("cut")) for key, less, at, size in _keys(F.col("w"), F.size("w"), blocks)]
+    keys = F.filter(F.array(*named), lambda k: F.array_contains("open", k["key"]))
     each = held.select("d0", "d1", F.struct("doc", "line").alias("place"), "w", F.explode(keys).alias("k")).select("d0", "d1", "place", "w", "k.*")
     inner = F.slice("w", F.col("cut.at"), F.col("cut.len"))
     without = F.transform(F.sequence(F.lit(1), F.size(inner)), lambda i: F.struct(i.alias("i"), F.concat(F.slice(inner, F.lit(1), i - 1), F.slice(inner, i + 1, F.size(inner))).alias("rest")))
@@ -91,13 +94,13 @@ def _near(documents: DataFrame, distinct: DataFrame, min_words: int, blocks: int
 def repeated_lines(documents: DataFrame, min_words: int = 5, max_edits: int = 1, blocks: int = 3) -> DataFrame:
     """Lines that repeat an earlier line of the corpus up to `max_edits` (0 or 1) words put in, left out or changed.
 
-    Lines are compared by their lower-cased words; lines of fewer than `min_words` words are left alone. Equal lines
+    Lines are compared by their lower-cased words (by 64-bit hashes of them); lines of fewer than `min_words` words are left alone. Equal lines
     are grouped by 128-bit digests first, each group with its earliest place (doc_id, line). Distinct lines then go
     through the deletion neighbourhood in two steps. First each emits its variants with one of `blocks` blocks of
-    words deleted, as hashed keys; a line within one edit of another shares the key of the block that holds the edit
-    (for lines of at most `blocks` words these are all one-word deletions). Only under keys with two different lines
+    words deleted, as hashed keys; a line within one edit of another shares the key of the block that holds the edit.
+    Only under keys with two different lines
     are the block's own one-word deletions emitted, again as hashed keys, under which all lines are one edit apart.
-    The edit distance of each line to the earliest line found this way is verified on the words. A line is repeated
+    The edit distance of each line to the earliest line found this way is verified word by word. A line is repeated
     if a line within the bound stands earlier, whether or not that one is itself repeated.
 
     Keys are only ever grouped by sums and minima, so a key under which a third of all lines fall is one row a task;
@@ -109,8 +112,10 @@ def repeated_lines(documents: DataFrame, min_words: int = 5, max_edits: int = 1,
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
+    if min_words <= blocks:
+        raise ValueError("a line of min_words words must have more words than blocks")
     place = F.struct("doc", "line")
-    hashed = F.transform(_keys(F.col("w"), F.size("w"), blocks), lambda k: k["key"]) if max_edits else F.array().cast("array<long>")
+    hashed = F.array(*[k[0] for k in _keys(F.col("w"), F.size("w"), blocks)]) if max_edits else F.array().cast("array<long>")
     lines = table(_lines(documents, min_words).select("doc", "line", *_digest(F.col("w")), hashed.alias("keys")), "lines")
     distinct = table(lines.groupBy("d0", "d1").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys")), "distinct")
     exact = distinct.filter("n > 1").select("d0", "d1", F.col("place").alias("first"))
