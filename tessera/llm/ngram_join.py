@@ -7,16 +7,23 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, slices, table, texts
+from ._common import map_arrow, may_hold, slices, table, texts
 from .components import components
 
 SKETCH_BITS, SLICE_BITS = 20, 14
-BITMAP_WORDS = 16
+BITMAP_WORDS, LARGE_WORDS, LARGE_SET = 16, 128, 1000
 _U = np.uint64
-_words: dict[bytes, int] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Two odd multipliers (5 modulo 8), for two independent polynomial hashes of a word's bytes.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4D)
+_VALUES = [np.random.default_rng((7, i)).integers(1, 1 << 64, 256, dtype=np.uint64) for i in range(2)]
+for _v in _VALUES:
+    _v[65:91] = _v[97:123]  # A-Z as a-z
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -25,30 +32,57 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+def _power_table(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse modulo 2^64."""
+    have = _powers.get(base)
+    if have is None or len(have[0]) < size:
+        size = max(size, 1 << 20)
+        tables = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            t = np.full(size, b, dtype=np.uint64)
+            t[0] = 1
+            tables.append(np.cumprod(t))
+        _powers[base] = have = (tables[0], tables[1])
+    return have
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of `raw` begins, and its 64-bit hash, of the lower-cased (A-Z) word.
+
+    A word's two polynomial hashes are differences of running sums over the bytes, so no word is touched one by one.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    out = np.zeros(len(begin), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for base, values in zip(_BASES, _VALUES, strict=True):
+            power, inverse = _power_table(base, len(data) + 1)
+            run = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(values[data] * power[: len(data)], out=run[1:])
+            out = _mix(out + (run[end] - run[begin]) * inverse[begin])
+    return begin, out
+
+
 def shingle_sets(all_texts: list[str], k: int = 5) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's k-word shingles (the whole sequence of a shorter text)."""
-    if len(_words) > 1_000_000:
-        _words.clear()
-    words = [t.encode().lower().split() for t in all_texts]
-    missing = {w for ws in words for w in ws}.difference(_words)
-    _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in missing)
-    sizes = np.array([len(ws) for ws in words])
-    total = int(sizes.sum())
-    flat = np.fromiter((x for ws in words for x in map(_words.__getitem__, ws)), dtype=np.uint64, count=total)
-    ends = np.cumsum(sizes)
+    raw = [t.encode() for t in all_texts]
+    begin, flat = word_hashes(b"\n".join(raw))
+    bounds = np.searchsorted(begin, np.cumsum([0, *[len(b) + 1 for b in raw]])).tolist()
     out: list[np.ndarray] = []
     with np.errstate(over="ignore"):
-        h = np.zeros(max(total - k + 1, 0), dtype=np.uint64)
+        h = np.zeros(max(len(flat) - k + 1, 0), dtype=np.uint64)
         for i in range(k if len(h) else 0):
-            h = h * _U(0x9E3779B97F4A7C15) + flat[i : i + len(h)]
+            h = h * _U(_BASES[0]) + flat[i : i + len(h)]
         h = _mix(h)
-        for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            n = b - a
             if n >= k:
-                out.append(np.unique(h[end - n : end - k + 1]))
+                out.append(np.unique(h[a : b - k + 1]))
             elif n:
                 one = np.zeros(1, dtype=np.uint64)
-                for w in flat[end - n : end]:
-                    one = one * _U(0x9E3779B97F4A7C15) + w
+                for w in flat[a:b]:
+                    one = one * _U(_BASES[0]) + w
                 out.append(_mix(one + _U(n)))
             else:
                 out.append(np.empty(0, dtype=np.uint64))
@@ -59,9 +93,9 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def bitmap(shingles: np.ndarray) -> list[int]:
-    """Parity of the shingles in each of 1024 hashed bits: two sets differ in at least as many shingles as bits."""
-    bits = np.bincount((shingles >> _U(20)).astype(np.int64) & (64 * BITMAP_WORDS - 1), minlength=64 * BITMAP_WORDS) & 1
+def bitmap(shingles: np.ndarray, words: int = BITMAP_WORDS) -> list[int]:
+    """Parity of the shingles in each of 64 * words hashed bits: two sets differ in at least as many shingles as bits."""
+    bits = np.bincount((shingles >> _U(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -89,19 +123,19 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 def _measure(k: int):
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["doc_id", "n", "v", "slice", "counts"]
-        for batch in slices(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "v", "bits", "large", "slice", "counts"]
+        for batch in slices(batches, chars=1_000_000):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
             every = np.concatenate(sets)
             sketch += np.bincount((every >> _U(40)).astype(np.int64) & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32) if len(every) else np.uint32(0)
             n = len(sets)
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], kinds[1]), pa.array([set_id(s) if len(s) else None for s in sets], kinds[2]), pa.nulls(n, kinds[3]), pa.nulls(n, kinds[4])]
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], kinds[1]), pa.array([set_id(s) if len(s) else None for s in sets], kinds[2]), pa.array([bitmap(s) if len(s) else None for s in sets], kinds[3]), pa.array([bitmap(s, LARGE_WORDS) if len(s) >= LARGE_SET else None for s in sets], kinds[4]), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         if sketch.any():
             parts = sketch.reshape(-1, 1 << SLICE_BITS)
             packed = [zlib.compress(p.tobytes(), 1) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(packed), kinds[0]), pa.nulls(len(packed), kinds[1]), pa.nulls(len(packed), kinds[2]), pa.array(range(len(packed)), kinds[3]), pa.array(packed, kinds[4])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(packed), t) for t in kinds[:5]), pa.array(range(len(packed)), kinds[5]), pa.array(packed, kinds[6])], names=names)
 
     return run
 
@@ -153,13 +187,31 @@ def _tiles(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that are similar: the bitmaps bound the overlap from above, then sorted arrays are
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose overlap may suffice, bounded from above by the bits in which their bitmaps differ; with
+    the least share of shingles in which they differ."""
+    slim = [classes.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"), F.col("large").alias(f"large_{c}")) for c in "ab"]
+    count = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    differ = F.coalesce(count("large_a", "large_b"), count("bits_a", "bits_b"))
+    most = F.least(F.floor((F.col("n_a") + F.col("n_b") - F.col("differ")) / 2), "n_a", "n_b")
+    joined = pairs.join(slim[0], "a").join(slim[1], "b").withColumn("differ", differ)
+    return joined.filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).withColumn("share", F.col("differ") / (F.col("n_a") + F.col("n_b"))).select(*pairs.columns, "share")
+
+
+def _verified(base: DataFrame, near: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of sets that are similar: the texts are fetched, one for each set, and sorted arrays
     intersected."""
-    slim = [sets.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    most = F.least(F.floor((F.col("n_a") + F.col("n_b") - differ) / 2), "n_a", "n_b")
-    near = pairs.join(slim[0], "a").join(slim[1], "b").filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct()
+    ends = near.select(F.col("a").alias("v")).union(near.select("b")).distinct()
+    wanted = table(classes.join(ends, "v").select(F.col("least").alias("doc_id"), "v"), "wanted")
+
+    def fetch(batches):
+        for batch in slices(batches, chars=1_000_000):
+            own = shingle_sets(batch.column("text").to_pylist(), k)
+            keep = [len(s) > 0 and set_id(s) == v for s, v in zip(own, batch.column("v").to_pylist(), strict=True)]
+            ids = batch.column("v").filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s, x in zip(own, keep, strict=True) if x], pa.binary())], names=["v", "shingles"])
+
+    sets = table(map_arrow(may_hold(base, "doc_id", wanted, "doc_id").join(wanted, "doc_id"), fetch, "v long, shingles binary"), "sets").dropDuplicates(["v"])
     full = [sets.select(F.col("v").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab"]
 
     def run(batches):
@@ -170,7 +222,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(near.join(full[0], "a").join(full[1], "b").select("a", "b", "s_a", "s_b"), run, "a long, b long")
+    return table(map_arrow(near.join(full[0], "a").join(full[1], "b").select("a", "b", "s_a", "s_b"), run, "a long, b long"), "similar")
 
 
 def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -181,11 +233,11 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
     count sketch of fixed size, added up over all documents, gives each its commonness level. Two similar sets must
     share a shingle of their prefixes in this order and lie in one tile, a size band of that shingle's postings. In
     the first round a set is paired with the tile-mate it meets most often as a tile's smallest; in the second, all
-    pairs of a tile not yet connected are taken. So a group of near copies is not expanded, and no link between
+    pairs of a tile not yet connected are taken, the likeliest of two groups first. So a group of near copies is not expanded, and no link between
     groups is lost. Parity bitmaps bound each pair's overlap from above before the sorted arrays are intersected.
 
-    Postings are sorted by the shuffle and read as a stream that holds two sets of the open tile; sets are fetched
-    only for documents in tiles. What reaches the driver is the sketch's level for each of 2^20 cells.
+    Postings are sorted by the shuffle and read as a stream that holds two sets of the open tile; texts are fetched
+    a second time only for pairs that the bitmaps let through. What reaches the driver is the sketch's level for each of 2^20 cells.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included): one row for each
     input row. Texts without words, null texts and rows with a null id are linked with nothing. Rows that repeat a
@@ -193,14 +245,14 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
     result.
     """
     base = texts(documents)
-    measured = table(map_arrow(base, _measure(k), "doc_id long, n long, v long, slice int, counts binary"), "measured")
+    measured = table(map_arrow(base, _measure(k), "doc_id long, n long, v long, bits array<long>, large array<long>, slice int, counts binary"), "measured")
     parts = measured.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_up, "slice int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in sorted(parts, key=lambda r: r["slice"])]) if parts else np.zeros(1 << SKETCH_BITS)
     packed = zlib.compress(_levels(counts).tobytes())
 
     def post(batches):
         levels, seen = np.frombuffer(zlib.decompress(packed), np.uint8), set()
-        for batch in slices(batches):
+        for batch in slices(batches, chars=1_000_000):
             tokens, ids, sizes = [], [], []
             for doc, own in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), k), strict=True):
                 if doc is None or not len(own) or (v := set_id(own)) in seen:
@@ -216,33 +268,34 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
     postings = map_arrow(base, post, "token long, v long, n long").withColumn("n", F.col("n").cast("int"))
     order = postings.repartition("token").sortWithinPartitions("token", "n", "v")
     tiles = table(map_arrow(order, _tiles(percent), "token long, v long, n long, first long"), "tiles")
-    docs = measured.filter("slice is null").drop("slice", "counts")
-    named = docs.filter("v is not null and doc_id is not null")
-    classes = table(named.groupBy("v").agg(F.min("doc_id").alias("least")), "classes")
-    wanted = classes.join(tiles.select("v").distinct(), "v", "left_semi").select(F.col("least").alias("doc_id"))
-
-    def fetch(batches):
-        for batch in slices(batches):
-            own = [s for s in shingle_sets(batch.column("text").to_pylist(), k) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(map(set_id, own)), pa.int64()), pa.array(list(map(len, own)), pa.int64()), pa.array(list(map(bitmap, own)), pa.list_(pa.int64())), pa.array([s.tobytes() for s in own], pa.binary())],
-                names=["v", "n", "bits", "shingles"],
-            )
-
-    sets = table(map_arrow(base.join(wanted, "doc_id", "left_semi"), fetch, "v long, n long, bits array<long>, shingles binary"), "sets")
-    met = tiles.filter("v <> first").groupBy("v", "first").agg(F.count("*").alias("times"))
-    pairs = table(met.groupBy("v").agg(F.max(F.struct("times", "first")).alias("best")).select(F.least("v", "best.first").alias("a"), F.greatest("v", "best.first").alias("b")).distinct(), "pairs")
-    links = table(_verified(pairs, sets, percent), "links")
-    label = components(links).select(F.col("id").alias("v"), F.col("component").alias("label"))
-    labelled = table(tiles.join(label, "v", "left").withColumn("label", F.coalesce("label", "v")), "labelled")
+    docs = measured.filter("slice is null").select("doc_id", "n", "v")
+    named = measured.filter("v is not null and doc_id is not null")
+    classes = table(named.groupBy("v").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("large").alias("large")), "classes")
+    often = tiles.filter("v <> first").groupBy("v", "first").agg(F.count("*").alias("times"))
+    pairs = table(often.groupBy("v").agg(F.max(F.struct("times", "first")).alias("best")).select(F.least("v", "best.first").alias("a"), F.greatest("v", "best.first").alias("b")).distinct(), "pairs")
+    links = _verified(base, table(_possible(pairs, classes, percent).select("a", "b"), "near"), classes, k, percent)
+    label = table(components(links), "label").select(F.col("id").alias("v"), F.col("component").alias("label"))
+    labelled = table(tiles.join(label, "v", "left").select("token", "v", "n", F.coalesce("label", "v").alias("label")), "labelled")
     open_tokens = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     left = table(labelled.join(open_tokens, "token", "left_semi").select("token", "v", "n", "label"), "open")
-    x, y = left.select("token", F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a")), left.select("token", F.col("v").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-    more = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
-    rest = table(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    every = links.unionByName(_verified(rest, sets, percent))
-    label = components(every).select(F.col("id").alias("v"), F.col("component").alias("label"))
-    grouped = classes.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    x, y = (left.select("token", F.col("v").alias(c), F.col("n").alias(f"m_{c}"), F.col("label").alias(f"l_{c}")) for c in "ab")
+    met = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & (100 * F.col("m_a") >= percent * F.col("m_b")) & (100 * F.col("m_b") >= percent * F.col("m_a")))
+    met = met.select("a", "b", "l_a", "l_b").distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = table(_possible(met, classes, percent), "rest")
+    # the likeliest pairs of two groups first: once they are linked, their other pairs need no sets
+    for most in (2, 16, None):
+        if rest.isEmpty():
+            break
+        groups = Window.partitionBy(F.least("l_a", "l_b"), F.greatest("l_a", "l_b")).orderBy("share", "a", "b")
+        now = rest.withColumn("turn", F.row_number().over(groups)).filter(F.col("turn") <= most) if most else rest
+        now = table(now.select("a", "b"), "now")
+        links = table(links.unionByName(_verified(base, now, classes, k, percent)), "links")
+        label = table(components(links), "label").select(F.col("id").alias("v"), F.col("component").alias("label"))
+        if most:
+            ends = [label.select(F.col("v").alias(c), F.col("label").alias(f"new_{c}")) for c in "ab"]
+            after = rest.join(now, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+            rest = table(after.select("a", "b", F.coalesce("new_a", "a").alias("l_a"), F.coalesce("new_b", "b").alias("l_b"), "share").filter("l_a <> l_b"), "rest")
+    grouped = classes.select("v", "least").join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = grouped.join(least, "label").select("v", "component_id")
     return docs.join(of_class, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, slices, table, texts
+from .logistic import fit_logistic
 from .quality_rules import statistics
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -39,22 +40,6 @@ def _style(all_texts: list[str]) -> list[list[int]]:
 N_STYLE = sum(map(len, STEPS.values())) + len(LENGTHS)
 
 
-def fit_logistic(rows: list[tuple[list[int], bool]], width: int, ridge: float = 2.0, rounds: int = 12) -> np.ndarray:
-    """Weights of a ridge logistic regression on yes-or-no features, the last being the intercept (Newton's method)."""
-    x = np.zeros((len(rows), width + 1))
-    x[:, -1] = 1
-    for i, (features, _) in enumerate(rows):
-        x[i, features] = 1
-    y = np.array([r[1] for r in rows], dtype=float)
-    w, penalty = np.zeros(width + 1), np.full(width + 1, ridge)
-    penalty[-1] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -4, 4)
-    return w
-
-
 def _sample(documents: DataFrame, labels: DataFrame, good: Column, bound: int) -> DataFrame:
     """doc_id, text, good of at most `bound` labelled documents, those with the least hashes of their ids."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), good.alias("good")).filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))

@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._common import read
 
 
+#: Target shares of expected tokens.
+MIXTURE = {"high": 0.9, "low": 0.07, "toxic": 0.03}
+
+
 def tokenizer_path(name: str) -> str:
     """Where a vocabulary file lies: under $TESSERA_TOKENIZERS, or in the installed collection."""
     folder = os.environ.get("TESSERA_TOKENIZERS")
@@ -74,6 +79,15 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, tokens, the domain posteriors by name, and the rate to six decimals."""
+    from .mixing import mix, quality_domains
+
+    rates, report = mix(read(spark, sf_dir, "documents"), quality_domains(read(spark, sf_dir, "labels")), MIXTURE)
+    shares = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(report["domains"])]
+    return rates.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -84,5 +98,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op7_packing": op7_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
