@@ -11,7 +11,7 @@ from ._common import read
 
 
 #: Target shares of expected tokens.
-MIXTURE = {"high": 0.9, "low": 0.07, "toxic": 0.03}
+MIXTURE = {"high": 0.97, "low": 0.015, "toxic": 0.015}
 
 
 def tokenizer_path(name: str) -> str:
