@@ -1,6 +1,494 @@
-"""Registered queries and the SQL they are held against."""
+"""Registered queries and the SQL they are held against.
+
+Stand-ins for a retrieval corpus: `documents` are chunks, `benchmark` items are queries, `embeddings` are vectors (vec_id
+standing for doc_id, the first ids for query vectors), `events` are a request log.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.functions import vectors as V
+from tessera.operators import answers, chunking, evaluation, fusion, lexical, qa, vectors
+from tessera.sources import readers
+from tessera.streaming import metrics
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows where there is one."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark, d) -> DataFrame:
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), "lang", "source")
+
+
+def _asked(spark, d) -> DataFrame:
+    return _read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _vectors(spark, d) -> DataFrame:
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+
+
+def _query_vectors(spark, d, n: int = 10) -> DataFrame:
+    return _read(spark, d, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), "embedding")
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------
+
+_PAIRS = """pairs AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, v.label,
+  list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS ip,
+  -list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda x: (x[1]-x[2])*(x[1]-x[2]))) AS l2
+  FROM embeddings q, embeddings v WHERE q.vec_id < 10)"""
+
+
+def _top_sql(score: str, where: str = "true") -> str:
+    return f"""WITH {_PAIRS}, r AS (SELECT qid, chunk_id, round({score}, 6) AS score,
+  row_number() OVER (PARTITION BY qid ORDER BY {score} DESC, chunk_id) AS rank FROM pairs WHERE {where})
+SELECT qid, chunk_id, score, rank FROM r WHERE rank <= 5"""
+
+
+def _shown(results: DataFrame) -> DataFrame:
+    return results.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_top_sql("ip"))
+def dense_topk_ip(spark, d):
+    return _shown(vectors.dense_topk(_vectors(spark, d), _query_vectors(spark, d), 5))
+
+
+@query(_top_sql("ip"))
+def dense_topk_gemm(spark, d):
+    return _shown(vectors.dense_topk(_vectors(spark, d), _query_vectors(spark, d), 5, strategy="gemm"))
+
+
+@query(_top_sql("l2"))
+def dense_topk_l2(spark, d):
+    return _shown(vectors.dense_topk(_vectors(spark, d), _query_vectors(spark, d), 5, "l2"))
+
+
+@query(_top_sql("ip", "label IN (1, 2, 3) AND chunk_id % 2 = 0"))
+def dense_topk_filtered(spark, d):
+    return _shown(vectors.dense_topk(_vectors(spark, d), _query_vectors(spark, d), 5, filters={"label": [1, 2, 3], "chunk_id": lambda c: c % 2 == 0}))
+
+
+@query()
+def dense_topk_lsh(spark, d):
+    return _shown(vectors.lsh_topk(_vectors(spark, d), _query_vectors(spark, d), 5))
+
+
+@query("""SELECT vec_id, round(n, 6) AS norm, round(list_extract(e, 1) / greatest(n, 1e-12), 6) AS first_component FROM
+(SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)""")
+def vector_l2_normalize(spark, d):
+    e = _read(spark, d, "embeddings")
+    return e.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(F.element_at(V.l2_normalize(F.col("embedding")), 1), 6).alias("first_component"))
+
+
+@query("""SELECT count(*) AS n_vectors, count(DISTINCT vec_id) AS n_ids, min(len(embedding))::INT AS min_dim, max(len(embedding))::INT AS max_dim,
+round(min(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS min_norm,
+round(max(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS max_norm FROM embeddings""")
+def embedding_checks(spark, d):
+    return vectors.embedding_checks(_vectors(spark, d))
+
+
+# --- lexical retrieval -----------------------------------------------------------------------------------------------
+
+_TOKS = "list_transform(regexp_extract_all({t}, '[A-Za-z0-9]+'), lambda x: lower(x))"
+_INDEX = f"""d AS (SELECT doc_id, {_TOKS.format(t='text')} AS toks FROM documents),
+st AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM d),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term)"""
+
+
+def _bm25_sql(queries: str, name: str = "lex", k: int = 10, boost: str = "1.0") -> str:
+    return f"""{_INDEX}, q AS ({queries}),
+{name}_s AS (SELECT qid, p.doc_id, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * 2.2 * qtf / (1.2 + qtf) * tf * 2.5 /
+  (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl))) AS s
+  FROM q JOIN p USING (term) JOIN df USING (term) JOIN d ON d.doc_id = p.doc_id, st GROUP BY qid, p.doc_id),
+{name}_b AS (SELECT qid, {name}_s.doc_id, round(s * {boost}, 9) AS score FROM {name}_s JOIN d ON d.doc_id = {name}_s.doc_id),
+{name} AS (SELECT qid, doc_id AS chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
+  FROM {name}_b QUALIFY rank <= {k})"""
+
+
+_BENCH_TERMS = f"SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({_TOKS.format(t='text')}) AS term FROM benchmark) GROUP BY ALL"
+#: A phrase of four words from the middle of each item, quoted.
+_PHRASE = f"SELECT item_id AS qid, list_slice({_TOKS.format(t='text')}, 3, 6) AS ph FROM benchmark"
+
+
+def _lexical(spark, d, k: int = 10) -> DataFrame:
+    return lexical.search(lexical.build_index(_documents(spark, d)), _asked(spark, d), k)
+
+
+@query(f"WITH {_INDEX} SELECT term, df FROM df")
+def bm25_term_stats(spark, d):
+    return lexical.build_index(_documents(spark, d)).term_stats
+
+
+@query(f"WITH {_INDEX} SELECT n_docs, round(avgdl, 6) AS avgdl FROM st")
+def bm25_corpus_stats(spark, d):
+    return lexical.build_index(_documents(spark, d)).corpus.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {_bm25_sql(_BENCH_TERMS)} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM lex")
+def bm25_topk(spark, d):
+    return _shown(_lexical(spark, d))
+
+
+@query(f"""WITH ph AS ({_PHRASE}), {_bm25_sql("SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(ph) AS term FROM ph) GROUP BY ALL",
+       boost="(SELECT 1 + 1.5 * (' ' || array_to_string(toks, ' ') || ' ' LIKE '% ' || array_to_string(ph, ' ') || ' %')::INT FROM ph WHERE ph.qid = lex_s.qid)")}
+SELECT qid, chunk_id, round(score, 6) AS score, rank FROM lex""")
+def bm25_phrase_boost(spark, d):
+    quoted = F.concat(F.lit('"'), F.array_join(F.slice(T.ascii_tokens(F.col("query")), 3, 4), " "), F.lit('"'))
+    return _shown(lexical.search(lexical.build_index(_documents(spark, d)), _asked(spark, d).withColumn("query", quoted), 10))
+
+
+_SYNONYMS = {"the": ("and",), "of": ("to", "of"), "der": ("die",)}
+
+
+@query(f"""WITH syn(term, other) AS (VALUES ('the', 'and'), ('of', 'to'), ('der', 'die')),
+base AS (SELECT item_id AS qid, unnest({_TOKS.format(t='text')}) AS term FROM benchmark),
+{_bm25_sql("SELECT qid, term, sum(w)::DOUBLE AS qtf FROM (SELECT qid, term, 1.0 AS w FROM base UNION ALL SELECT qid, other, 0.3 FROM base JOIN syn USING (term)) GROUP BY ALL")}
+SELECT qid, chunk_id, round(score, 6) AS score, rank FROM lex""")
+def bm25_synonyms(spark, d):
+    config = lexical.LexicalConfig(synonyms=_SYNONYMS)
+    return _shown(lexical.search(lexical.build_index(_documents(spark, d), config), _asked(spark, d), 10))
+
+
+@query()
+def bm25_stemmed(spark, d):
+    config = lexical.LexicalConfig(stemming=True, stopwords=lexical.english_stopwords())
+    return _shown(lexical.search(lexical.build_index(_documents(spark, d), config), _asked(spark, d), 10))
+
+
+# --- fusion and reranking --------------------------------------------------------------------------------------------
+
+_DENSE = """den AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS rank
+  FROM embeddings q, embeddings v WHERE q.vec_id < 40 QUALIFY rank <= 100)"""
+_SCALED = "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
+
+
+def _hybrid_sql(k: int) -> str:
+    return f"""WITH {_DENSE}, {_bm25_sql(_BENCH_TERMS + " HAVING qid < 40", k=k)},
+a AS (SELECT qid, chunk_id, {_SCALED} AS s FROM den WINDOW w AS (PARTITION BY qid)), b AS (SELECT qid, chunk_id, {_SCALED} AS s FROM lex WINDOW w AS (PARTITION BY qid)),
+hyb AS (SELECT qid, chunk_id, round(0.6 * coalesce(a.s, 0) + 0.4 * coalesce(b.s, 0), 9) AS score FROM a FULL JOIN b USING (qid, chunk_id)),
+hybrid AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM hyb QUALIFY rank <= {k})"""
+
+
+def _dense40(spark, d) -> DataFrame:
+    return vectors.dense_topk(_vectors(spark, d), _query_vectors(spark, d, 40), 100)
+
+
+def _hybrid(spark, d, k: int) -> DataFrame:
+    asked = _asked(spark, d).filter(F.col("qid") < 40)
+    return fusion.blend(_dense40(spark, d), lexical.search(lexical.build_index(_documents(spark, d)), asked, k), k)
+
+
+@query(_hybrid_sql(10) + " SELECT qid, chunk_id, round(score, 6) AS score, rank FROM hybrid")
+def hybrid_blend(spark, d):
+    return _shown(_hybrid(spark, d, 10))
+
+
+_OVERLAP = f"len(list_intersect(list_distinct({_TOKS.format(t='b.text')}), list_distinct({_TOKS.format(t='x.text')}))) / greatest(len(list_distinct({_TOKS.format(t='b.text')})), 1)"
+
+
+@query(_hybrid_sql(25) + f""", c AS (SELECT qid, chunk_id, h.rank AS before, round({_OVERLAP}, 9) AS score FROM hybrid h JOIN benchmark b ON b.item_id = qid JOIN documents x ON x.doc_id = chunk_id)
+SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before, chunk_id) AS rank, before FROM c QUALIFY rank <= 5""")
+def hybrid_rerank_overlap(spark, d):
+    # vectors without a document stand for nothing that can be read
+    known = _documents(spark, d)
+    some = _hybrid(spark, d, 25).join(known.select("chunk_id"), "chunk_id", "left_semi")
+    out = fusion.hybrid_rerank(some, _asked(spark, d), known, 5)
+    return out.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank", "before")
+
+
+@query(f"""WITH {_DENSE}, {_bm25_sql(_BENCH_TERMS + " HAVING qid < 40", k=100)},
+f AS (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT qid, chunk_id, rank FROM den UNION ALL SELECT qid, chunk_id, rank FROM lex) GROUP BY ALL)
+SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 250""")
+def rrf_pool(spark, d):
+    asked = _asked(spark, d).filter(F.col("qid") < 40)
+    return _shown(fusion.reciprocal_ranks([_dense40(spark, d), lexical.search(lexical.build_index(_documents(spark, d)), asked, 100)]))
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------------
+
+_GOLD = "gold AS (SELECT item_id AS qid, doc_id AS chunk_id FROM benchmark b JOIN documents d2 ON contains(d2.text, left(b.text, 50)))"
+
+
+def _golden(spark, d) -> DataFrame:
+    items = _read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.left("text", F.lit(50)).alias("head"))
+    n = items.limit(10_001).count()
+    if n > 10_000:
+        raise ValueError("the stand-in golden set compares every item with every document; give one instead")
+    return _read(spark, d, "documents").join(F.broadcast(items), F.col("text").contains(F.col("head"))).select("qid", F.col("doc_id").alias("chunk_id"))  # checked above
+
+
+def _recall_sql(source: str, tag: str = "") -> str:
+    return f"""SELECT {tag} k, count(*) AS n_queries, round(avg((coalesce(h, 999) <= k)::INT::DOUBLE), 6) AS recall, round(avg(CASE WHEN h <= k THEN 1.0 / h ELSE 0 END), 6) AS mrr
+FROM (SELECT g.qid, min(rank) AS h FROM (SELECT DISTINCT qid FROM gold) g LEFT JOIN (SELECT r.qid, r.rank FROM {source} r SEMI JOIN gold USING (qid, chunk_id)) x USING (qid) GROUP BY g.qid), ks GROUP BY k"""
+
+
+_KS = "ks(k) AS (VALUES (1), (3), (5), (10))"
+
+
+@query(f"WITH {_bm25_sql(_BENCH_TERMS)}, {_GOLD}, {_KS} " + _recall_sql("lex"))
+def eval_recall_mrr(spark, d):
+    return evaluation.recall_mrr(_lexical(spark, d), _golden(spark, d))
+
+
+@query(_hybrid_sql(10) + f""", {_GOLD}, {_KS}, a1 AS ({_recall_sql('den')}), a2 AS ({_recall_sql('lex')}), a3 AS ({_recall_sql('hybrid')})
+SELECT run_tag, n_queries, recall AS recall_at_5, mrr FROM (SELECT 'dense' AS run_tag, * FROM a1 UNION ALL SELECT 'lexical', * FROM a2 UNION ALL SELECT 'hybrid', * FROM a3) WHERE k = 5""")
+def ladder_compare(spark, d):
+    asked = _asked(spark, d).filter(F.col("qid") < 40)
+    lex = lexical.search(lexical.build_index(_documents(spark, d)), asked, 10)
+    dense = _dense40(spark, d)
+    return evaluation.ladder({"dense": dense, "lexical": lex, "hybrid": fusion.blend(dense, lex, 10)}, _golden(spark, d))
+
+
+def _nearest_sql(sorted_list: str, percent: int) -> str:
+    return f"list_extract({sorted_list}, 1 + round_even({percent} / 100.0 * (len({sorted_list}) - 1), 0)::INT)"
+
+
+@query(f"""WITH l AS (SELECT event_type, list_sort(list(value)) AS v, avg(value) AS m FROM events GROUP BY 1)
+SELECT event_type, len(v) AS n, round(m, 6) AS mean_ms, round({_nearest_sql('v', 50)}, 6) AS p50_ms, round({_nearest_sql('v', 95)}, 6) AS p95_ms FROM l""")
+def eval_latency_percentiles(spark, d):
+    return evaluation.latency(_read(spark, d, "events"), "value", "event_type")
+
+
+@query("""WITH s AS (SELECT doc_id % 97 AS qid, doc_id, quality, toxic, row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id) AS rank FROM labels),
+g AS (SELECT qid, list(doc_id::VARCHAR ORDER BY rank) FILTER (quality = 1) AS rel, min_by(doc_id::VARCHAR, rank) FILTER (toxic = 1) AS marked FROM s GROUP BY qid),
+b AS (SELECT qid, coalesce(rel, []) AS rel, coalesce(marked, rel[1]) AS best FROM g WHERE rel IS NOT NULL OR marked IS NOT NULL)
+SELECT qid, best AS best_chunk, CASE WHEN list_contains(rel, best) THEN array_to_string(rel, ',') ELSE array_to_string(list_prepend(best, rel), ',') END AS chunk_ids FROM b""")
+def golden_compile(spark, d):
+    sheet = _read(spark, d, "labels").select((F.col("doc_id") % 97).alias("qid"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("quality").alias("label"), F.col("toxic").alias("is_best"), "doc_id")
+    sheet = sheet.withColumn("candidate_rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")))
+    return evaluation.compile_golden(sheet).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+
+
+@query("""WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY role, lower(trim(text)) ORDER BY conv_id, turn) > 1 AS hit FROM conversations)
+SELECT conv_id, turn, hit FROM n""")
+def cache_simulation(spark, d):
+    log = _read(spark, d, "conversations").withColumn("key", F.lower(F.trim("text"))).withColumn("at", F.struct("conv_id", "turn"))
+    return evaluation.cache_hits(log, ["role", "key"], "at").select("conv_id", "turn", "hit")
+
+
+# --- text and chunks -------------------------------------------------------------------------------------------------
+
+@query(r"""SELECT doc_id, sha1(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\f\v]+(\n|\z)', '\1', 'g'), '\n{4,}', chr(10)||chr(10)||chr(10), 'g'), '^\s+|\s+\z', '', 'g') || chr(10)) AS digest FROM documents""")
+def text_normalize(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.sha1(T.normalize_text(F.col("text"))).alias("digest"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))::INT AS n_tokens FROM documents""")
+def token_counts(spark, d):
+    return _read(spark, d, "documents").select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query(r"""SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))::INT AS n_sentences FROM documents""")
+def sentence_split(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.size(T.split_sentences(F.col("text"))).alias("n_sentences"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS s FROM documents),
+h AS (SELECT doc_id, s, len(regexp_extract_all(s, '\p{L}')) AS n, len(regexp_extract_all(s, '\p{Lu}')) AS u, regexp_extract(s, '^(#{1,6})\s+(.+)$', 2) AS m FROM l)
+SELECT doc_id, count(*) FILTER (m <> '' OR (length(s) <= 80 AND NOT regexp_matches(s, '[.!?;]$') AND n >= 8 AND u / n > 0.6)) AS n_headings, count(*) AS n_lines FROM h GROUP BY doc_id""")
+def heading_lines(spark, d):
+    lines = _read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(T.heading(F.col("line"))).alias("n_headings"), F.count("*").alias("n_lines"))
+
+
+@query("""SELECT doc_id, left(sha1(concat_ws('|', 'v1', doc_id, '', 0, length(text), sha1(text))), 16) AS chunk_id FROM documents""")
+def chunk_ids(spark, d):
+    t = F.col("text")
+    return _read(spark, d, "documents").select("doc_id", T.chunk_id("v1", F.col("doc_id"), F.lit(""), F.lit(0), F.length(t), t).alias("chunk_id"))
+
+
+@query()
+def chunk_corpus(spark, d):
+    return chunking.chunk_corpus(_read(spark, d, "documents")).drop("page_start", "page_end")
+
+
+@query()
+def chunk_stats(spark, d):
+    return qa.chunk_stats(chunking.chunk_corpus(_read(spark, d, "documents")))
+
+
+@query("""WITH t AS (SELECT doc_id, source, n_chars AS n, sha1(text) AS c FROM documents), s AS (SELECT list_sort(list(n)) AS v FROM t)
+SELECT (SELECT count(DISTINCT source) FROM t) AS n_docs, (SELECT count(*) FROM t) AS n_chunks, list_min(v) AS token_min, """ + _nearest_sql("v", 50) + " AS token_median, " + _nearest_sql("v", 95) + """ AS token_p95,
+list_max(v) AS token_max, (SELECT count(*) - count(DISTINCT c) FROM t) AS n_duplicates FROM s""")
+def corpus_stats(spark, d):
+    docs = _read(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("n_chars").alias("token_count"), F.sha1("text").alias("checksum"))
+    return qa.chunk_stats(docs)
+
+
+def _lower_sql(v: str, percent: int) -> str:
+    return f"list_extract({v}, 1 + least(greatest(round_even({percent} / 100.0 * len({v}) - 1, 0)::INT, 0), len({v})::INT - 1))"
+
+
+@query(f"""WITH s AS (SELECT list_sort(list(n_chars)) AS v FROM documents), p AS (SELECT list_sort(list(n)) AS v FROM (SELECT count(*) AS n FROM documents GROUP BY source))
+SELECT (SELECT count(DISTINCT source) FROM documents) AS total_docs, len(s.v) AS total_chunks, list_min(s.v) AS token_min, {_lower_sql('s.v', 50)} AS token_median, {_lower_sql('s.v', 95)} AS token_p95, list_max(s.v) AS token_max,
+len(list_filter(s.v, lambda x: x > 3000)) AS above_max_tokens, len(list_filter(s.v, lambda x: x < 200)) AS below_min_tokens,
+list_min(p.v) AS chunks_per_doc_min, {_lower_sql('p.v', 50)} AS chunks_per_doc_median, {_lower_sql('p.v', 95)} AS chunks_per_doc_p95, list_max(p.v) AS chunks_per_doc_max FROM s, p""")
+def qa_report(spark, d):
+    docs = _read(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("n_chars").alias("token_count"))
+    return qa.qa_report(docs, 200, 3000)
+
+
+@query(r"""WITH c AS (SELECT line, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+WHERE length(line) BETWEEN 1 AND 120 AND len(regexp_extract_all(line, '\p{L}')) >= 5 GROUP BY line)
+SELECT line, n FROM (SELECT * FROM c ORDER BY n DESC, line LIMIT 30) WHERE n >= (SELECT greatest(20, floor(count(*) * 0.01)) FROM documents)""")
+def qa_repeated_lines(spark, d):
+    return qa.repeated_lines(_documents(spark, d))
+
+
+@query("SELECT checksum, count(*) AS n FROM (SELECT sha1(text) AS checksum FROM documents) GROUP BY checksum HAVING count(*) > 1")
+def qa_duplicates(spark, d):
+    return qa.duplicate_ids(_read(spark, d, "documents").select(F.sha1("text").alias("checksum")), "checksum")
+
+
+@query("""SELECT count(*) FILTER (doc_id IS NULL) AS null_ids, count(doc_id) - count(DISTINCT doc_id) AS repeated_ids, count(*) FILTER (text IS NULL) AS null_texts,
+count(*) FILTER (trim(text) = '') AS blank_texts FROM documents""")
+def qa_validity(spark, d):
+    return qa.validity(_documents(spark, d))
+
+
+@query("""SELECT sha256(string_agg(item_id::VARCHAR || chr(0) || text || chr(0), '' ORDER BY item_id::VARCHAR)) AS fingerprint FROM benchmark""")
+def corpus_fingerprint(spark, d):
+    return qa.fingerprint(_read(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("chunk_text")))
+
+
+@query()
+def html_markdown(spark, d):
+    return readers.read_pages(_read(spark, d, "pages"))
+
+
+@query(r"""SELECT page_id, replace(replace(replace(replace(trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM pages""")
+def html_titles(spark, d):
+    return readers.read_pages(_read(spark, d, "pages")).select("page_id", "title")
+
+
+_MANIFEST = [("src0.txt", "http://a/0", "Zero"), ("docs/src1.txt", "http://a/1", "One"), ("src0.txt", "http://a/00", "Zero again"), ("gone.txt", "http://a/g", "Gone")]
+
+
+@query("""WITH m(k) AS (VALUES ('src0.txt'), ('docs\\src1.txt'), ('gone.txt')), f AS (SELECT DISTINCT source || '.txt' AS k FROM documents)
+SELECT coalesce(f.k, m.k) AS key, CASE WHEN f.k IS NULL THEN 'missing_on_disk' WHEN m.k IS NULL THEN 'not_in_manifest' ELSE 'found' END AS state FROM f FULL JOIN m ON f.k = m.k""".replace("\\\\", "\\"))
+def manifest_reconcile(spark, d):
+    lines = spark.createDataFrame([(i, f'{{"saved_path": "{p}", "source_url": "{u}", "title": "{t}"}}') for i, (p, u, t) in enumerate(_MANIFEST)] + [(9, "not json"), (10, "")], "line int, value string")
+    files = _read(spark, d, "documents").select(F.concat("source", F.lit(".txt")).alias("source")).distinct()
+    return readers.reconcile(files, readers.read_manifest(lines))
+
+
+# --- conversation and answers ----------------------------------------------------------------------------------------
+
+_CUT = "CASE WHEN length(trim({t})) <= {n} THEN trim({t}) ELSE rtrim(left(trim({t}), {n} - 1), ' ' || chr(10)) || '...' END"
+_TALK = """c AS (SELECT conv_id, max(turn) FILTER (role = 'user') AS asked FROM conversations GROUP BY 1 HAVING asked IS NOT NULL),
+h AS (SELECT t.conv_id, turn, role, text, row_number() OVER (PARTITION BY t.conv_id ORDER BY turn DESC) AS back FROM conversations t JOIN c USING (conv_id) WHERE turn < asked),
+q AS (SELECT t.conv_id, text AS question FROM conversations t JOIN c ON t.conv_id = c.conv_id AND turn = asked)"""
+
+
+@query(f"""WITH {_TALK} SELECT q.conv_id, coalesce((SELECT string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || {_CUT.format(t='text', n=240)}, chr(10) ORDER BY turn) FROM h WHERE h.conv_id = q.conv_id AND back <= 4 AND trim(text) <> ''), 'None.') AS summary FROM q""")
+def conversation_context(spark, d):
+    return answers.conversations(_read(spark, d, "conversations")).select("conv_id", answers.conversation_summary(F.col("history")).alias("summary"))
+
+
+@query(f"""WITH {_TALK} SELECT q.conv_id, coalesce((SELECT string_agg({_CUT.format(t='text', n=120)}, ' ' ORDER BY turn) FROM h WHERE h.conv_id = q.conv_id AND back <= 2 AND trim(text) <> '') || ' ', '') || trim(question) AS query FROM q""")
+def contextual_query(spark, d):
+    return answers.conversations(_read(spark, d, "conversations")).select("conv_id", answers.contextual_query(F.col("question"), F.col("history")).alias("query"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.NO_KEYWORDS)
+
+
+@query(f"""WITH {_bm25_sql(_BENCH_TERMS, k=5)},
+k AS (SELECT item_id AS qid, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS kw FROM benchmark),
+r AS (SELECT qid, list(score ORDER BY rank) AS s, regexp_extract_all(lower(left(string_agg(x.text, chr(10) ORDER BY rank), 20000)), '[a-z0-9]+') AS words FROM lex JOIN documents x ON x.doc_id = chunk_id GROUP BY qid),
+g AS (SELECT k.qid, kw, s IS NULL AS none, s[1] AS top1, s[1] - s[least(5, len(s))] AS gap, CASE WHEN s IS NULL THEN 0.0 ELSE len(list_filter(kw, lambda x: list_contains(words, x))) / greatest(len(kw), 1) END AS overlap FROM k LEFT JOIN r USING (qid)),
+f AS (SELECT *, concat_ws(',', CASE WHEN none THEN 'no_retrieved_chunks' END, CASE WHEN top1 < 0.35 THEN 'top1_below_threshold' END, CASE WHEN gap < 0.05 THEN 'score_gap_too_small' END, CASE WHEN NOT none AND len(kw) >= 2 AND overlap < 0.18 THEN 'low_query_context_overlap' END) AS reasons FROM g)
+SELECT qid, reasons <> '' AS abstain, reasons, round(top1, 6) AS top1, round(gap, 6) AS gap, round(overlap, 6) AS overlap FROM f""")
+def abstain_decision(spark, d):
+    results = fusion.hydrate(_lexical(spark, d, 5), _documents(spark, d).select("chunk_id", "chunk_text"))
+    return answers.abstain(_asked(spark, d), results).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(f"""WITH {_bm25_sql(_BENCH_TERMS, k=5)}
+SELECT qid, rtrim(string_agg('C' || rank || ' title=' || source || ' | section=' || lang || ' | url=none' || chr(10) || {_CUT.format(t='x.text', n=900)} || chr(10), chr(10) ORDER BY rank), ' ' || chr(10)) || chr(10) AS evidence
+FROM lex JOIN documents x ON x.doc_id = chunk_id GROUP BY qid""")
+def evidence_block(spark, d):
+    named = _documents(spark, d).select("chunk_id", "chunk_text", F.col("source").alias("title"), F.col("lang").alias("section_path"), F.lit(None).cast("string").alias("url"))
+    return answers.evidence(fusion.hydrate(_lexical(spark, d, 5), named)).select("qid", "evidence")
+
+
+_OUTPUTS = [
+    (1, '{"mode":"answer","segments":[{"text":"ok [C1]","citations":["[c1]","C1"]}]}'),
+    (2, '{"mode":"answer","segments":[{"text":"ok","citations":["C9"]}]}'),
+    (3, '{"mode":"abstain","needs":["more"]}'),
+    (4, '{"mode":"abstain","needs":[]}'),
+    (5, '```json\n{"mode":"answer","segments":[{"text":"fine","citations":["C2","C1"]}]}\n```'),
+    (6, '{"mode":"answer","segments":[{"text":"x","citations":["C1"]}],"extra":1}'),
+    (7, "no json"),
+    (8, ""),
+    (9, '{"mode":"answer","segments":[{"text":"x","citations":[1]}]}'),
+]
+
+
+def _parsed(spark) -> DataFrame:
+    tags = F.create_map(F.lit("C1"), F.lit("a"), F.lit("C2"), F.lit("b"))
+    return answers.parse_answers(spark.createDataFrame(_OUTPUTS, "qid int, raw string").withColumn("tags", tags))
+
+
+@query("""SELECT * FROM (VALUES (1, 'answer', true, 'ok'), (2, 'parse_error', false, 'I couldn''t produce a properly grounded answer from the retrieved evidence.'),
+(3, 'abstain', true, 'I can''t answer that from the available source material.'), (4, 'parse_error', false, 'I couldn''t produce a properly grounded answer from the retrieved evidence.'), (5, 'answer', true, 'fine'),
+(6, 'parse_error', false, 'I couldn''t produce a properly grounded answer from the retrieved evidence.'), (7, 'parse_error', false, 'I couldn''t produce a properly grounded answer from the retrieved evidence.'),
+(8, 'parse_error', false, 'I couldn''t produce a properly grounded answer from the retrieved evidence.'), (9, 'parse_error', false, 'I couldn''t produce a properly grounded answer from the retrieved evidence.')) t(qid, mode, schema_valid, answer)""")
+def parse_answers(spark, d):
+    return _parsed(spark).select("qid", "parsed.mode", "parsed.schema_valid", answers.answer_text(F.col("parsed")).alias("answer"))
+
+
+@query("""SELECT * FROM (VALUES (1, 1, 'a'), (5, 1, 'b'), (5, 2, 'a')) t(qid, "at", chunk_id)""")
+def citations_used(spark, d):
+    results = spark.createDataFrame([(q, c) for q in range(1, 10) for c in "ab"], "qid int, chunk_id string")
+    return answers.used_citations(_parsed(spark), results)
+
+
+# --- runtime ---------------------------------------------------------------------------------------------------------
+
+def _log(spark, d) -> DataFrame:
+    mode = F.when(F.col("event_type") == "purchase", "answer").when(F.col("event_type") == "view", "abstain").when(F.col("event_type") == "error", "parse_error").otherwise("other")
+    return _read(spark, d, "events").select(
+        "ts", F.col("event_id").alias("request_id"), mode.alias("mode"), (F.col("event_id") % 7 != 0).alias("schema_valid"), F.col("value").alias("total_ms"),
+        F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 2 == 0).alias("embedding_hit"), (F.col("event_id") % 5 == 0).alias("retrieval_hit"), (F.col("event_id") % 101 == 0).alias("failed"),
+    )
+
+
+_LOG = """l AS (SELECT ts, event_id, value, event_type, event_id % 7 <> 0 AS ok, CASE WHEN event_id % 3 <> 0 THEN event_id % 2 = 0 END AS eh, event_id % 5 = 0 AS rh, event_id % 101 = 0 AS failed FROM events)"""
+
+
+@query(f"""WITH {_LOG}, g AS (SELECT * FROM l WHERE NOT failed), s AS (SELECT value FROM g ORDER BY ts DESC, event_id DESC LIMIT 500)
+SELECT count(*) AS requests_total, count(*) FILTER (event_type = 'purchase') AS answer_total, count(*) FILTER (event_type = 'view') AS abstain_total, count(*) FILTER (event_type = 'error') AS parse_error_total,
+round(count(*) FILTER (ok) / count(*), 6) AS schema_valid_rate, round(count(*) FILTER (eh) / count(eh), 6) AS embedding_cache_hit_rate, round(count(*) FILTER (rh) / count(rh), 6) AS retrieval_cache_hit_rate,
+(SELECT count(*) FILTER (failed) FROM l) AS errors_total, (SELECT round(quantile_cont(value, 0.5), 6) FROM s) AS p50_ms, (SELECT round(quantile_cont(value, 0.95), 6) FROM s) AS p95_ms FROM g""")
+def request_metrics(spark, d):
+    return metrics.request_metrics(_log(spark, d))
+
+
+@query(f"""WITH {_LOG} SELECT time_bucket(INTERVAL '1 hour', ts) AS start, CASE event_type WHEN 'purchase' THEN 'answer' WHEN 'view' THEN 'abstain' WHEN 'error' THEN 'parse_error' ELSE 'other' END AS mode,
+count(*) AS n, round(sum(value), 4) AS total_ms FROM l GROUP BY 1, 2""")
+def windowed_metrics(spark, d):
+    return metrics.windowed_metrics(_log(spark, d))
