@@ -55,7 +55,7 @@ def _query_vectors(spark, d, n: int = 10) -> DataFrame:
 
 _PAIRS = """pairs AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, v.label,
   list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS ip,
-  -list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda x: (x[1]-x[2])*(x[1]-x[2]))) AS l2
+  0.0 - list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda x: (x[1]-x[2])*(x[1]-x[2]))) AS l2
   FROM embeddings q, embeddings v WHERE q.vec_id < 10)"""
 
 

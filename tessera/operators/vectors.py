@@ -53,7 +53,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip
     if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
         return _gemm(kept, queries, k, metric)
     q = queries.select("qid", F.col("embedding").alias("q_embedding"))
-    score = dot(F.col("embedding"), F.col("q_embedding")) if metric == "ip" else -squared_distance(F.col("embedding"), F.col("q_embedding"))
+    score = dot(F.col("embedding"), F.col("q_embedding")) if metric == "ip" else F.lit(0.0) - squared_distance(F.col("embedding"), F.col("q_embedding"))
     return top_k(kept.crossJoin(F.broadcast(q)).select("qid", "chunk_id", score.alias("score")), k)  # at most QUERY_BLOCK rows
 
 
