@@ -57,7 +57,7 @@ def _within_one(a: Column, b: Column) -> Column:
     but for one word."""
     same = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False) - 1
     front, back = same(a, b), same(F.reverse(a), F.reverse(b))
-    return (front < 0) | (front + back >= F.greatest(F.size(a), F.size(b)) - 1)
+    return (F.abs(F.size(a) - F.size(b)) < 2) & ((front < 0) | (front + back >= F.greatest(F.size(a), F.size(b)) - 1))
 
 
 def _near(documents: DataFrame, distinct: DataFrame, min_words: int, blocks: int) -> DataFrame:
