@@ -17,6 +17,7 @@ from tessera.plans.ship import ship_package
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: The same as a Java and RE2 character class of word characters.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
@@ -46,8 +47,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """`mapInArrow`, after making sure that the executors can import this package."""
+    """`mapInArrow`, after making sure that the executors can import this package.
+
+    Rows here are whole texts, so batches are made smaller than Spark's 10,000 rows unless the session says otherwise:
+    a Python worker holds one batch, and its memory stays with it while it idles.
+    """
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH, "10000") == "10000":
+        df.sparkSession.conf.set(BATCH, "1000")
     return df.mapInArrow(function, schema)
 
 

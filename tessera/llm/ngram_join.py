@@ -36,7 +36,7 @@ def _power_table(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a multiplier and of its inverse modulo 2^64."""
     have = _powers.get(base)
     if have is None or len(have[0]) < size:
-        size = max(size, 1 << 20)
+        size = max(size, 1 << 19)
         tables = []
         for b in (base, pow(base, -1, 1 << 64)):
             t = np.full(size, b, dtype=np.uint64)
@@ -125,7 +125,7 @@ def _measure(k: int):
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         names = ["doc_id", "n", "v", "bits", "large", "slice", "counts"]
-        for batch in slices(batches, chars=1_000_000):
+        for batch in slices(batches, chars=400_000):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
             every = np.concatenate(sets)
             sketch += np.bincount((every >> _U(40)).astype(np.int64) & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32) if len(every) else np.uint32(0)
@@ -205,7 +205,7 @@ def _verified(base: DataFrame, near: DataFrame, classes: DataFrame, k: int, perc
     wanted = table(classes.join(ends, "v").select(F.col("least").alias("doc_id"), "v"), "wanted")
 
     def fetch(batches):
-        for batch in slices(batches, chars=1_000_000):
+        for batch in slices(batches, chars=400_000):
             own = shingle_sets(batch.column("text").to_pylist(), k)
             keep = [len(s) > 0 and set_id(s) == v for s, v in zip(own, batch.column("v").to_pylist(), strict=True)]
             ids = batch.column("v").filter(pa.array(keep, pa.bool_()))
@@ -252,7 +252,7 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
 
     def post(batches):
         levels, seen = np.frombuffer(zlib.decompress(packed), np.uint8), set()
-        for batch in slices(batches, chars=1_000_000):
+        for batch in slices(batches, chars=400_000):
             tokens, ids, sizes = [], [], []
             for doc, own in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), k), strict=True):
                 if doc is None or not len(own) or (v := set_id(own)) in seen:
