@@ -21,8 +21,14 @@ STEPS = {"log_word_length": (1.0, 1.3, 2.1, 2.4), "symbol_share": (0.004, 0.02,
 LENGTHS = (4, 12, 30)
 
 
+#: Lengths of word beginnings that are features like words, so that inflected and compound forms count together.
+BEGINNINGS = (4, 5, 6, 7)
+
+
 def _words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """Distinct lower-case words, and beginnings of longer words, which end in a star."""
+    words = set(_WORD.findall(text.lower()))
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in BEGINNINGS))
 
 
 def _style(all_texts: list[str]) -> list[list[int]]:
@@ -50,7 +56,7 @@ def _sample(documents: DataFrame, labels: DataFrame, good: Column, bound: int) -
 def train(documents: DataFrame, labels: DataFrame, good: Column, bound: int = 10_000, vocabulary: int = 400, least_z: float = 5.0) -> dict:
     """A classifier of good documents, fitted on the driver from a sample of at most `bound` labelled documents.
 
-    Features are style steps and the at most `vocabulary` words whose presence differs most between good and other
+    Features are style steps and the at most `vocabulary` words and word beginnings whose presence differs most between good and other
     documents of the sample (two-proportion z of at least `least_z`). Returns {"words": {word: number}, "weights":
     [...], "odds": log odds of good in the sample}. Without documents of both kinds nothing is learnt: no words, and
     weights that give every document the same.
