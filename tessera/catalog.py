@@ -395,6 +395,17 @@ def manifest_reconcile(spark, d):
     return readers.reconcile(files, readers.read_manifest(lines))
 
 
+@query(r"""WITH f AS (SELECT doc_id, source, trim(regexp_extract(text, '[^\n]*\S[^\n]*')) AS line FROM documents), m AS (SELECT *, regexp_extract(line, '^(#{1,6})\s+(.+)$', 2) AS h FROM f)
+SELECT doc_id, CASE WHEN h <> '' THEN trim(h) WHEN line <> '' AND length(line) <= 120 THEN line ELSE source END AS title FROM m""")
+def guess_titles(spark, d):
+    return _read(spark, d, "documents").select("doc_id", T.guess_title(T.normalize_text(F.col("text")), F.col("source")).alias("title"))
+
+
+@query("""SELECT item_id, CASE WHEN length(trim(text)) <= 80 THEN replace(trim(text), chr(10), ' ') ELSE rtrim(left(replace(trim(text), chr(10), ' '), 79)) || '…' END AS preview FROM benchmark""")
+def text_previews(spark, d):
+    return _read(spark, d, "benchmark").select("item_id", T.preview(F.col("text"), 80).alias("preview"))
+
+
 # --- conversation and answers ----------------------------------------------------------------------------------------
 
 _CUT = "CASE WHEN length(trim({t})) <= {n} THEN trim({t}) ELSE rtrim(left(trim({t}), {n} - 1), ' ' || chr(10)) || '...' END"
@@ -416,6 +427,11 @@ def contextual_query(spark, d):
 _STOP = ", ".join(f"'{w}'" for w in T.NO_KEYWORDS)
 
 
+@query(f"""SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ({_STOP})), ' ') AS keywords FROM benchmark""")
+def query_keywords(spark, d):
+    return _read(spark, d, "benchmark").select("item_id", F.array_join(T.keywords(F.col("text")), " ").alias("keywords"))
+
+
 @query(f"""WITH {_bm25_sql(_BENCH_TERMS, k=5)},
 k AS (SELECT item_id AS qid, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS kw FROM benchmark),
 r AS (SELECT qid, list(score ORDER BY rank) AS s, regexp_extract_all(lower(left(string_agg(x.text, chr(10) ORDER BY rank), 20000)), '[a-z0-9]+') AS words FROM lex JOIN documents x ON x.doc_id = chunk_id GROUP BY qid),
@@ -492,3 +508,19 @@ def request_metrics(spark, d):
 count(*) AS n, round(sum(value), 4) AS total_ms FROM l GROUP BY 1, 2""")
 def windowed_metrics(spark, d):
     return metrics.windowed_metrics(_log(spark, d))
+
+
+@query("""SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 3""")
+def latest_requests(spark, d):
+    log = _read(spark, d, "events").withColumnRenamed("event_id", "request_id")
+    return metrics.latest(log, "event_type", 3).select(F.col("request_id").alias("event_id"), "event_type")
+
+
+@query("""WITH s AS (SELECT doc_id % 97 AS qid, doc_id::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id) AS rank FROM labels)
+SELECT qid, string_agg(chunk_id, ',' ORDER BY rank DESC) AS chunk_ids FROM s WHERE rank <= 3 GROUP BY qid""")
+def golden_from_ranks(spark, d):
+    sheet = _read(spark, d, "labels").select((F.col("doc_id") % 97).alias("qid"), F.col("doc_id").cast("string").alias("chunk_id"), "doc_id")
+    sheet = sheet.withColumn("candidate_rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")))
+    lines = sheet.groupBy("qid").agg(F.min("doc_id").alias("line")).select("line", F.concat(F.col("qid").cast("string"), F.lit(" : 3, x, 2,1")).alias("value"))
+    ranks = readers.read_ranks(lines).withColumn("qid", F.col("qid").cast("long"))
+    return evaluation.golden_from_ranks(ranks, sheet).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
