@@ -35,14 +35,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write `df` once as Parquet in the shared scratch folder and return the table read back.
 
     The written table survives the loss of executors and keeps later passes from repeating the work above it.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

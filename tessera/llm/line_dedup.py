@@ -13,9 +13,10 @@ _UNTIDY = r"(?md)[\x09\x0B-\x0D]|\x20\x20|^\x20|\x20$"
 
 def _lines(documents: DataFrame, min_words: int) -> DataFrame:
     """(doc, line, w): the 64-bit hashes of the lower-cased words of every line with at least `min_words` words."""
-    text = F.lower(F.col("text").cast("string"))
+    raw = F.col("text").cast("string")
+    text = F.lower(raw)
     tidy = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r"(?md)^\x20|\x20$", "")
-    clean = F.when(text.rlike(_UNTIDY), tidy).otherwise(text)
+    clean = F.when(raw.rlike(_UNTIDY), tidy).otherwise(text)
     return (
         documents.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(clean, "\n", -1)).alias("line", "raw"))
         .filter("doc is not null and raw <> ''")
@@ -75,12 +76,13 @@ def _near(documents: DataFrame, distinct: DataFrame, min_words: int, blocks: int
     keys = F.filter(F.array(*named), lambda k: F.array_contains("open", k["key"]))
     each = held.select("d0", "d1", F.struct("doc", "line").alias("place"), "w", F.explode(keys).alias("k")).select("d0", "d1", "place", "w", "k.*")
     inner = F.slice("w", F.col("cut.at"), F.col("cut.len"))
-    without = F.transform(F.sequence(F.lit(1), F.size(inner)), lambda i: F.struct(i.alias("i"), F.concat(F.slice(inner, F.lit(1), i - 1), F.slice(inner, i + 1, F.size(inner))).alias("rest")))
+    without = F.transform(F.sequence(F.lit(1), F.size(inner)), lambda i: F.struct(i.alias("i"), F.slice(inner, F.lit(1), i - 1).alias("front"), F.slice(inner, i + 1, F.size(inner)).alias("back")))
     variant = lambda kind, longer, *parts: F.struct(F.lit(kind).alias("kind"), F.lit(longer).alias("longer"), F.xxhash64("key", F.lit(kind), *parts).alias("key"))
+    # hashing two arrays in turn is hashing them joined
     # a word changed: the same place deleted in both; a word put in: one line as it is, the other less that word
-    own = F.concat(F.transform(without, lambda v: variant("changed", False, v["i"], v["rest"])), F.array(variant("put in", False, inner)))
-    less = F.transform(without, lambda v: variant("put in", True, v["rest"]))
-    variants = table(each.select("d0", "d1", "place", F.explode(F.when(F.col("less") == 0, own).otherwise(less)).alias("v")).select("d0", "d1", "place", "v.*"), "variants")
+    own = F.concat(F.transform(without, lambda v: variant("changed", False, v["i"], v["front"], v["back"])), F.array(variant("put in", False, inner)))
+    less = F.transform(without, lambda v: variant("put in", True, v["front"], v["back"]))
+    variants = table(each.select("d0", "d1", "place", F.explode(F.when(F.col("less") == 0, own).otherwise(less)).alias("v")).select("d0", "d1", "place", "v.*"), "variants", "snappy")
     least = variants.groupBy("key", "kind", "longer").agg(F.min(F.struct("place", "d0", "d1")).alias("least"), F.min("d0").alias("lo"), F.max("d0").alias("hi"))
     changed = least.filter("kind = 'changed' and lo <> hi").select("key", F.lit(False).alias("longer"), "least")
     put_in = least.filter("kind = 'put in'").select("key", (~F.col("longer")).alias("longer"), "least")
@@ -116,8 +118,8 @@ def repeated_lines(documents: DataFrame, min_words: int = 5, max_edits: int = 1,
         raise ValueError("a line of min_words words must have more words than blocks")
     place = F.struct("doc", "line")
     hashed = F.array(*[k[0] for k in _keys(F.col("w"), F.size("w"), blocks)]) if max_edits else F.array().cast("array<long>")
-    lines = table(_lines(documents, min_words).select("doc", "line", *_digest(F.col("w")), hashed.alias("keys")), "lines")
-    distinct = table(lines.groupBy("d0", "d1").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys")), "distinct")
+    lines = table(_lines(documents, min_words).select("doc", "line", *_digest(F.col("w")), hashed.alias("keys")), "lines", "snappy")
+    distinct = table(lines.groupBy("d0", "d1").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys")), "distinct", "snappy")
     exact = distinct.filter("n > 1").select("d0", "d1", F.col("place").alias("first"))
     if max_edits:
         decided = exact.join(_near(documents, distinct, min_words, blocks), ["d0", "d1"], "full_outer")
