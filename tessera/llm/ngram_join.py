@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._common import map_arrow, may_hold, slices, table, texts
 from .components import components
 
-SKETCH_BITS, SLICE_BITS = 20, 14
+SKETCH_BITS, SLICE_BITS = 22, 16
 BITMAP_WORDS, LARGE_WORDS, LARGE_SET = 16, 128, 1000
 _U = np.uint64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -99,11 +99,15 @@ def bitmap(shingles: np.ndarray, words: int = BITMAP_WORDS) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _cell(shingles: np.ndarray, cells: int) -> np.ndarray:
+    return (shingles >> _U(40)).astype(np.int64) & (cells - 1)
+
+
 def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles in the global order (commonness level, hash), of which two similar sets must share one."""
     n = len(shingles)
     keep = n - -(-percent * n // 100) + 1
-    level = levels[(shingles >> _U(40)).astype(np.int64) & (len(levels) - 1)]
+    level = levels[_cell(shingles, len(levels))]
     return shingles[np.lexsort((shingles, level))[:keep]] if level.any() else shingles[:keep]
 
 
@@ -116,7 +120,7 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _levels(counts: np.ndarray) -> np.ndarray:
     """0 for shingles about as common as chance hashing makes them; the binary logarithm of the count beyond that."""
-    usual = 4 * counts.mean() + 64
+    usual = 1.5 * counts.mean() + 8
     return np.where(counts > usual, np.floor(np.log2(np.maximum(counts, 1))), 0).astype(np.uint8)
 
 
@@ -127,8 +131,7 @@ def _measure(k: int):
         names = ["doc_id", "n", "v", "bits", "large", "slice", "counts"]
         for batch in slices(batches, chars=400_000):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
-            every = np.concatenate(sets)
-            sketch += np.bincount((every >> _U(40)).astype(np.int64) & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS).astype(np.uint32) if len(every) else np.uint32(0)
+            np.add.at(sketch, _cell(np.concatenate(sets), 1 << SKETCH_BITS), np.uint32(1))
             n = len(sets)
             columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], kinds[1]), pa.array([set_id(s) if len(s) else None for s in sets], kinds[2]), pa.array([bitmap(s) if len(s) else None for s in sets], kinds[3]), pa.array([bitmap(s, LARGE_WORDS) if len(s) >= LARGE_SET else None for s in sets], kinds[4]), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -151,17 +154,16 @@ def _tiles(percent: int):
     """From postings sorted by token, size and set, those that share their tile with another set.
 
     A tile is a stretch of a token's sets in which each is at most 100/percent times the size of the one before; no
-    pair outside a tile can be similar. `first` is the smallest set of the tile that is large enough for this one.
-    Only the open tile's ends are held.
+    pair outside a tile can be similar. Only the open tile's last set is held.
     """
 
     def run(batches):
-        token = anchor = before = None
+        token = before = None
         told = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t, v, n = (batch.column(c).to_numpy() for c in ("token", "v", "n"))
+            t, v, n, p = (batch.column(c).to_numpy() for c in ("token", "v", "n", "pos"))
             start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
             stop = np.append(start[1:], len(t))
             several = stop - start > 1
@@ -170,19 +172,17 @@ def _tiles(percent: int):
             for a, b in zip(start[several].tolist(), stop[several].tolist(), strict=True):
                 if t[a] != token:
                     token, before = t[a], None
-                for own, size in zip(v[a:b].tolist(), n[a:b].tolist(), strict=True):
+                for own, size, pos in zip(v[a:b].tolist(), n[a:b].tolist(), p[a:b].tolist(), strict=True):
                     if before is None or 100 * before[1] < percent * size:
-                        anchor, told = (own, size), False
+                        told = False
                     elif own != before[0]:
-                        if 100 * anchor[1] < percent * size:
-                            anchor = before
                         if not told:
-                            out.append((int(token), *anchor, anchor[0]))
+                            out.append((int(token), *before))
                             told = True
-                        out.append((int(token), own, size, anchor[0]))
-                    before = (own, size)
+                        out.append((int(token), own, size, pos))
+                    before = (own, size, pos)
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "v", "n", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "v", "n", "pos"])
 
     return run
 
@@ -225,6 +225,29 @@ def _verified(base: DataFrame, near: DataFrame, classes: DataFrame, k: int, perc
     return table(map_arrow(near.join(full[0], "a").join(full[1], "b").select("a", "b", "s_a", "s_b"), run, "a long, b long"), "similar")
 
 
+def _favourites(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each set with the leader of another group that it meets most often.
+
+    A token's two leaders are the sets, of different groups, with most postings left, which are those that share most
+    with others: of near copies, the original.
+    """
+    rank = F.struct("weight", F.xxhash64(F.lit(turn), "v").alias("h"), "v", "n", "label")
+    one = labelled.groupBy("token").agg(F.max(rank).alias("one"))
+    two = labelled.join(one, "token").filter(F.col("label") != F.col("one.label")).groupBy("token", "one").agg(F.max(rank).alias("two"))
+    facing = labelled.join(two, "token").withColumn("first", F.when(F.col("label") != F.col("one.label"), F.col("one")).otherwise(F.col("two")))
+    facing = facing.filter((100 * F.col("n") >= percent * F.col("first.n")) & (100 * F.col("first.n") >= percent * F.col("n")))
+    often = facing.groupBy("v", F.col("first.v").alias("first")).agg(F.count("*").alias("times"))
+    best = often.groupBy("v").agg(F.max(F.struct("times", "first")).alias("best"))
+    return best.select(F.least("v", "best.first").alias("a"), F.greatest("v", "best.first").alias("b")).distinct()
+
+
+def _open(tiles: DataFrame, label: DataFrame) -> DataFrame:
+    """The postings of tokens under which sets of different groups stand, with their groups."""
+    labelled = table(tiles.join(label, "v", "left").select("token", "v", "n", "pos", "weight", F.coalesce("label", "v").alias("label")), "labelled")
+    tokens = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+    return labelled.join(tokens, "token", "left_semi")
+
+
 def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of their k-word shingle sets of at least `percent` in 100.
 
@@ -232,8 +255,8 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
     vertex, named by a 64-bit hash of the set. All shingles are put in one global order, rare before common: a hashed
     count sketch of fixed size, added up over all documents, gives each its commonness level. Two similar sets must
     share a shingle of their prefixes in this order and lie in one tile, a size band of that shingle's postings. In
-    the first round a set is paired with the tile-mate it meets most often as a tile's smallest; in the second, all
-    pairs of a tile not yet connected are taken, the likeliest of two groups first. So a group of near copies is not expanded, and no link between
+    two rounds each set is paired with the leader of another group that it meets most often; then all pairs of a tile
+    not yet connected are taken, the likeliest of two groups first. So a group of near copies is not expanded, and no link between
     groups is lost. Parity bitmaps bound each pair's overlap from above before the sorted arrays are intersected.
 
     Postings are sorted by the shuffle and read as a stream that holds two sets of the open tile; texts are fetched
@@ -253,7 +276,7 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
     def post(batches):
         levels, seen = np.frombuffer(zlib.decompress(packed), np.uint8), set()
         for batch in slices(batches, chars=400_000):
-            tokens, ids, sizes = [], [], []
+            tokens, ids, sizes, places = [], [], [], []
             for doc, own in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), k), strict=True):
                 if doc is None or not len(own) or (v := set_id(own)) in seen:
                     continue
@@ -261,26 +284,37 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
                 first = prefix(own, levels, percent)
                 tokens.append(first.view(np.int64))
                 ids.append(np.full(len(first), v))
-                sizes.append(np.full(len(first), len(own)))
+                sizes.append(np.full(len(first), len(own), dtype=np.int32))
+                places.append(np.arange(len(first), dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, ids, sizes)], names=["token", "v", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, ids, sizes, places)], names=["token", "v", "n", "pos"])
 
-    postings = map_arrow(base, post, "token long, v long, n long").withColumn("n", F.col("n").cast("int"))
+    postings = map_arrow(base, post, "token long, v long, n int, pos int")
     order = postings.repartition("token").sortWithinPartitions("token", "n", "v")
-    tiles = table(map_arrow(order, _tiles(percent), "token long, v long, n long, first long"), "tiles")
+    tiles = table(map_arrow(order, _tiles(percent), "token long, v long, n long, pos long"), "tiles")
     docs = measured.filter("slice is null").select("doc_id", "n", "v")
     named = measured.filter("v is not null and doc_id is not null")
     classes = table(named.groupBy("v").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("large").alias("large")), "classes")
-    often = tiles.filter("v <> first").groupBy("v", "first").agg(F.count("*").alias("times"))
-    pairs = table(often.groupBy("v").agg(F.max(F.struct("times", "first")).alias("best")).select(F.least("v", "best.first").alias("a"), F.greatest("v", "best.first").alias("b")).distinct(), "pairs")
-    links = _verified(base, table(_possible(pairs, classes, percent).select("a", "b"), "near"), classes, k, percent)
-    label = table(components(links), "label").select(F.col("id").alias("v"), F.col("component").alias("label"))
-    labelled = table(tiles.join(label, "v", "left").select("token", "v", "n", F.coalesce("label", "v").alias("label")), "labelled")
-    open_tokens = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    left = table(labelled.join(open_tokens, "token", "left_semi").select("token", "v", "n", "label"), "open")
-    x, y = (left.select("token", F.col("v").alias(c), F.col("n").alias(f"m_{c}"), F.col("label").alias(f"l_{c}")) for c in "ab")
-    met = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & (100 * F.col("m_a") >= percent * F.col("m_b")) & (100 * F.col("m_b") >= percent * F.col("m_a")))
-    met = met.select("a", "b", "l_a", "l_b").distinct().join(pairs, ["a", "b"], "left_anti")
+    weight = tiles.groupBy("v").agg(F.count("*").alias("weight"))
+    tiles = table(tiles.join(weight, "v"), "weighted")
+    tried = links = None
+    label = classes.limit(0).select("v", F.col("v").alias("label"))
+    for turn in range(2):
+        now = _favourites(_open(tiles, label), turn, percent)
+        now = table(now.join(tried, ["a", "b"], "left_anti") if tried else now, f"favourites{turn}")
+        similar = _verified(base, table(_possible(now, classes, percent).select("a", "b"), "near"), classes, k, percent)
+        links = table(links.unionByName(similar), f"links{turn}") if links else similar
+        tried = table(tried.unionByName(now), f"tried{turn}") if tried else now
+        label = table(components(links), "label").select(F.col("id").alias("v"), F.col("component").alias("label"))
+    before = F.lag("token").over(Window.partitionBy("v").orderBy("pos"))
+    left = table(_open(tiles, label).withColumn("before", before), "open")
+    x, y = (left.select("token", F.col("v").alias(c), F.col("n").alias(f"m_{c}"), F.col("pos").alias(f"p_{c}"), F.col("before").alias(f"t_{c}"), F.col("label").alias(f"l_{c}")) for c in "ab")
+    # two sets that share the token before this one have met there; at their first common token the rest must suffice
+    most = F.least(F.col("m_a") - F.col("p_a"), F.col("m_b") - F.col("p_b"))
+    met = x.join(y, "token").filter(
+        (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & F.coalesce(F.col("t_a") != F.col("t_b"), F.lit(True))
+    ).filter(100 * most >= percent * (F.col("m_a") + F.col("m_b") - most))
+    met = met.select("a", "b", "l_a", "l_b").distinct().join(tried, ["a", "b"], "left_anti")
     rest = table(_possible(met, classes, percent), "rest")
     # the likeliest pairs of two groups first: once they are linked, their other pairs need no sets
     for most in (2, 16, None):
