@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ._common import drop_table, may_hold, table
 
 #: White space that needs tidying before words can be split at single spaces.
-_UNTIDY = r"(?md)[\x09\x0B-\x0D]|\x20\x20|^\x20|\x20$"
+_UNTIDY = ("\t", "\x0b", "\f", "\r", "  ", "\n ", " \n")
 
 
 def _lines(documents: DataFrame, min_words: int) -> DataFrame:
@@ -16,7 +16,10 @@ def _lines(documents: DataFrame, min_words: int) -> DataFrame:
     raw = F.col("text").cast("string")
     text = F.lower(raw)
     tidy = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r"(?md)^\x20|\x20$", "")
-    clean = F.when(raw.rlike(_UNTIDY), tidy).otherwise(text)
+    untidy = raw.startswith(" ") | raw.endswith(" ")
+    for part in _UNTIDY:
+        untidy = untidy | raw.contains(part)
+    clean = F.when(untidy, tidy).otherwise(text)
     return (
         documents.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(clean, "\n", -1)).alias("line", "raw"))
         .filter("doc is not null and raw <> ''")
