@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
+BLOCK = 1000
+
 
-def fit_logistic(rows: list[tuple[list[int], bool]], width: int, ridge: float = 2.0, rounds: int = 12) -> np.ndarray:
+def fit_logistic(rows: Sequence[tuple[Sequence[int], bool]], width: int, ridge: float = 2.0, rounds: int = 12) -> np.ndarray:
     """Weights of a ridge logistic regression on yes-or-no features, the last being the intercept (Newton's method)."""
-    x = np.zeros((len(rows), width + 1))
-    x[:, -1] = 1
+    x = np.zeros((len(rows), width + 1), dtype=bool)
+    x[:, -1] = True
     for i, (features, _) in enumerate(rows):
-        x[i, features] = 1
+        x[i, features] = True
     y = np.array([r[1] for r in rows], dtype=float)
     w, penalty = np.zeros(width + 1), np.full(width + 1, ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -4, 4)
+        slope, curve = -penalty * w, np.diag(penalty + 1e-9)
+        for a in range(0, len(x), BLOCK):  # in blocks, so that only the bits are held whole
+            part = x[a : a + BLOCK].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope += part.T @ (y[a : a + BLOCK] - p)
+            curve += (part * (p * (1 - p))[:, None]).T @ part
+        w += np.clip(np.linalg.solve(curve, slope), -4, 4)
     return w

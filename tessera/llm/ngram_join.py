@@ -118,10 +118,17 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """0 for shingles about as common as chance hashing makes them; the binary logarithm of the count beyond that."""
-    usual = 1.5 * counts.mean() + 8
-    return np.where(counts > usual, np.floor(np.log2(np.maximum(counts, 1))), 0).astype(np.uint8)
+def _levels(parts: dict[int, bytes]) -> bytes:
+    """For each cell, packed: 0 where its shingles are about as common as chance hashing makes them; beyond that the
+    binary logarithm of the count. Slices are opened one by one."""
+    counts = lambda i: np.frombuffer(zlib.decompress(parts[i]), np.uint32) if i in parts else np.zeros(1 << SLICE_BITS, np.uint32)
+    slices_ = range(1 << (SKETCH_BITS - SLICE_BITS))
+    usual = 1.5 * sum(int(counts(i).sum()) for i in slices_) / (1 << SKETCH_BITS) + 8
+    out = bytearray()
+    for i in slices_:
+        c = counts(i)
+        out += np.where(c > usual, np.floor(np.log2(np.maximum(c, 1))), 0).astype(np.uint8).tobytes()
+    return zlib.compress(bytes(out))
 
 
 def _measure(k: int):
@@ -147,7 +154,7 @@ def _add_up(rows: pa.Table) -> pa.Table:
     total = np.zeros(1 << SLICE_BITS, dtype=np.uint64)
     for blob in rows.column("counts").to_pylist():
         total += np.frombuffer(zlib.decompress(blob), np.uint32)
-    return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
 
 
 def _tiles(percent: int):
@@ -270,8 +277,7 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
     base = texts(documents)
     measured = table(map_arrow(base, _measure(k), "doc_id long, n long, v long, bits array<long>, large array<long>, slice int, counts binary"), "measured")
     parts = measured.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_up, "slice int, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in sorted(parts, key=lambda r: r["slice"])]) if parts else np.zeros(1 << SKETCH_BITS)
-    packed = zlib.compress(_levels(counts).tobytes())
+    packed = _levels({r["slice"]: bytes(r["counts"]) for r in parts})
 
     def post(batches):
         levels, seen = np.frombuffer(zlib.decompress(packed), np.uint8), set()

@@ -87,7 +87,10 @@ def train(documents: DataFrame, labels: DataFrame, good: Column, bound: int = 10
             found = _features(batch.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("good")], names=["features", "good"])
 
-    rows = [(r["features"], r["good"]) for r in map_arrow(sample, features, "features array<int>, good boolean").collect()]
+    found = map_arrow(sample, features, "features array<int>, good boolean").toArrow().combine_chunks()  # bounded
+    lists = found.column("features").combine_chunks()
+    cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    rows = [(flat[a:b], g) for a, b, g in zip(cuts[:-1], cuts[1:], found.column("good").to_pylist(), strict=True)]
     weights = fit_logistic(rows, N_STYLE + len(words))
     return {"words": words, "weights": weights.tolist(), "odds": math.log(n["good"] / n["other"])}
 
