@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, slices, texts
+from ._common import map_arrow, slices, table, texts
 
 _END = re.compile(r"[.!?]+(?=\s)|\Z")
 _UNITS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("text_id", pa.int32()), ("idx", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("again", pa.bool_())])
@@ -89,6 +89,7 @@ def repeated_spans(documents: DataFrame, min_words: int = 20) -> DataFrame:
 
     every = map_arrow(base, cut, _UNIT_DDL)
     first = every.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").drop("n")
+    first = table(first, "first")  # read back, both sides of the join are plain exchanges, whose skewed parts Spark splits
     later = every.join(first, ["d1", "d2"]).filter((F.col("doc_id") != F.col("first")) | F.col("again"))
     by_doc = later.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("idx", "start", "stop", "words")).alias("marked"))
 
