@@ -192,13 +192,18 @@ hyb AS (SELECT qid, chunk_id, round(0.6 * coalesce(a.s, 0) + 0.4 * coalesce(b.s,
 hybrid AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM hyb QUALIFY rank <= {k})"""
 
 
-def _dense40(spark, d) -> DataFrame:
-    return vectors.dense_topk(_vectors(spark, d), _query_vectors(spark, d, 40), 100)
+def _asked_both(spark, d) -> DataFrame:
+    """The items that have a query vector."""
+    return _asked(spark, d).join(_vectors(spark, d).select(F.col("chunk_id").alias("qid")), "qid", "left_semi")
+
+
+def _dense_asked(spark, d) -> DataFrame:
+    queries = _vectors(spark, d).select(F.col("chunk_id").alias("qid"), "embedding").join(_asked(spark, d).select("qid"), "qid", "left_semi")
+    return vectors.dense_topk(_vectors(spark, d), queries, 100)
 
 
 def _hybrid(spark, d, k: int) -> DataFrame:
-    asked = _asked(spark, d).filter(F.col("qid") < 40)
-    return fusion.blend(_dense40(spark, d), lexical.search(lexical.build_index(_documents(spark, d)), asked, k), k)
+    return fusion.blend(_dense_asked(spark, d), lexical.search(lexical.build_index(_documents(spark, d)), _asked_both(spark, d), k), k)
 
 
 @query(_hybrid_sql(10) + " SELECT qid, chunk_id, round(score, 6) AS score, rank FROM hybrid")
@@ -223,8 +228,8 @@ def hybrid_rerank_overlap(spark, d):
 f AS (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT qid, chunk_id, rank FROM den UNION ALL SELECT qid, chunk_id, rank FROM lex) GROUP BY ALL)
 SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 250""")
 def rrf_pool(spark, d):
-    asked = _asked(spark, d).filter(F.col("qid") < 40)
-    return _shown(fusion.reciprocal_ranks([_dense40(spark, d), lexical.search(lexical.build_index(_documents(spark, d)), asked, 100)]))
+    lex = lexical.search(lexical.build_index(_documents(spark, d)), _asked_both(spark, d), 100)
+    return _shown(fusion.reciprocal_ranks([_dense_asked(spark, d), lex]))
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------------
@@ -256,10 +261,11 @@ def eval_recall_mrr(spark, d):
 @query(_hybrid_sql(10) + f""", {_GOLD}, {_KS}, a1 AS ({_recall_sql('den')}), a2 AS ({_recall_sql('lex')}), a3 AS ({_recall_sql('hybrid')})
 SELECT run_tag, n_queries, recall AS recall_at_5, mrr FROM (SELECT 'dense' AS run_tag, * FROM a1 UNION ALL SELECT 'lexical', * FROM a2 UNION ALL SELECT 'hybrid', * FROM a3) WHERE k = 5""")
 def ladder_compare(spark, d):
-    asked = _asked(spark, d).filter(F.col("qid") < 40)
+    asked = _asked_both(spark, d)
     lex = lexical.search(lexical.build_index(_documents(spark, d)), asked, 10)
-    dense = _dense40(spark, d)
-    return evaluation.ladder({"dense": dense, "lexical": lex, "hybrid": fusion.blend(dense, lex, 10)}, _golden(spark, d))
+    dense = _dense_asked(spark, d)
+    golden = _golden(spark, d).join(asked.select("qid"), "qid", "left_semi")
+    return evaluation.ladder({"dense": dense, "lexical": lex, "hybrid": fusion.blend(dense, lex, 10)}, golden)
 
 
 def _nearest_sql(sorted_list: str, percent: int) -> str:
