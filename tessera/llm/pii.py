@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WORD_CLASS, table, texts
+from .components import components
 
 # The patterns of the four kinds. Possessive quantifiers and the look-behinds change no match; they keep
 # matching linear in the text and free of recursion.
@@ -64,32 +65,55 @@ def base_spans(documents: DataFrame) -> DataFrame:
     return texts(documents).withColumn("base", F.concat(*[_found(F.col("text"), k) for k in KINDS]))
 
 
+def _copies(texts: DataFrame, bands: int = 16) -> DataFrame:
+    """(id, group) for those of the distinct texts (id, w: words in order) that are near copies of another.
+
+    Two texts are near copies if their sets of three-word shingles have a Jaccard similarity of a half; groups are closed
+    under that. Candidates share one of `bands` pairs of least hashes with the least id of that pair (at a similarity of
+    a half with probability 0.99), and are then compared shingle by shingle.
+    """
+    at = F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1)))
+    sets = table(texts.select("id", F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, F.lit(3))))).alias("set")), "shingles")
+    least = sets.select("id", F.explode("set").alias("s")).groupBy("id").agg(*[F.min(F.xxhash64(F.lit(k), "s")).alias(f"h{k}") for k in range(2 * bands)])
+    keys = table(least.select("id", F.explode(F.array(*[F.xxhash64(F.lit(k), f"h{2 * k}", f"h{2 * k + 1}") for k in range(bands)])).alias("key")), "bands")
+    first = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    links = keys.join(first, "key").filter("id <> first").select("id", "first").distinct()
+    both = links.join(sets, "id").join(sets.select(F.col("id").alias("first"), F.col("set").alias("other")), "first")
+    shared = F.size(F.array_intersect("set", "other"))
+    return components(both.filter(shared * 3 >= F.size("set") + F.size("other")).select("id", "first"), "id", "first").withColumnRenamed("component", "group")
+
+
 def disclosing_terms(found: DataFrame, alpha: float, min_together: int) -> DataFrame:
     """(entity, term) pairs in which the term discloses the entity.
 
     An entity is a protected value. With p(.) estimated as shares of all documents, a term t discloses an entity e if
     their pointwise mutual information reaches `alpha` times the information content of e, that is
     log p(e,t)/(p(e)p(t)) >= -alpha log p(e), which says p(e|t) >= p(e)^(1-alpha); and they meet in at
-    least `min_together` texts where the term's neighbours differ, and differ in half of the texts they share, so that
-    near and exact copies of one text disclose nothing by themselves. Terms are lower-cased words stripped of outer punctuation, of three characters or more.
+    least `min_together` texts that are no near copies of each other (`_copies`), so that near and exact copies of one
+    text disclose nothing by themselves. Terms are lower-cased words stripped of outer punctuation, of three characters or more.
     """
     bare = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    words = lambda text: F.array_distinct(F.filter(F.transform(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), bare), lambda w: F.length(w) >= 3))
+    in_order = lambda text: F.transform(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), bare)
+    terms = lambda w: F.array_distinct(F.filter(w, lambda x: F.length(x) >= 3))
+    words = lambda text: terms(in_order(text))
     with_base = found.filter(F.size("base") > 0)
     entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))
     entities = (
         with_base.select("text", F.md5("text").alias("digest"), F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
         .groupBy("entity", "digest").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     )
+    entities = table(entities.withColumn("id", F.xxhash64("digest")), "entities")
     n_entity = entities.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("distinct")).filter(F.col("distinct") >= min_together)
-    in_order = F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), bare)
-    context = lambda w: lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.when(i > 0, F.get(w, i - 1)), F.get(w, i + 1)).alias("context"))
+    linked = entities.join(n_entity.drop("distinct"), "entity")
+    held = table(linked.groupBy("id").agg(F.first("text").alias("text")).select("id", in_order(F.col("text")).alias("w")), "held")
+    grouped = table(linked.drop("text", "digest").join(_copies(held), "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
+    apart = grouped.groupBy("entity").agg(F.count_distinct("group").alias("groups")).filter(F.col("groups") >= min_together).select("entity")
     pairs = (
-        entities.join(n_entity.drop("distinct"), "entity").withColumn("w", in_order)
-        .select("entity", "n_e", "copies", "digest", F.explode(F.filter(F.transform("w", context(F.col("w"))), lambda s: F.length(s["term"]) >= 3)).alias("s"))
-        .groupBy("entity", "n_e", "digest", "copies", "s.term").agg(F.min("s.context").alias("context"))
-        .groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_et"), F.count("*").alias("distinct"), F.count_distinct("context").alias("contexts"))
-        .filter((F.col("contexts") >= min_together) & (F.col("contexts") * 2 >= F.col("distinct"))).drop("distinct", "contexts")
+        grouped.join(apart, "entity").join(held.select("id", terms(F.col("w")).alias("terms")), "id")
+        .select("entity", "n_e", "copies", "group", F.explode("terms").alias("term"))
+        .groupBy("entity", "n_e", "term", "group").agg(F.sum("copies").alias("n"))
+        .groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("groups"))
+        .filter(F.col("groups") >= min_together).drop("groups")
     )
     pairs = table(pairs, "pairs")
     # words are counted where they lie; what is shuffled is each task's distinct words (a semi-join would be moved below the count)
@@ -109,7 +133,7 @@ def sanitize(documents: DataFrame, alpha: float = 0.9, min_together: int = 3) ->
 
     Built-in expressions only. Each text is scanned once for the patterns (with possessive quantifiers, so that long
     runs of digits or letters stay linear). Words are counted only for documents with entities found in at least
-    `min_together` different texts; corpus counts of those words are summed before they are shuffled.
+    `min_together` texts that are no near copies; corpus counts of those words are summed before they are shuffled.
 
     Returns doc_id, text, base, terms (arrays of kind, start, stop, value; code points, stop exclusive), sanitised. A
     null text counts as empty and has no spans. Repeated rows and null ids are kept as they are; other columns are left

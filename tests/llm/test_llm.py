@@ -351,6 +351,28 @@ def test_disclosing_terms(spark):
     assert not any(got[i]["terms"] for i in got if i >= 100) and got[100]["sanitised"] == rows[6][1]
 
 
+def test_constant_signatures_disclose_and_near_copies_do_not(spark):
+    prose = _prose(400, 31, 40)
+    rows = [(i, f"{prose[i]}\nRegards, Jane Zebulon jane@zeb.org") for i in range(50)]
+    # a name in ten different texts, and 200 near copies of another text with the same address
+    rows += [(100 + i, f"Quillon {prose[60 + i]} sent from m@quill.org") for i in range(10)]
+    r = random.Random(32)
+    copied = prose[80] + " " + prose[81]
+    rows += [(200 + i, f"{_edited(copied, r, 0.02)} sent from m@quill.org") for i in range(200)]
+    rows += [(500 + i, prose[90 + i]) for i in range(300)]
+    got = {x["doc_id"]: [t["value"].lower().strip(",") for t in x["terms"]] for x in pii.sanitize(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all({"jane", "zebulon"} <= set(got[i]) for i in range(50))
+    assert all("quillon" in got[100 + i] for i in range(10))
+    assert not any(w.startswith("zz") for i in range(200) for w in got[200 + i]) and not any(got[500 + i] for i in range(300))
+
+
+def test_near_copies_alone_disclose_nothing(spark):
+    r = random.Random(33)
+    prose = _prose(240, 34, 60)
+    rows = [(i, f"{_edited(prose[0], r, 0.03)} Peregrin own@mail.org") for i in range(40)] + [(100 + i, t) for i, t in enumerate(prose[1:])]
+    assert not any(x["terms"] for x in pii.sanitize(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
