@@ -149,14 +149,13 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], bo
     return scored.select("doc_id", "tokens", "p", rate.alias("rate")), report
 
 
-def draw(documents: DataFrame, rates: DataFrame, slack: float = 0.02, whole: float = 0.75) -> DataFrame:
+def draw(documents: DataFrame, rates: DataFrame) -> DataFrame:
     """Each document as often as its rate says: the whole part, and once more with the probability of the rest, by a
-    hash of its id. Rates within `slack` of a whole number count as that, and rates from `whole` to 1 as 1. All columns
-    stay; rows with a null id stay once."""
+    hash of its id, so that expected totals are those of the rates. All columns stay; rows with a null id stay once."""
     rate = rates.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__rate_doc")).agg(F.max("rate").alias("__rate"))
     chance = F.pmod(F.xxhash64(F.lit("draw"), "__rate_doc"), F.lit(1_000_000)) / 1_000_000
-    near = F.when(F.col("__rate").between(whole, 1.0), 1).when(F.abs(F.col("__rate") - F.round("__rate")) <= slack, F.round("__rate")).otherwise(F.floor(F.col("__rate") + chance)).cast("int")
-    joined = documents.join(rate, F.col("doc_id") == F.col("__rate_doc"), "left").withColumn("__times", F.coalesce(near, F.lit(1)))
+    times = F.floor(F.col("__rate") + chance).cast("int")
+    joined = documents.join(rate, F.col("doc_id") == F.col("__rate_doc"), "left").withColumn("__times", F.coalesce(times, F.lit(1)))
     return joined.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*documents.columns)
 
 

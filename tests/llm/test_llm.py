@@ -400,6 +400,13 @@ def test_rates_bring_totals_to_targets(spark, odd, none, labels):
     assert all(r["rate"] == 1.0 for r in mixing.mix(odd, mixing.quality_domains(labels).limit(0), {})[0].collect())
 
 
+@pytest.mark.parametrize("rate", [0.8, 0.985, 1.1, 1.99])
+def test_draw_follows_the_rates(spark, rate):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    drawn = mixing.draw(docs, docs.select("doc_id", F.lit(rate).alias("rate")))
+    assert drawn.count() / 20_000 == pytest.approx(rate, abs=0.01)
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
