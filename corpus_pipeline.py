@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go; documents made of such lines alone go."""
-    return line_dedup.remove_lines(docs, line_dedup.repeated_lines(docs))
+    return line_dedup.remove_lines(docs, line_dedup.repeated_lines(docs, exact_words=1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

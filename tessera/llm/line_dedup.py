@@ -96,11 +96,11 @@ def _near(documents: DataFrame, distinct: DataFrame, min_words: int, blocks: int
     return best.join(a, ["d0", "d1"]).join(b, ["e0", "e1"]).filter(_within_one(F.col("w_a"), F.col("w_b"))).select("d0", "d1", "near")
 
 
-def repeated_lines(documents: DataFrame, min_words: int = 5, max_edits: int = 1, blocks: int = 3) -> DataFrame:
+def repeated_lines(documents: DataFrame, min_words: int = 5, max_edits: int = 1, blocks: int = 3, exact_words: int | None = None) -> DataFrame:
     """Lines that repeat an earlier line of the corpus up to `max_edits` (0 or 1) words put in, left out or changed.
 
-    Lines are compared by their lower-cased words (by 64-bit hashes of them); lines of fewer than `min_words` words are left alone. Equal lines
-    are grouped by 128-bit digests first, each group with its earliest place (doc_id, line). Distinct lines then go
+    Lines are compared by their lower-cased words (by 64-bit hashes of them); lines of fewer than `exact_words`
+    words (by default `min_words`) are left alone, and those of fewer than `min_words` are only held against equal ones. Equal lines are grouped by 128-bit digests first, each group with its earliest place (doc_id, line). Distinct lines then go
     through the deletion neighbourhood in two steps. First each emits its variants with one of `blocks` blocks of
     words deleted, as hashed keys; a line within one edit of another shares the key of the block that holds the edit.
     Only under keys with two different lines
@@ -120,8 +120,11 @@ def repeated_lines(documents: DataFrame, min_words: int = 5, max_edits: int = 1,
     if min_words <= blocks:
         raise ValueError("a line of min_words words must have more words than blocks")
     place = F.struct("doc", "line")
+    floor = min_words if exact_words is None else min(exact_words, min_words)
     hashed = F.array(*[k[0] for k in _keys(F.col("w"), F.size("w"), blocks)]) if max_edits else F.array().cast("array<long>")
-    lines = table(_lines(documents, min_words).select("doc", "line", *_digest(F.col("w")), hashed.alias("keys")), "lines", "snappy")
+    if floor < min_words:  # cut, not chosen by a condition, so that the keys' common parts are still computed once
+        hashed = F.slice(hashed, F.lit(1), F.when(F.size("w") >= min_words, 2 * blocks).otherwise(0))
+    lines = table(_lines(documents, floor).select("doc", "line", *_digest(F.col("w")), hashed.alias("keys")), "lines", "snappy")
     distinct = table(lines.groupBy("d0", "d1").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys")), "distinct", "snappy")
     exact = distinct.filter("n > 1").select("d0", "d1", F.col("place").alias("first"))
     if max_edits:

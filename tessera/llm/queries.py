@@ -34,7 +34,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import by_document, repeated_lines
 
     documents = read(spark, sf_dir, "documents")
-    return by_document(documents, repeated_lines(documents))
+    return by_document(documents, repeated_lines(documents, exact_words=1))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import components, embedding_dedup, line_dedup, mixing, ngram_join, packing, pii, pretoken, quality_classifier, quality_rules, substring_dedup, token_counts
+from tessera.llm import queries
 from tessera.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -287,6 +288,18 @@ def test_copies_go_and_short_lines_stay(spark):
     assert got == {1: "one two three four five\nok", 2: "ok", 3: "new line of some words here\nok"}
 
 
+def test_short_lines_repeat_exactly(spark, tmp_path):
+    rows = [(1, "All rights reserved.\nok\n\none two three four five"), (2, "all  rights reserved.\n\nall rights observed.\none two THREE x five"), (3, "OK\nall rights\nok")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["line"]): (r["of_doc"], r["of_line"], r["near"]) for r in line_dedup.repeated_lines(docs, exact_words=1).collect()}
+    assert got == {(2, 0): (1, 0, False), (2, 3): (1, 3, True), (3, 0): (1, 1, False), (3, 2): (1, 1, False)}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    by = {r["doc_id"]: r["removed_lines"] for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert by == {1: "", 2: "0,3", 3: "0,2"}
+    pipeline = pytest.importorskip("corpus_pipeline")
+    assert {r["doc_id"]: r["text"] for r in pipeline.lines(spark, docs, str(tmp_path)).collect()} == {1: rows[0][1], 2: "\nall rights observed.", 3: "all rights"}
+
+
 def test_substring_dedup_by_brute_force(spark, odd, none):
     r = random.Random(4)
     bank = [s.capitalize() + "." for s in _prose(80, 13, 14)]
