@@ -380,6 +380,11 @@ def corpus_fingerprint(spark, d):
     return qa.fingerprint(_read(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("chunk_text")))
 
 
+@query()
+def documents_fingerprint(spark, d):
+    return qa.tree_fingerprint(_documents(spark, d))
+
+
 @query()
 def html_markdown(spark, d):
     return readers.read_pages(_read(spark, d, "pages"))

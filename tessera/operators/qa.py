@@ -71,6 +71,22 @@ def set_fingerprint(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("sum"))
 
 
+def tree_fingerprint(chunks: DataFrame, buckets: int = 4096) -> DataFrame:
+    """One row: the number of chunks and a SHA-256 that doesn't depend on their order, nulls told from empty texts.
+
+    Each chunk is digested by itself (fields preceded by their lengths). Digests are summed as eight 32-bit parts in
+    `buckets` by id, and the buckets' sums are digested in order; no task gathers texts.
+    """
+    field = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    i = F.col("chunk_id").cast("string")
+    each = chunks.select(F.pmod(F.xxhash64(i), F.lit(buckets)).alias("bucket"), F.sha2(F.concat(field(i), field(F.col("chunk_text"))), 256).alias("h"))
+    parts = [F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)") for k in range(8)]
+    sums = each.groupBy("bucket").agg(F.count("*").alias("n"), *[F.sum(p).alias(f"s{k}") for k, p in enumerate(parts)])
+    lines = sums.select("bucket", "n", F.concat_ws(",", "bucket", "n", *[f"s{k}" for k in range(8)]).alias("line"))
+    listed = F.array_sort(F.collect_list(F.struct("bucket", "line")))  # as many as buckets at most
+    return lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(listed, lambda s: s["line"]), ";"), 256).alias("fingerprint"))
+
+
 def seeded_sample(chunks: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """k chunks in an order that the seed and the ids decide."""
     return chunks.orderBy(F.xxhash64(F.lit(seed), F.col("chunk_id").cast("string")), "chunk_id").limit(k)
