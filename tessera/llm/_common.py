@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,8 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Folders of the tables that running operators have written, one list for each call that is under way.
+_written: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -41,9 +46,43 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     The written table survives the loss of executors and keeps later passes from repeating the work above it.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{scratch_root(spark)}/tessera-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(folder)
+    df.write.option("compression", codec).parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(operator: Callable) -> Callable:
+    """An operator that deletes, when it returns, the scratch tables that its result no longer reads.
+
+    The result is a DataFrame or a tuple that begins with one. Tables that the result reads stay for the caller, and are
+    the caller's to delete if that is an operator itself.
+    """
+
+    @functools.wraps(operator)
+    def run(*args, **named):
+        _written.append([])
+        try:
+            out = operator(*args, **named)
+        finally:
+            mine = _written.pop()
+        frame = out[0] if isinstance(out, tuple) else out
+        read = frame.inputFiles() if mine else []
+        used = {f for f in mine if any(f.rsplit("/", 1)[-1] in r for r in read)} if len(read) * len(mine) < 1 << 20 else set(mine)
+        for folder in mine:
+            if folder not in used:
+                _delete(frame.sparkSession, folder)
+        if _written:
+            _written[-1] += used
+        return out
+
+    return run
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
@@ -60,25 +99,29 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by `table()` that no result depends on."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+    for folder in {f.rsplit("/", 2)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
 
 
-def may_hold(rows: DataFrame, column: str, members: DataFrame, member: str, bits: int = 1 << 21) -> DataFrame:
-    """Those `rows` whose `column` may be in `members`: a hashed bitmap of fixed size (256 kB), tested before a join
-    shuffles rows. It lets through all that are in and some that are not; the join that follows decides."""
+def may_hold(rows: DataFrame, column: str, members: DataFrame, member: str, most: int = 1 << 24) -> DataFrame:
+    """Those `rows` whose `column` may be in `members`: a hashed bitmap, tested before a join shuffles rows.
+
+    The bitmap has 16 bits a member, at most `most` (2 MB); where that would leave fewer than four bits a member it
+    would let nearly all through, and the rows come back as they are. It lets through all that are in and some that are
+    not; the join that follows decides.
+    """
     spark = rows.sparkSession
+    n = members.count()
+    if 4 * n > most:
+        return rows
+    bits = min(most, 1 << max(16, math.ceil(math.log2(16 * max(n, 1)))))
     slot = lambda c: F.pmod(F.xxhash64(F.lit("slot"), c), F.lit(bits))
-    words = members.select(slot(F.col(member)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("v")).collect()
-    dense = [0] * (bits // 64)
-    for r in words:
-        dense[r["w"]] = r["v"]
-    held = spark.createDataFrame([(dense,)], "__bits array<long>")
+    words = members.select(slot(F.col(member)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s & 63))")).alias("v")).toArrow()
+    dense = np.zeros(bits // 64, dtype=np.int64)
+    dense[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    held = spark.createDataFrame(pa.table({"__bits": pa.array([dense], pa.list_(pa.int64()))}))
     at = slot(F.col(column))
-    return rows.join(F.broadcast(held), F.getbit(F.get("__bits", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("__bits")
+    return rows.join(F.broadcast(held), F.getbit(F.get("__bits", F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("__bits")  # one row of 2 MB at most
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

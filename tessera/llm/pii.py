@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_CLASS, table, texts
+from ._common import WORD_CLASS, may_hold, table, texts, tidy
 from .components import components
 
 # The patterns of the four kinds. Possessive quantifiers and the look-behinds change no match; they keep
@@ -22,7 +24,38 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+#: The entities that stand for a whole kind, and for personal data of any kind.
+WHOLE = (*KINDS, "any")
 _SPANS = "array<struct<kind:string,start:int,stop:int,value:string>>"
+#: What lies between the words of a text once their outer punctuation is taken off. A run of punctuation is looked at once.
+BETWEEN = r"^[^\p{L}\p{N}]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}\s]*+(?:\s[^\p{L}\p{N}]*+|$)"
+#: The same of a single word.
+OUTER = r"^[^\p{L}\p{N}]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$"
+#: Code points of a text's block, for cutting pieces out of long texts.
+BLOCK = 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is computed once a row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, fold: Callable[[Column, Column], Column], wanted: Column | None = None) -> Column:
+    """For each position (or each of those `wanted`), the fold from 0 of the values before it.
+
+    In blocks of the square root of the length, so that m of n positions cost n + m n^0.5 cheap steps; an array that
+    grows by one element a step would be copied n times.
+    """
+
+    def at(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        over = lambda part: F.aggregate(part, F.lit(0), fold)
+        heads = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: over(F.slice(v, b * width + 1, width)))
+        places = F.sequence(F.lit(0), F.size(v) - 1) if wanted is None else wanted
+        before = lambda h, i: fold(over(F.slice(h, F.lit(1), F.floor(i / width).cast("int"))), over(F.slice(v, i - i % width + 1, i % width)))
+        return _let(heads, lambda h: F.transform(places, lambda i: before(h, i)))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, at(v)).otherwise(F.array().cast("array<int>")))
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -41,23 +74,35 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _located(text: Column, pattern: str, keep: Callable[[Column, Column], Column] | None = None) -> Column:
+    """(start, value) of every match, or of those that `keep` (value, number) chooses: matches and what lies between them,
+    whose lengths (in code points) add up to positions."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+
+    def places(matches: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(matches) - 1)
+        chosen = numbers if keep is None else F.filter(numbers, lambda i: keep(F.get(matches, i), i))
+
+        def found(own: Column, gap: Column) -> Column:
+            lengths = F.zip_with(F.slice(gap, F.lit(1), F.size(matches)), matches, lambda g, m: g + F.length(m))
+            return F.zip_with(own, _running(lengths, lambda a, b: a + b, own), lambda i, at: F.struct((at + F.get(gap, i)).alias("start"), F.get(matches, i).alias("value")))
+
+        none = F.array().cast("array<struct<start:int,value:string>>")
+        return F.when(F.size(matches) > 0, _let(chosen, lambda own: F.when(F.size(own) > 0, _let(gaps, lambda gap: found(own, gap))).otherwise(none))).otherwise(none)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
+
+
+def _span(kind: str, start: Column, value: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"))
+
+
 def _found(text: Column, kind: str) -> Column:
-    """Spans of one kind: matches and what lies between them, whose lengths (in code points) add up to positions."""
-    pattern = PATTERNS[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-    state = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPANS).alias("out")).withField("out", F.array().cast(_SPANS)),
-        lambda s, p: F.struct(
-            (s["at"] + p["gap"] + F.length(p["value"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct(F.lit(kind).alias("kind"), (s["at"] + p["gap"]).alias("start"), (s["at"] + p["gap"] + F.length(p["value"])).alias("stop"), p["value"].alias("value")))).alias("out"),
-        ),
-    )
+    """Valid spans of one kind."""
     # the cheap conditions spare most texts the search
     hint = {"email": text.contains("@"), "phone": text.contains("+"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")}[kind]
-    return F.when(hint, F.filter(state["out"], lambda s: _valid(kind, s["value"]))).otherwise(F.array().cast(_SPANS))
+    good = F.filter(_located(text, PATTERNS[kind]), lambda s: _valid(kind, s["value"]))
+    return F.when(hint, F.transform(good, lambda s: _span(kind, s["start"], s["value"]))).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(documents: DataFrame) -> DataFrame:
@@ -65,6 +110,29 @@ def base_spans(documents: DataFrame) -> DataFrame:
     return texts(documents).withColumn("base", F.concat(*[_found(F.col("text"), k) for k in KINDS]))
 
 
+def _rows(documents: DataFrame) -> DataFrame:
+    """`base_spans`, with two hashes of each text by which results find its row again."""
+    return base_spans(documents).select("doc_id", "text", "base", F.xxhash64("text").alias("d0"), F.xxhash64(F.lit("second"), "text").alias("d1"))
+
+
+def _in_order(text: Column) -> Column:
+    """A text's lower-cased words without their outer punctuation; words of punctuation alone are left out."""
+    return F.split(F.lower(text), BETWEEN)
+
+
+def _terms(words: Column) -> Column:
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))
+
+
+def entities(span: Column) -> Column:
+    """What a span tells: its value and the family that recurs where the value does not (mail domain, /16 network, first six
+    digits of a card, first four of a telephone number)."""
+    kind, value = span["kind"], F.lower(span["value"])
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    family = F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 2)).when(kind == "card", F.left(digits, F.lit(6))).otherwise(F.left(digits, F.lit(4)))
+    return F.array(F.concat(kind, F.lit(":"), value), F.concat(kind, F.lit(" family:"), family))
+
+
 def _copies(texts: DataFrame, bands: int = 16) -> DataFrame:
     """(id, group) for those of the distinct texts (id, w: words in order) that are near copies of another.
 
@@ -83,103 +151,135 @@ def _copies(texts: DataFrame, bands: int = 16) -> DataFrame:
     return components(both.filter(shared * 3 >= F.size("set") + F.size("other")).select("id", "first"), "id", "first").withColumnRenamed("component", "group")
 
 
-def disclosing_terms(found: DataFrame, alpha: float, min_together: int) -> DataFrame:
-    """(entity, term) pairs in which the term discloses the entity.
+def _pairs(rows: DataFrame, min_together: int) -> tuple[DataFrame, float]:
+    """(entity, n_e, term, n_et, apart) of entities and terms that meet in `min_together` texts that are no near copies,
+    and the logarithm of the number of pairs that were looked at.
+
+    n_e and n_et count documents; `apart` counts texts, one of each group of near copies that holds the entity.
+    Entities of a whole kind are columns of one row a term, so that their many documents' words are summed once.
+    """
+    with_base = rows.filter(F.size("base") > 0).groupBy("d0", "d1").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("base").alias("base"))
+    own = F.array_distinct(F.flatten(F.transform("base", entities)))
+    held = table(with_base.select(F.col("d0").alias("id"), "copies", _in_order(F.col("text")).alias("w"), own.alias("entities"), F.array_distinct(F.transform("base", lambda s: s["kind"])).alias("kinds")), "held")
+    if len(held.select("id").take(min_together)) < min_together:
+        return held.limit(0).select(F.lit("").alias("entity"), F.lit(0).cast("long").alias("n_e"), F.lit("").alias("term"), F.lit(0).cast("long").alias("n_et"), F.lit(0).cast("long").alias("apart")), 0.0
+    groups = table(held.select("id").join(_copies(held), "id", "left").select("id", F.coalesce("group", "id").alias("group")), "groups")
+    sized = table(held.select("id", "copies", "entities", "kinds", F.size(_terms(F.col("w"))).alias("n")).join(groups, "id"), "sized")
+    # the first text of each group speaks for it
+    each = sized.select("id", "copies", "group", "n", F.explode("entities").alias("entity"))
+    several = each.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count_distinct("group").alias("groups")).filter(F.col("groups") >= min_together)
+    each = each.join(several.drop("groups"), "entity")
+    speaks = each.groupBy("entity", "group").agg(F.min("id").alias("id")).select("entity", "id", F.lit(True).alias("speaks"))
+    each = table(each.join(speaks, ["entity", "id"], "left").select("entity", "n_e", "id", "copies", "n", F.coalesce("speaks", F.lit(False)).alias("speaks")), "each")
+    low = each.join(held.select("id", _terms(F.col("w")).alias("terms")), "id").select("entity", "n_e", "copies", "speaks", F.explode("terms").alias("term"))
+    low = low.groupBy("entity", "n_e", "term").agg(F.sum("copies").alias("n_et"), F.count_if("speaks").alias("apart"))
+    kinds = sized.select("id", "copies", "group", "n", F.explode(F.concat("kinds", F.array(F.lit("any")))).alias("kind"))
+    first = kinds.groupBy("kind", "group").agg(F.min("id").alias("id"))
+    speakers = first.groupBy("id").agg(F.collect_set("kind").alias("speaks"))
+    whole = held.join(speakers, "id", "left").select("copies", F.concat("kinds", F.array(F.lit("any"))).alias("kinds"), F.coalesce("speaks", F.array().cast("array<string>")).alias("speaks"), F.explode(_terms(F.col("w"))).alias("term"))
+    whole = whole.groupBy("term").agg(*[F.struct(F.sum(F.when(F.array_contains("kinds", k), F.col("copies")).otherwise(0)).alias("n_et"), F.count_if(F.array_contains("speaks", k)).alias("apart")).alias(k) for k in WHOLE])
+    counted = kinds.groupBy("kind").agg(F.sum("copies").alias("n_e"))  # five rows at most
+    whole = whole.select("term", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}.n_et").alias("n_et"), F.col(f"{k}.apart").alias("apart")) for k in WHOLE])).alias("k")).select("term", "k.*")
+    whole = whole.filter(F.col("apart") >= min_together).join(F.broadcast(counted), "kind").select(F.col("kind").alias("entity"), "n_e", "term", "n_et", "apart")
+    looked = each.filter("speaks").agg(F.sum("n").alias("n")).unionAll(kinds.join(first, ["kind", "group", "id"]).agg(F.sum("n"))).agg(F.sum("n")).first()[0]
+    return table(low.filter(F.col("apart") >= min_together).unionByName(whole), "pairs"), math.log(max(looked or 0, 2))
+
+
+def disclosing_terms(rows: DataFrame, alpha: float, min_together: int) -> DataFrame:
+    """(entity, term, bits) of the terms that disclose an entity.
 
-    An entity is a protected value. With p(.) estimated as shares of all documents, a term t discloses an entity e if
-    their pointwise mutual information reaches `alpha` times the information content of e, that is
-    log p(e,t)/(p(e)p(t)) >= -alpha log p(e), which says p(e|t) >= p(e)^(1-alpha); and they meet in at
-    least `min_together` texts that are no near copies of each other (`_copies`), so that near and exact copies of one
-    text disclose nothing by themselves. Terms are lower-cased words stripped of outer punctuation, of three characters or more.
+    Entities are protected values, their families (`entities`), each kind of personal data, and any of them. With p(.)
+    estimated as shares of all documents, a term t discloses an entity e if
+    * their pointwise mutual information reaches `alpha` times the information content of e, that is
+      log p(e,t)/(p(e)p(t)) >= -alpha log p(e), which says p(e|t) >= p(e)^(1-alpha);
+    * they meet in at least `min_together` texts that are no near copies of each other (`_copies`); and
+    * so many such texts are no chance: with q = p(e|t), those texts times the divergence of (q, 1-q) from
+      (p(e), 1-p(e)) a meeting reach the logarithm of the number of pairs looked at, so that of terms independent of
+      all entities less than one is expected to pass in the whole corpus.
+    Terms are lower-cased words stripped of outer punctuation, of three characters or more.
     """
-    bare = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    in_order = lambda text: F.transform(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), bare)
-    terms = lambda w: F.array_distinct(F.filter(w, lambda x: F.length(x) >= 3))
-    words = lambda text: terms(in_order(text))
-    with_base = found.filter(F.size("base") > 0)
-    entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))
-    entities = (
-        with_base.select("text", F.md5("text").alias("digest"), F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
-        .groupBy("entity", "digest").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    )
-    entities = table(entities.withColumn("id", F.xxhash64("digest")), "entities")
-    n_entity = entities.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("distinct")).filter(F.col("distinct") >= min_together)
-    linked = entities.join(n_entity.drop("distinct"), "entity")
-    held = table(linked.groupBy("id").agg(F.first("text").alias("text")).select("id", in_order(F.col("text")).alias("w")), "held")
-    grouped = table(linked.drop("text", "digest").join(_copies(held), "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
-    apart = grouped.groupBy("entity").agg(F.count_distinct("group").alias("groups")).filter(F.col("groups") >= min_together).select("entity")
-    pairs = (
-        grouped.join(apart, "entity").join(held.select("id", terms(F.col("w")).alias("terms")), "id")
-        .select("entity", "n_e", "copies", "group", F.explode("terms").alias("term"))
-        .groupBy("entity", "n_e", "term", "group").agg(F.sum("copies").alias("n"))
-        .groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("groups"))
-        .filter(F.col("groups") >= min_together).drop("groups")
-    )
-    pairs = table(pairs, "pairs")
-    # words are counted where they lie; what is shuffled is each task's distinct words (a semi-join would be moved below the count)
-    n_term = found.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term")
-    total = found.agg(F.count("*").alias("total"))
-    information = F.log(F.col("total") / F.col("n_e"))
-    together = F.log(F.col("n_et") * F.col("total") / (F.col("n_e") * F.col("n_t")))
-    return pairs.join(n_term, "term").crossJoin(F.broadcast(total)).filter((information > 0) & (together >= alpha * information)).select("entity", "term", F.log2(F.exp(together)).alias("bits"))  # total is one row
-
-
-def sanitize(documents: DataFrame, alpha: float = 0.9, min_together: int = 3) -> DataFrame:
+    pairs, looked = _pairs(rows, min_together)
+    words = rows.select(F.explode(_terms(_in_order(F.col("text")))).alias("term"))
+    wanted = table(pairs.select("term").distinct(), "wanted")
+    # words are counted where they lie; what is shuffled is each task's distinct words that may be wanted
+    n_term = may_hold(words, "term", wanted, "term").groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
+    total = rows.agg(F.count("*").alias("total"))
+    p, q = F.col("n_e") / F.col("total"), F.col("n_et") / F.col("n_t")
+    information = -F.log(p)
+    against = F.when(q < 1, (1 - q) / q * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    told = pairs.join(n_term, "term").crossJoin(F.broadcast(total))  # total is one row
+    enough = (p < 1) & (F.log(q / p) >= alpha * information) & (F.col("apart") * (F.log(q / p) + against) >= looked)
+    return told.filter(enough).select("entity", "term", F.log2(q / p).alias("bits"))
+
+
+def _piece(blocks: Column, start: Column, stop: Column) -> Column:
+    """Code points start (from 0) to stop of a text held as blocks of BLOCK code points."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(stop / BLOCK).cast("int")
+    block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    several = F.concat(F.substring(block(first), start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substring(block(last), F.lit(1), stop % BLOCK))
+    return F.when(start >= stop, "").when(first == last, F.substring(block(first), start % BLOCK + 1, stop - start)).otherwise(several)
+
+
+def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """The text with each span replaced; a span that begins within an earlier one is left out, and what it covers goes."""
+    in_order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+
+    def build(s: Column) -> Column:
+        def parts(reach: Column) -> Column:
+            def cut(blocks: Column) -> Column:
+                one = lambda x, r: F.when(x["start"] < r, "").otherwise(F.concat(_piece(blocks, r, x["start"]), by(x)))
+                end = F.greatest(F.element_at(reach, -1), F.element_at(s, -1)["stop"])
+                return F.concat(F.array_join(F.zip_with(s, reach, one), ""), _piece(blocks, end, F.length(text)))
+
+            return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), cut)
+
+        return _let(_running(F.transform(s, lambda x: x["stop"]), lambda a, b: F.greatest(a, b)), parts)
+
+    return _let(in_order, lambda s: F.when(F.size(s) > 0, build(s)).otherwise(text))
+
+
+def _term_spans(text: Column, base: Column, listed: Column) -> Column:
+    """Spans of the listed terms in what the base spans leave of a text."""
+    left = _replaced(text, base, lambda s: F.repeat(F.lit("\x01"), s["stop"] - s["start"]))
+
+    def find(rest: Column, low: Column) -> Column:
+        hits = _located(rest, WORD_CLASS, lambda _, i: F.array_contains(listed, F.regexp_replace(F.get(low, i), OUTER, "")))
+        lead = lambda w: F.length(F.regexp_extract(w, r"^[^\p{L}\p{N}]*+", 0))
+        return F.transform(hits, lambda w: _span("term", w["start"] + lead(w["value"]), F.regexp_replace(w["value"], OUTER, "")))
+
+    return _let(left, lambda rest: _let(F.regexp_extract_all(F.lower(rest), F.lit(WORD_CLASS), F.lit(0)), lambda low: find(rest, low)))
+
+
+@tidy
+def sanitize(documents: DataFrame, alpha: float = 0.8, min_together: int = 3) -> DataFrame:
     """Spans of personal data in every whole text, their sanitised text, and terms that disclose them.
 
-    The four pattern kinds give the base spans, which always stay. In a document with base spans, words that disclose
-    one of its entities (`disclosing_terms`, estimated over all documents) are added as spans of the kind "term",
-    unless they touch a base span. `sanitised` generalises base spans to their kind in brackets and removes terms.
+    The four pattern kinds give the base spans, which always stay. Words that disclose a protected entity
+    (`disclosing_terms`, estimated over all documents) are added as spans of the kind "term" wherever they stand outside
+    base spans, also in documents that don't name the entity, as they tell it there too. `sanitised` generalises base
+    spans to their kind in brackets and removes terms.
 
-    Built-in expressions only. Each text is scanned once for the patterns (with possessive quantifiers, so that long
-    runs of digits or letters stay linear). Words are counted only for documents with entities found in at least
-    `min_together` texts that are no near copies; corpus counts of those words are summed before they are shuffled.
+    Built-in expressions only. Each text is scanned once for the patterns and written with what was found; words are
+    split once for the counts, and once more if a term discloses something. Possessive patterns, sums by blocks and cuts
+    from blocks keep the work on a text of n characters with m spans near n + m^1.5. Corpus counts are summed before they
+    are shuffled. Documents with one text are held as one with a count.
 
     Returns doc_id, text, base, terms (arrays of kind, start, stop, value; code points, stop exclusive), sanitised. A
     null text counts as empty and has no spans. Repeated rows and null ids are kept as they are; other columns are left
     out; an empty table gives an empty result.
     """
-    found = base_spans(documents)
-    own = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))))
-    pairs = table(disclosing_terms(found, alpha, min_together), "disclosing")
-    by_entity = pairs.groupBy("entity").agg(F.sort_array(F.collect_set("term")).alias("listed"))
-    hit = table(
-        found.filter(F.size("base") > 0).withColumn("row", F.monotonically_increasing_id())
-        .select("row", "doc_id", "text", F.explode(own).alias("entity")).join(by_entity, "entity")
-        .groupBy("doc_id", F.md5("text").alias("digest")).agg(F.array_distinct(F.flatten(F.collect_list("listed"))).alias("listed")),
-        "hit",
-    )
-    joined = found.withColumn("digest", F.when(F.size("base") > 0, F.md5("text"))).join(
-        hit.withColumnRenamed("doc_id", "hit_id").withColumnRenamed("digest", "hit_digest"),
-        F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest")), "left",
-    )
-    word = WORD_CLASS
-    gaps, matches = F.split(F.col("text"), word, -1), F.regexp_extract_all("text", F.lit(word), F.lit(0))
-    bare = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    state = F.aggregate(
-        F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + p["gap"] + F.length(p["value"])).alias("at"),
-            F.when(F.array_contains(F.col("listed"), bare(p["value"])), F.concat(s["out"], F.array(F.struct(F.lit("term").alias("kind"), (s["at"] + p["gap"]).alias("start"), (s["at"] + p["gap"] + F.length(p["value"])).alias("stop"), p["value"].alias("value"))))).otherwise(s["out"]).alias("out"),
-        ),
-    )["out"]
-    clear = F.filter(state, lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    terms = F.when(F.col("listed").isNotNull(), clear).otherwise(F.array().cast(_SPANS))
-    everything = F.sort_array(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"], s["stop"], s["kind"])))
-    cut = F.aggregate(
-        everything,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, p: F.struct(
-            F.greatest(s["at"], p["stop"]).alias("at"),
-            F.when(p["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, p["start"] - s["at"]), F.when(p["kind"] == "term", "").otherwise(F.concat(F.lit("["), p["kind"], F.lit("]"))))).alias("out"),
-        ),
-    )
-    return (
-        joined.withColumn("terms", terms)
-        .withColumn("sanitised", F.when(F.size("base") > 0, F.concat(cut["out"], F.substring(F.col("text"), cut["at"] + 1, F.length("text")))).otherwise(F.col("text")))
-        .select("doc_id", "text", "base", "terms", "sanitised")
-    )
+    rows = table(_rows(documents), "rows")
+    told = table(disclosing_terms(rows, alpha, min_together).select("term").distinct(), "disclosing")
+    if told.isEmpty():
+        hit = rows.limit(0).select("d0", "d1", F.array().cast("array<string>").alias("listed"))
+    else:
+        words = rows.select("d0", "d1", F.explode(_terms(_in_order(F.col("text")))).alias("term"))
+        hit = may_hold(words, "term", told, "term").join(told, "term").groupBy("d0", "d1").agg(F.collect_set("term").alias("listed"))
+    joined = rows.join(table(hit, "hit"), ["d0", "d1"], "left")
+    terms = F.when(F.col("listed").isNotNull(), _term_spans(F.col("text"), F.col("base"), F.col("listed"))).otherwise(F.array().cast(_SPANS))
+    out = joined.select("doc_id", "text", "base", terms.alias("terms"))
+    name = lambda s: F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+    return out.select("doc_id", "text", "base", "terms", _replaced(F.col("text"), F.concat("base", "terms"), name).alias("sanitised"))
 
 
 def _written(spans: Column) -> Column:
@@ -187,8 +287,7 @@ def _written(spans: Column) -> Column:
 
 
 def span_digest(sanitized: DataFrame) -> DataFrame:
-    """doc_id, the number of base spans of each kind, base_sha256 and all spans written as kind:start:end."""
+    """doc_id, the number of base spans of each kind, base_sha256, all spans written as kind:start:end, and their number."""
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return sanitized.select("doc_id", *map(n, KINDS), F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.concat("base", "terms")).alias("spans"))
-
-
+    every = F.concat("base", "terms")
+    return sanitized.select("doc_id", *map(n, KINDS), F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
