@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ._common import WORD_CLASS, may_hold, table, texts, tidy
 from .components import components
+from .spans import let, replaced, running
 
 # The patterns of the four kinds. Possessive quantifiers and the look-behinds change no match; they keep
 # matching linear in the text and free of recursion.
@@ -31,32 +32,8 @@ _SPANS = "array<struct<kind:string,start:int,stop:int,value:string>>"
 BETWEEN = r"^[^\p{L}\p{N}]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}\s]*+(?:\s[^\p{L}\p{N}]*+|$)"
 #: The same of a single word.
 OUTER = r"^[^\p{L}\p{N}]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$"
-#: Code points of a text's block, for cutting pieces out of long texts.
-BLOCK = 4096
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of `value`, which is computed once a row however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _running(values: Column, fold: Callable[[Column, Column], Column], wanted: Column | None = None) -> Column:
-    """For each position (or each of those `wanted`), the fold from 0 of the values before it.
-
-    In blocks of the square root of the length, so that m of n positions cost n + m n^0.5 cheap steps; an array that
-    grows by one element a step would be copied n times.
-    """
-
-    def at(v: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(v))).cast("int")
-        over = lambda part: F.aggregate(part, F.lit(0), fold)
-        heads = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda b: over(F.slice(v, b * width + 1, width)))
-        places = F.sequence(F.lit(0), F.size(v) - 1) if wanted is None else wanted
-        before = lambda h, i: fold(over(F.slice(h, F.lit(1), F.floor(i / width).cast("int"))), over(F.slice(v, i - i % width + 1, i % width)))
-        return _let(heads, lambda h: F.transform(places, lambda i: before(h, i)))
-
-    return _let(values, lambda v: F.when(F.size(v) > 0, at(v)).otherwise(F.array().cast("array<int>")))
-
 
 def _valid(kind: str, match: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
@@ -85,12 +62,12 @@ def _located(text: Column, pattern: str, keep: Callable[[Column, Column], Column
 
         def found(own: Column, gap: Column) -> Column:
             lengths = F.zip_with(F.slice(gap, F.lit(1), F.size(matches)), matches, lambda g, m: g + F.length(m))
-            return F.zip_with(own, _running(lengths, lambda a, b: a + b, own), lambda i, at: F.struct((at + F.get(gap, i)).alias("start"), F.get(matches, i).alias("value")))
+            return F.zip_with(own, running(lengths, lambda a, b: a + b, own), lambda i, at: F.struct((at + F.get(gap, i)).alias("start"), F.get(matches, i).alias("value")))
 
         none = F.array().cast("array<struct<start:int,value:string>>")
-        return F.when(F.size(matches) > 0, _let(chosen, lambda own: F.when(F.size(own) > 0, _let(gaps, lambda gap: found(own, gap))).otherwise(none))).otherwise(none)
+        return F.when(F.size(matches) > 0, let(chosen, lambda own: F.when(F.size(own) > 0, let(gaps, lambda gap: found(own, gap))).otherwise(none))).otherwise(none)
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
 
 
 def _span(kind: str, start: Column, value: Column) -> Column:
@@ -212,42 +189,20 @@ def disclosing_terms(rows: DataFrame, alpha: float, min_together: int) -> DataFr
     return told.filter(enough).select("entity", "term", F.log2(q / p).alias("bits"))
 
 
-def _piece(blocks: Column, start: Column, stop: Column) -> Column:
-    """Code points start (from 0) to stop of a text held as blocks of BLOCK code points."""
-    first, last = F.floor(start / BLOCK).cast("int"), F.floor(stop / BLOCK).cast("int")
-    block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
-    several = F.concat(F.substring(block(first), start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substring(block(last), F.lit(1), stop % BLOCK))
-    return F.when(start >= stop, "").when(first == last, F.substring(block(first), start % BLOCK + 1, stop - start)).otherwise(several)
-
-
-def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
-    """The text with each span replaced; a span that begins within an earlier one is left out, and what it covers goes."""
-    in_order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-
-    def build(s: Column) -> Column:
-        def parts(reach: Column) -> Column:
-            def cut(blocks: Column) -> Column:
-                one = lambda x, r: F.when(x["start"] < r, "").otherwise(F.concat(_piece(blocks, r, x["start"]), by(x)))
-                end = F.greatest(F.element_at(reach, -1), F.element_at(s, -1)["stop"])
-                return F.concat(F.array_join(F.zip_with(s, reach, one), ""), _piece(blocks, end, F.length(text)))
-
-            return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), cut)
-
-        return _let(_running(F.transform(s, lambda x: x["stop"]), lambda a, b: F.greatest(a, b)), parts)
-
-    return _let(in_order, lambda s: F.when(F.size(s) > 0, build(s)).otherwise(text))
+def _placed(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
 
 
 def _term_spans(text: Column, base: Column, listed: Column) -> Column:
     """Spans of the listed terms in what the base spans leave of a text."""
-    left = _replaced(text, base, lambda s: F.repeat(F.lit("\x01"), s["stop"] - s["start"]))
+    left = replaced(text, _placed(base), lambda s: F.repeat(F.lit("\x01"), s["stop"] - s["start"]))
 
     def find(rest: Column, low: Column) -> Column:
         hits = _located(rest, WORD_CLASS, lambda _, i: F.array_contains(listed, F.regexp_replace(F.get(low, i), OUTER, "")))
         lead = lambda w: F.length(F.regexp_extract(w, r"^[^\p{L}\p{N}]*+", 0))
         return F.transform(hits, lambda w: _span("term", w["start"] + lead(w["value"]), F.regexp_replace(w["value"], OUTER, "")))
 
-    return _let(left, lambda rest: _let(F.regexp_extract_all(F.lower(rest), F.lit(WORD_CLASS), F.lit(0)), lambda low: find(rest, low)))
+    return let(left, lambda rest: let(F.regexp_extract_all(F.lower(rest), F.lit(WORD_CLASS), F.lit(0)), lambda low: find(rest, low)))
 
 
 @tidy
@@ -259,8 +214,8 @@ def sanitize(documents: DataFrame, alpha: float = 0.8, min_together: int = 3) ->
     base spans, also in documents that don't name the entity, as they tell it there too. `sanitised` generalises base
     spans to their kind in brackets and removes terms.
 
-    Built-in expressions only. Each text is scanned once for the patterns and written with what was found; words are
-    split once for the counts, and once more if a term discloses something. Possessive patterns, sums by blocks and cuts
+    Built-in expressions only. Texts are scanned for the patterns twice, for the counts and for the result, which costs less
+    than a written copy of them; words are split once for the counts, and once more if a term discloses something. Possessive patterns, sums by blocks and cuts
     from blocks keep the work on a text of n characters with m spans near n + m^1.5. Corpus counts are summed before they
     are shuffled. Documents with one text are held as one with a count.
 
@@ -268,7 +223,7 @@ def sanitize(documents: DataFrame, alpha: float = 0.8, min_together: int = 3) ->
     null text counts as empty and has no spans. Repeated rows and null ids are kept as they are; other columns are left
     out; an empty table gives an empty result.
     """
-    rows = table(_rows(documents), "rows")
+    rows = _rows(documents)
     told = table(disclosing_terms(rows, alpha, min_together).select("term").distinct(), "disclosing")
     if told.isEmpty():
         hit = rows.limit(0).select("d0", "d1", F.array().cast("array<string>").alias("listed"))
@@ -279,7 +234,7 @@ def sanitize(documents: DataFrame, alpha: float = 0.8, min_together: int = 3) ->
     terms = F.when(F.col("listed").isNotNull(), _term_spans(F.col("text"), F.col("base"), F.col("listed"))).otherwise(F.array().cast(_SPANS))
     out = joined.select("doc_id", "text", "base", terms.alias("terms"))
     name = lambda s: F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
-    return out.select("doc_id", "text", "base", "terms", _replaced(F.col("text"), F.concat("base", "terms"), name).alias("sanitised"))
+    return out.select("doc_id", "text", "base", "terms", replaced(F.col("text"), _placed(F.concat("base", "terms")), name).alias("sanitised"))
 
 
 def _written(spans: Column) -> Column:
