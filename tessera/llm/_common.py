@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.ship import ship_package
@@ -137,7 +137,23 @@ def texts(documents: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def text_key() -> Column:
+    """A hash that tells texts apart that share a doc_id; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """row (all columns), id and key: rows whose own columns, whatever their names, are out of the way of other ones."""
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    return documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
+
+
+def unpacked(rows: DataFrame, documents: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of `documents` out of `packed` rows, with another text on demand."""
+    return rows.select(*[(text if text is not None and c == "text" else F.col("row").getField(c)).alias(c) for c in documents.columns])
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds few rows and, unless one text is longer, few bytes of text."""
     for batch in batches:
         sizes = pc.binary_length(batch.column("text")).to_pylist() if batch.num_rows else []
