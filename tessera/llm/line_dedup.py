@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_table, may_hold, table
+from ._common import drop_table, may_hold, packed, table, text_key, tidy, unpacked
 
 #: White space that needs tidying before words can be split at single spaces.
 _UNTIDY = ("\t", "\x0b", "\f", "\r", "  ", "\n ", " \n")
 
 
 def _lines(documents: DataFrame, min_words: int) -> DataFrame:
-    """(doc, line, w): the 64-bit hashes of the lower-cased words of every line with at least `min_words` words."""
+    """(doc, line, own, w): a hash of the text, and the 64-bit hashes of the lower-cased words of every line with at least `min_words` words."""
     raw = F.col("text").cast("string")
     text = F.lower(raw)
     tidy = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r"(?md)^\x20|\x20$", "")
@@ -21,10 +21,10 @@ def _lines(documents: DataFrame, min_words: int) -> DataFrame:
         untidy = untidy | raw.contains(part)
     clean = F.when(untidy, tidy).otherwise(text)
     return (
-        documents.select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(clean, "\n", -1)).alias("line", "raw"))
+        documents.select(F.col("doc_id").cast("long").alias("doc"), text_key().alias("own"), F.posexplode(F.split(clean, "\n", -1)).alias("line", "raw"))
         .filter("doc is not null and raw <> ''")
         .filter(F.length("raw") - F.length(F.replace("raw", F.lit(" "), F.lit(""))) + 1 >= min_words)
-        .select("doc", "line", F.transform(F.split("raw", " "), lambda w: F.xxhash64(w)).alias("w"))
+        .select("doc", "line", "own", F.transform(F.split("raw", " "), lambda w: F.xxhash64(w)).alias("w"))
     )
 
 
@@ -69,15 +69,15 @@ def _near(documents: DataFrame, distinct: DataFrame, min_words: int, blocks: int
     slim = distinct.select("d0", F.explode("keys").alias("key"))
     open_keys = table(slim.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     hits = may_hold(slim, "key", open_keys, "key").join(open_keys, "key").groupBy("d0").agg(F.collect_set("key").alias("open"))
-    wanted = table(hits.join(distinct.select("d0", "d1", "place"), "d0").select("d0", "d1", "place.doc", "place.line", "open"), "wanted")
+    wanted = table(hits.join(distinct.select("d0", "d1", "place"), "d0").select("d0", "d1", "place.*", "open"), "wanted")
     texts = may_hold(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", wanted, "doc")
-    words = _lines(texts, min_words).join(wanted, ["doc", "line"])
+    words = _lines(texts, min_words).drop("own").join(wanted, ["doc", "line"])
     # of rows that share a doc_id, the line whose digests were grouped
     held = table(words.filter((F.xxhash64("w") == F.col("d0")) & (F.xxhash64(F.lit("second"), "w") == F.col("d1"))).dropDuplicates(["d0", "d1"]), "held")
     drop_table(wanted)
     named = [F.struct(key.alias("key"), F.lit(less).alias("less"), F.struct(at.alias("at"), size.alias("len")).alias("cut")) for key, less, at, size in _keys(F.col("w"), F.size("w"), blocks)]
     keys = F.filter(F.array(*named), lambda k: F.array_contains("open", k["key"]))
-    each = held.select("d0", "d1", F.struct("doc", "line").alias("place"), "w", F.explode(keys).alias("k")).select("d0", "d1", "place", "w", "k.*")
+    each = held.select("d0", "d1", F.struct("doc", "line", "own").alias("place"), "w", F.explode(keys).alias("k")).select("d0", "d1", "place", "w", "k.*")
     inner = F.slice("w", F.col("cut.at"), F.col("cut.len"))
     without = F.transform(F.sequence(F.lit(1), F.size(inner)), lambda i: F.struct(i.alias("i"), F.slice(inner, F.lit(1), i - 1).alias("front"), F.slice(inner, i + 1, F.size(inner)).alias("back")))
     variant = lambda kind, longer, *parts: F.struct(F.lit(kind).alias("kind"), F.lit(longer).alias("longer"), F.xxhash64("key", F.lit(kind), *parts).alias("key"))
@@ -96,6 +96,7 @@ def _near(documents: DataFrame, distinct: DataFrame, min_words: int, blocks: int
     return best.join(a, ["d0", "d1"]).join(b, ["e0", "e1"]).filter(_within_one(F.col("w_a"), F.col("w_b"))).select("d0", "d1", "near")
 
 
+@tidy
 def repeated_lines(documents: DataFrame, min_words: int = 5, max_edits: int = 1, blocks: int = 3, exact_words: int | None = None) -> DataFrame:
     """Lines that repeat an earlier line of the corpus up to `max_edits` (0 or 1) words put in, left out or changed.
 
@@ -111,49 +112,51 @@ def repeated_lines(documents: DataFrame, min_words: int = 5, max_edits: int = 1,
     Keys are only ever grouped by sums and minima, so a key under which a third of all lines fall is one row a task;
     no pairs are formed within a group. Only digests and keys are shuffled, and the words of lines that share a key.
 
-    Returns doc_id, line (from 0), near (whether the earlier line differs), of_doc, of_line: one row for each repeated
-    line of each document. Null texts and rows with a null doc_id have none. Rows that repeat a doc_id are one
-    document, line by line. Other columns are left out; an empty table gives an empty result.
+    Returns doc_id, text_id (a hash of the whole text), line (from 0), near (whether the earlier line differs), of_doc,
+    of_line: one row for each repeated line of each document. Null texts and rows with a null doc_id have none. Rows that
+    repeat a doc_id with the same text are one document; with different texts, the lines of one number rank by text_id.
+    Other columns are left out; an empty table gives an empty result.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     if min_words <= blocks:
         raise ValueError("a line of min_words words must have more words than blocks")
-    place = F.struct("doc", "line")
+    place = F.struct("doc", "line", "own")
     floor = min_words if exact_words is None else min(exact_words, min_words)
     hashed = F.array(*[k[0] for k in _keys(F.col("w"), F.size("w"), blocks)]) if max_edits else F.array().cast("array<long>")
     if floor < min_words:  # cut, not chosen by a condition, so that the keys' common parts are still computed once
         hashed = F.slice(hashed, F.lit(1), F.when(F.size("w") >= min_words, 2 * blocks).otherwise(0))
-    lines = table(_lines(documents, floor).select("doc", "line", *_digest(F.col("w")), hashed.alias("keys")), "lines", "snappy")
+    lines = table(_lines(documents, floor).select("doc", "line", "own", *_digest(F.col("w")), hashed.alias("keys")), "lines", "snappy")
     distinct = table(lines.groupBy("d0", "d1").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("keys").alias("keys")), "distinct", "snappy")
     exact = distinct.filter("n > 1").select("d0", "d1", F.col("place").alias("first"))
     if max_edits:
         decided = exact.join(_near(documents, distinct, min_words, blocks), ["d0", "d1"], "full_outer")
     else:
-        decided = exact.withColumn("near", F.lit(None).cast("struct<doc:bigint,line:int>"))
-    found = lines.select("doc", "line", "d0", "d1").join(table(decided, "decided"), ["d0", "d1"])
+        decided = exact.withColumn("near", F.lit(None).cast("struct<doc:bigint,line:int,own:bigint>"))
+    found = lines.select("doc", "line", "own", "d0", "d1").join(table(decided, "decided"), ["d0", "d1"])
     earlier = F.when(F.col("near").isNotNull(), F.col("near")).when(F.col("first") < place, F.col("first"))
     return found.withColumn("of", earlier).filter("of is not null").select(
-        F.col("doc").alias("doc_id"), "line", F.col("near").isNotNull().alias("near"), F.col("of.doc").alias("of_doc"), F.col("of.line").alias("of_line")
+        F.col("doc").alias("doc_id"), F.col("own").alias("text_id"), "line", F.col("near").isNotNull().alias("near"), F.col("of.doc").alias("of_doc"), F.col("of.line").alias("of_line")
     )
 
 
 def by_document(documents: DataFrame, repeated: DataFrame) -> DataFrame:
     """doc_id, n_removed, n_near, removed_lines (ascending, comma-joined): one row for each document row."""
-    removed = repeated.groupBy(F.col("doc_id").alias("r_doc")).agg(
-        F.array_sort(F.collect_set("line")).alias("gone"), F.count_if("near").alias("n_near")
+    removed = repeated.groupBy(F.col("doc_id").alias("r_doc"), F.col("text_id").alias("r_text")).agg(
+        F.array_sort(F.collect_set("line")).alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("line"))).alias("n_near")
     )
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return docs.join(removed, F.col("doc_id") == F.col("r_doc"), "left").select(
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_id"))
+    return docs.join(removed, (F.col("doc_id") == F.col("r_doc")) & (F.col("text_id") == F.col("r_text")), "left").select(
         "doc_id", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed_lines")
     )
 
 
 def remove_lines(documents: DataFrame, repeated: DataFrame) -> DataFrame:
     """The documents without their repeated lines; all columns stay. A document all of whose lines with words are
-    repeated, being a copy of earlier ones, goes; one without any repeated line stays as it is."""
-    removed = repeated.groupBy(F.col("doc_id").alias("__gone_doc")).agg(F.collect_set("line").alias("__gone"))
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    joined = documents.join(removed, F.col("doc_id") == F.col("__gone_doc"), "left")
-    out = joined.withColumn("__rest", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest))
-    return out.filter(F.col("__gone").isNull() | F.col("__rest").rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.col("__rest")).select(*documents.columns)
+    repeated, being a copy of earlier ones, goes; one without any repeated line stays as it is. Lines are found again by id
+    and text, so that of rows that share an id each loses its own lines only."""
+    removed = repeated.groupBy(F.col("doc_id").alias("id"), F.col("text_id").alias("key")).agg(F.collect_set("line").alias("gone"))
+    joined = packed(documents).join(removed, ["id", "key"], "left")
+    rest = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = joined.withColumn("rest", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(rest))
+    return unpacked(out.filter(F.col("gone").isNull() | F.col("rest").rlike(r"[^\x20\x09-\x0D]")), documents, F.col("rest"))
