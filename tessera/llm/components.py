@@ -36,6 +36,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         else:
             nearer = points.select(F.col("id").alias("label"), F.col("to").alias("next"))
             labels = table(labels.join(nearer, "label", "left").select("id", F.coalesce("next", "label").alias("label")), f"labels{turn}")
+    else:
+        raise RuntimeError("links remain after 200 rounds")
     if labels is None:
         return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     least = labels.groupBy("label").agg(F.min("id").alias("component"))

@@ -6,16 +6,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, may_hold, slices, table, texts
+from ._common import map_arrow, may_hold, slices, table, text_key, texts, tidy
 from .components import components
 
 SKETCH_BITS, SLICE_BITS = 22, 16
 BITMAP_WORDS, LARGE_WORDS, LARGE_SET = 16, 128, 1000
 _U = np.uint64
+_MASK = (1 << 64) - 1
+#: Parts into which the postings of a common shingle are dealt.
+SALTS = 64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Two odd multipliers (5 modulo 8), for two independent polynomial hashes of a word's bytes.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4D)
@@ -89,8 +93,15 @@ def shingle_sets(all_texts: list[str], k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def set_id(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def set_id(shingles: np.ndarray) -> tuple[int, int]:
+    """A set's name, and a second one for sets whose first names clash."""
+    d = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (d & _MASK) - (1 << 63), (d >> 64) - (1 << 63)
+
+
+def named(shingles: np.ndarray, clashes: frozenset[int]) -> int:
+    first, second = set_id(shingles)
+    return second if first in clashes else first
 
 
 def bitmap(shingles: np.ndarray, words: int = BITMAP_WORDS) -> list[int]:
@@ -111,6 +122,11 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray
     return shingles[np.lexsort((shingles, level))[:keep]] if level.any() else shingles[:keep]
 
 
+def _salt(tokens: np.ndarray, v: int, levels: np.ndarray) -> np.ndarray:
+    """0 for a shingle that is not common; for a common one a part from 1 on that the set's name decides."""
+    return np.where(levels[_cell(tokens, len(levels))] > 0, 1 + v % SALTS, 0).astype(np.int32)
+
+
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = np.concatenate((a, b))
     both.sort()
@@ -134,18 +150,18 @@ def _levels(parts: dict[int, bytes]) -> bytes:
 def _measure(k: int):
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-        names = ["doc_id", "n", "v", "bits", "large", "slice", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        names = ["doc_id", "text_id", "n", "v", "v2", "bits", "large", "slice", "counts"]
         for batch in slices(batches, chars=400_000):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
             np.add.at(sketch, _cell(np.concatenate(sets), 1 << SKETCH_BITS), np.uint32(1))
-            n = len(sets)
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], kinds[1]), pa.array([set_id(s) if len(s) else None for s in sets], kinds[2]), pa.array([bitmap(s) if len(s) else None for s in sets], kinds[3]), pa.array([bitmap(s, LARGE_WORDS) if len(s) >= LARGE_SET else None for s in sets], kinds[4]), pa.nulls(n, kinds[5]), pa.nulls(n, kinds[6])]
+            n, ids = len(sets), [set_id(s) if len(s) else (None, None) for s in sets]
+            columns = [batch.column("doc_id"), batch.column("text_id"), pa.array([len(s) for s in sets], kinds[2]), pa.array([a for a, _ in ids], kinds[3]), pa.array([b for _, b in ids], kinds[4]), pa.array([bitmap(s) if len(s) else None for s in sets], kinds[5]), pa.array([bitmap(s, LARGE_WORDS) if len(s) >= LARGE_SET else None for s in sets], kinds[6]), pa.nulls(n, kinds[7]), pa.nulls(n, kinds[8])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
         if sketch.any():
             parts = sketch.reshape(-1, 1 << SLICE_BITS)
             packed = [zlib.compress(p.tobytes(), 1) for p in parts]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(packed), t) for t in kinds[:5]), pa.array(range(len(packed)), kinds[5]), pa.array(packed, kinds[6])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(packed), t) for t in kinds[:7]), pa.array(range(len(packed)), kinds[7]), pa.array(packed, kinds[8])], names=names)
 
     return run
 
@@ -157,17 +173,24 @@ def _add_up(rows: pa.Table) -> pa.Table:
     return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
 
 
+_POSTINGS = pa.schema([(c, pa.int64()) for c in ("token", "v", "n", "pos")])
+
+
 def _tiles(percent: int):
     """From postings sorted by token, size and set, those that share their tile with another set.
 
     A tile is a stretch of a token's sets in which each is at most 100/percent times the size of the one before; no
-    pair outside a tile can be similar. Only the open tile's last set is held.
+    pair outside a tile can be similar. Only the open tile's last set is held. Postings with a salt, those of common
+    shingles, stand apart from others of their shingle and all go on.
     """
 
     def run(batches):
         token = before = None
         told = False
         for batch in batches:
+            common = pc.greater(batch.column("salt"), 0)
+            yield batch.filter(common).select(["token", "v", "n", "pos"]).cast(_POSTINGS)
+            batch = batch.filter(pc.invert(common))
             if not batch.num_rows:
                 continue
             t, v, n, p = (batch.column(c).to_numpy() for c in ("token", "v", "n", "pos"))
@@ -189,7 +212,7 @@ def _tiles(percent: int):
                         out.append((int(token), own, size, pos))
                     before = (own, size, pos)
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "v", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_POSTINGS)
 
     return run
 
@@ -205,7 +228,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).withColumn("share", F.col("differ") / (F.col("n_a") + F.col("n_b"))).select(*pairs.columns, "share")
 
 
-def _verified(base: DataFrame, near: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(base: DataFrame, near: DataFrame, classes: DataFrame, k: int, percent: int, clashes: frozenset[int]) -> DataFrame:
     """Those pairs (a, b) of sets that are similar: the texts are fetched, one for each set, and sorted arrays
     intersected."""
     ends = near.select(F.col("a").alias("v")).union(near.select("b")).distinct()
@@ -214,7 +237,7 @@ def _verified(base: DataFrame, near: DataFrame, classes: DataFrame, k: int, perc
     def fetch(batches):
         for batch in slices(batches, chars=400_000):
             own = shingle_sets(batch.column("text").to_pylist(), k)
-            keep = [len(s) > 0 and set_id(s) == v for s, v in zip(own, batch.column("v").to_pylist(), strict=True)]
+            keep = [len(s) > 0 and named(s, clashes) == v for s, v in zip(own, batch.column("v").to_pylist(), strict=True)]
             ids = batch.column("v").filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s, x in zip(own, keep, strict=True) if x], pa.binary())], names=["v", "shingles"])
 
@@ -255,11 +278,12 @@ def _open(tiles: DataFrame, label: DataFrame) -> DataFrame:
     return labelled.join(tokens, "token", "left_semi")
 
 
+@tidy
 def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of their k-word shingle sets of at least `percent` in 100.
 
     Words are lower-cased (A-Z) and split at ASCII white space; shingles are 64-bit hashes; copies of a set are one
-    vertex, named by a 64-bit hash of the set. All shingles are put in one global order, rare before common: a hashed
+    vertex, told from others by a 128-bit hash of the set. All shingles are put in one global order, rare before common: a hashed
     count sketch of fixed size, added up over all documents, gives each its commonness level. Two similar sets must
     share a shingle of their prefixes in this order and lie in one tile, a size band of that shingle's postings. In
     two rounds each set is paired with the leader of another group that it meets most often; then all pairs of a tile
@@ -267,24 +291,30 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
     groups is lost. Parity bitmaps bound each pair's overlap from above before the sorted arrays are intersected.
 
     Postings are sorted by the shuffle and read as a stream that holds two sets of the open tile; texts are fetched
-    a second time only for pairs that the bitmaps let through. What reaches the driver is the sketch's level for each of 2^20 cells.
+    a second time only for pairs that the bitmaps let through. What reaches the driver is the sketch's level for each of 2^22 cells, and the names of sets that clash. Postings of shingles more common than chance are dealt by
+    their sets as well, so that no task gets all sets of one.
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included): one row for each
-    input row. Texts without words, null texts and rows with a null id are linked with nothing. Rows that repeat a
-    doc_id share its component where any of them is linked. Other columns are left out; an empty table gives an empty
+    Returns doc_id, text_id (a hash of the text), n_shingles, component_id (the smallest doc_id that links reach, itself
+    included): one row for each input row. Texts without words, null texts and rows with a null id are linked with nothing.
+    Rows that repeat a doc_id with different texts are each in the component of their own text. Other columns are left out; an empty table gives an empty
     result.
     """
-    base = texts(documents)
-    measured = table(map_arrow(base, _measure(k), "doc_id long, n long, v long, bits array<long>, large array<long>, slice int, counts binary"), "measured")
+    base = texts(documents, text_key().alias("text_id"))
+    measured = table(map_arrow(base, _measure(k), "doc_id long, text_id long, n long, v long, v2 long, bits array<long>, large array<long>, slice int, counts binary"), "measured")
     parts = measured.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_up, "slice int, counts binary").collect()
     packed = _levels({r["slice"]: bytes(r["counts"]) for r in parts})
+    # different sets of one 64-bit name, of which n^2 / 2^65 are expected among n, go by their second names
+    clashing = measured.filter("v is not null").groupBy("v").agg(F.min("v2").alias("a"), F.max("v2").alias("b")).filter("a <> b").select("v").collect()
+    clashes = frozenset(r["v"] for r in clashing)
+    if clashes:
+        measured = measured.withColumn("v", F.when(F.col("v").isin(list(clashes)), F.col("v2")).otherwise(F.col("v")))
 
     def post(batches):
         levels, seen = np.frombuffer(zlib.decompress(packed), np.uint8), set()
         for batch in slices(batches, chars=400_000):
-            tokens, ids, sizes, places = [], [], [], []
+            tokens, ids, sizes, places, salts = [], [], [], [], []
             for doc, own in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist(), k), strict=True):
-                if doc is None or not len(own) or (v := set_id(own)) in seen:
+                if doc is None or not len(own) or (v := named(own, clashes)) in seen:
                     continue
                 seen.add(v)  # a task posts a set once
                 first = prefix(own, levels, percent)
@@ -292,15 +322,16 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
                 ids.append(np.full(len(first), v))
                 sizes.append(np.full(len(first), len(own), dtype=np.int32))
                 places.append(np.arange(len(first), dtype=np.int32))
+                salts.append(_salt(first, v, levels))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, ids, sizes, places)], names=["token", "v", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, ids, sizes, places, salts)], names=["token", "v", "n", "pos", "salt"])
 
-    postings = map_arrow(base, post, "token long, v long, n int, pos int")
-    order = postings.repartition("token").sortWithinPartitions("token", "n", "v")
+    postings = map_arrow(base, post, "token long, v long, n int, pos int, salt int")
+    order = postings.repartition("token", "salt").sortWithinPartitions("token", "n", "v")
     tiles = table(map_arrow(order, _tiles(percent), "token long, v long, n long, pos long"), "tiles")
-    docs = measured.filter("slice is null").select("doc_id", "n", "v")
-    named = measured.filter("v is not null and doc_id is not null")
-    classes = table(named.groupBy("v").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("large").alias("large")), "classes")
+    docs = measured.filter("slice is null").select("doc_id", "text_id", "n", "v")
+    known = measured.filter("v is not null and doc_id is not null")
+    classes = table(known.groupBy("v").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("large").alias("large")), "classes")
     weight = tiles.groupBy("v").agg(F.count("*").alias("weight"))
     tiles = table(tiles.join(weight, "v"), "weighted")
     tried = links = None
@@ -308,7 +339,7 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
     for turn in range(2):
         now = _favourites(_open(tiles, label), turn, percent)
         now = table(now.join(tried, ["a", "b"], "left_anti") if tried else now, f"favourites{turn}")
-        similar = _verified(base, table(_possible(now, classes, percent).select("a", "b"), "near"), classes, k, percent)
+        similar = _verified(base, table(_possible(now, classes, percent).select("a", "b"), "near"), classes, k, percent, clashes)
         links = table(links.unionByName(similar), f"links{turn}") if links else similar
         tried = table(tried.unionByName(now), f"tried{turn}") if tried else now
         label = table(components(links), "label").select(F.col("id").alias("v"), F.col("component").alias("label"))
@@ -329,7 +360,7 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
         groups = Window.partitionBy(F.least("l_a", "l_b"), F.greatest("l_a", "l_b")).orderBy("share", "a", "b")
         now = rest.withColumn("turn", F.row_number().over(groups)).filter(F.col("turn") <= most) if most else rest
         now = table(now.select("a", "b"), "now")
-        links = table(links.unionByName(_verified(base, now, classes, k, percent)), "links")
+        links = table(links.unionByName(_verified(base, now, classes, k, percent, clashes)), "links")
         label = table(components(links), "label").select(F.col("id").alias("v"), F.col("component").alias("label"))
         if most:
             ends = [label.select(F.col("v").alias(c), F.col("label").alias(f"new_{c}")) for c in "ab"]
@@ -338,4 +369,4 @@ def similar_documents(documents: DataFrame, k: int = 5, percent: int = 75) -> Da
     grouped = classes.select("v", "least").join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = grouped.join(least, "label").select("v", "component_id")
-    return docs.join(of_class, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return docs.join(of_class, "v", "left").select("doc_id", "text_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
