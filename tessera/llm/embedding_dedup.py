@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, table
+from ._common import map_arrow, table, tidy
 from .components import components
 
 SEED = 20240601
@@ -107,12 +107,13 @@ def _groups(batches, keys: tuple[str, ...]):
         yield pa.Table.from_batches(held)
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, miss: float = 1e-4, z: float = 6.0, block: int = 512) -> DataFrame:
+@tidy
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, miss: float = 1e-9, z: float = 6.0, block: int = 512) -> DataFrame:
     """Links between vectors of equal label with cosine >= `threshold`, and their connected components.
 
-    Equal vectors of a label are first one representative with a count. Representatives are dealt to sign-bit buckets
-    of `tables_needed` tables (wider keys for more vectors, so buckets stay small; a pair at the threshold shares
-    none with probability `miss`). Within a bucket, rotated binary codes with correction factors bound each inner
+    Equal vectors of a label are first one representative with a count of their ids. Representatives are dealt to sign-bit
+    buckets of `tables_needed` tables (wider keys for a label of more vectors, so buckets stay small whatever the other
+    labels' sizes; a pair at the threshold shares none with probability `miss`). Within a bucket, rotated binary codes with correction factors bound each inner
     product; pairs whose bound reaches the threshold, and only those, are recomputed in double precision, so no link
     below the threshold is made. A pair is counted in its first common table. Buckets beyond `block` vectors are split
     into tiles of two blocks, so that no task gathers a group of near copies; a tile returns a count and one link for
@@ -120,7 +121,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, miss: float
 
     Returns vec_id, n_links, component_id, kept: one row for each input row. Vectors that are null, empty, zero or
     hold null or non-finite components, and rows with a null label or id, link with nothing and are kept. Vectors of
-    different lengths don't link. Rows that repeat a vec_id with different vectors are one vertex. Other columns are
+    different lengths don't link. A row that repeats another's vec_id and vector counts once; rows that repeat a vec_id with
+    different vectors are vertices of their own under one id. Other columns are
     left out; an empty table gives an empty result.
     """
     double = dict(embeddings.dtypes)["embedding"] == "array<double>"
@@ -132,21 +134,22 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, miss: float
     digest = [F.xxhash64("label", "embedding"), F.xxhash64(F.lit("second"), "label", "embedding")]
     keyed = keyed.select("vec_id", "label", "embedding", *[F.when(F.col("valid"), d).alias(f"d{i}") for i, d in enumerate(digest)])
     alike = keyed.filter("d0 is not null").groupBy("d0", "d1").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
+        F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
     )
-    reps = table(alike, "representatives")
-    size = reps.agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).first()
-    bits = min(24, max(4, math.ceil(math.log2(max(1, size["n"] / max(1, size["labels"])) / 64 + 1e-9)))) if size["n"] else 4
-    tables = tables_needed(bits, threshold, miss)
+    ids = keyed.filter("d0 is not null").select("vec_id", "d0", "d1").distinct().groupBy("d0", "d1").agg(F.count("*").alias("copies"))
+    reps = table(alike.join(ids, ["d0", "d1"]), "representatives")
+    wide = F.ceil(F.log2(F.count("*") / 64 + 1e-9)).cast("int")
+    bits_of = reps.groupBy("label").agg(F.least(F.greatest(wide, F.lit(4)), F.lit(24)).alias("bits"))
 
     def deal(batches):
         for batch in batches:
             lists = batch.column("embedding")
-            by_dim: dict[int, list[int]] = {}
-            for i, n in enumerate(lists.value_lengths().to_pylist()):
-                by_dim.setdefault(n, []).append(i)
+            by_kind: dict[tuple[int, int], list[int]] = {}
+            for i, kind_of in enumerate(zip(lists.value_lengths().to_pylist(), batch.column("bits").to_pylist(), strict=True)):
+                by_kind.setdefault(kind_of, []).append(i)
             ids, labels, copies = (batch.column(c).to_pylist() for c in ("rep", "label", "copies"))
-            for dim, own in by_dim.items():
+            for (dim, bits), own in by_kind.items():
+                tables = tables_needed(bits, threshold, miss)
                 x = np.array(lists.take(pa.array(own)).flatten(), dtype=kind).reshape(len(own), dim)
                 big = x.astype("f8")
                 unit = (big / np.linalg.norm(big / np.abs(big).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(big).max(1, keepdims=True)).astype("f4")
@@ -155,11 +158,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, miss: float
                 out: list[tuple] = []
                 for r, i in enumerate(own):
                     raw, code = x[r].tobytes(), packed[r].tobytes()
-                    out += [(labels[i], dim, t, k, ids[i], copies[i], raw, code, float(factors[r])) for t, k in enumerate(keys[r].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["label", "dim", "t", "key", "id", "copies", "x", "code", "factor"])
+                    out += [(labels[i], dim, bits, t, k, ids[i], copies[i], raw, code, float(factors[r])) for t, k in enumerate(keys[r].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["label", "dim", "bits", "t", "key", "id", "copies", "x", "code", "factor"])
 
-    dealt = map_arrow(reps.select("rep", "label", "copies", "embedding"), deal, "label string, dim long, t long, key long, id long, copies long, x binary, code binary, factor double")
-    bucket = ["label", "dim", "t", "key"]
+    dealt = map_arrow(reps.join(bits_of, "label").select("rep", "label", "copies", "embedding", "bits"), deal, "label string, dim long, bits long, t long, key long, id long, copies long, x binary, code binary, factor double")
+    bucket = ["label", "dim", "bits", "t", "key"]
     dealt = table(dealt, "dealt")
     large = table(dealt.groupBy(*bucket).agg(F.count("*").alias("n")).filter(F.col("n") > block), "large")
     blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
@@ -174,13 +177,13 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, miss: float
         for rows in _groups(batches, group):
             if rows.num_rows < 2:
                 continue
-            dim, t, i, j = (rows.column(c)[0].as_py() for c in ("dim", "t", "i", "j"))
+            dim, bits, t, i, j = (rows.column(c)[0].as_py() for c in ("dim", "bits", "t", "i", "j"))
             ids, copies, side = (rows.column(c).to_numpy() for c in ("id", "copies", "own"))
             x = np.frombuffer(b"".join(rows.column("x").to_pylist()), kind).reshape(-1, dim).astype("f8")
             x /= np.abs(x).max(1, keepdims=True)
             codes = np.unpackbits(np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(x), -1), axis=1)[:, :dim].astype(bool)
             unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
-            keys = bucket_keys(unit, bits, tables)
+            keys = bucket_keys(unit, bits, tables_needed(bits, threshold, miss))
             links, root = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
             for p, q in _linked(x, codes, rows.column("factor").to_numpy(), threshold, z):
                 first = (keys[p] == keys[q]).argmax(1) == t
