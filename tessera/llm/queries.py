@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from ._common import read
 
 
-#: Target shares of expected tokens.
-MIXTURE = {"high": 0.97, "low": 0.015, "toxic": 0.015}
+#: Target shares of expected tokens, and how much staying near rate 1 counts against them.
+MIXTURE = {"high": 0.90, "low": 0.07, "toxic": 0.03}
+RIDGE = 5e-5
+#: The same in the pipeline, whose first stage has taken most documents of the lesser domains away; toxic ones are not asked
+#: for again.
+AFTER_QUALITY = {"high": 0.98, "low": 0.02}
 
 
 def tokenizer_path(name: str) -> str:
@@ -83,7 +87,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, tokens, the domain posteriors by name, and the rate to six decimals."""
     from .mixing import mix, quality_domains
 
-    rates, report = mix(read(spark, sf_dir, "documents"), quality_domains(read(spark, sf_dir, "labels")), MIXTURE)
+    rates, report = mix(read(spark, sf_dir, "documents"), quality_domains(read(spark, sf_dir, "labels")), MIXTURE, ridge=RIDGE)
     shares = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(report["domains"])]
     return rates.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"))
 
