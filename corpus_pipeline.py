@@ -1,7 +1,7 @@
 """A training corpus from raw documents: quality, repeated lines, near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
-of `documents`.
+of `documents`, whatever these are called beside doc_id and text.
 """
 
 from __future__ import annotations
@@ -12,39 +12,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
-from tessera.llm._common import read, table
-from tessera.llm.queries import MIXTURE, tokenizer_path
+from tessera.llm._common import drop_table, packed, read, table, tidy, unpacked
+from tessera.llm.queries import AFTER_QUALITY, RIDGE, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Rows are judged one by one, by id and text: rows that share an id, or have none, stay or go each by itself. A null text
+    counts as empty. Without labels of good and other documents all stay.
+    """
     return quality_classifier.keep_good(docs, quality_classifier.classify(docs, read(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; documents made of such lines alone go."""
+    """Lines that repeat an earlier line go; documents made of such lines alone go.
+
+    Earlier is by id, then line, then a hash of the text. Rows with a null id or text stay as they are; a row that repeats
+    another whole has the same place and loses what that one loses.
+    """
     return line_dedup.remove_lines(docs, line_dedup.repeated_lines(docs, exact_words=1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays; documents without an id stay."""
-    groups = ngram_join.similar_documents(docs)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each group of similar documents the one with the smallest id stays.
+
+    Rows without an id or without words stay. Of rows that share an id, those go whose own text belongs to a group with a
+    smaller id; a row repeated whole stays as often as it is there.
+    """
+    groups = ngram_join.similar_documents(docs).filter("doc_id <> component_id")
+    gone = groups.select(F.col("doc_id").alias("g_id"), F.col("text_id").alias("g_key")).distinct()
+    return unpacked(packed(docs).join(gone, (F.col("id") == F.col("g_id")) & (F.col("key") == F.col("g_key")), "left_anti"), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the rates say that bring expected domain tokens to the target weights.
 
-    The classifier learns from the raw corpus, as earlier stages leave few documents of the lesser domains.
+    The classifier learns from the raw corpus, as earlier stages leave few documents of the lesser domains. Documents more
+    likely good than not are all kept: the mixture is met by repeating some and dropping those of other domains. Null and empty
+    texts have a rate like any other and no tokens; without labels of two domains every row stays once.
     """
     labelled = mixing.quality_domains(read(spark, sf_dir, "labels"))
-    rates, _ = mixing.mix(docs, labelled, MIXTURE, training=read(spark, sf_dir, "documents"))
+    rates, _ = mixing.mix(docs, labelled, AFTER_QUALITY, ridge=RIDGE, training=read(spark, sf_dir, "documents"), keep_main=True)
     return mixing.draw(docs, rates)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences. Every row is packed, rows that repeat as often as they do; a null text counts as empty."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
@@ -61,10 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table `documents`."""
-    docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = table(docs, name)
-    return docs
+    """All stages over the whole table `documents`. Of an empty table every stage makes an empty one. A stage's scratch
+    tables, and its result once the next one is written, are deleted."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = tidy(lambda docs=docs, name=name, stage=stage: table(stage(spark, docs, sf_dir), name))()
+        if before is not None:
+            drop_table(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
