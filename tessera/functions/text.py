@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 ASCII_WORD = "[A-Za-z0-9]+"
+# What begins a list item and what is a row of a table.
 BULLET = r"^\s*([-*•]|(\d+[\.\)]))\s+"
 TABLE_ROW = r".*\|.*\|.*"
 
 # Words that are no keywords.
 NO_KEYWORDS = (
-    "a an the and or but if then else when while "
-    "is are was were be been being "
-    "to of in on for from with as at by into about "
-    "it this that these those "
-    "i you we they he she them his her our your "
-    "what why how who whom which "
-    "do does did doing "
-    "can could should would may might must"
-).split()
+    "a", "an", "the", "and", "or", "but", "if", "then", "else", "when", "while",
+    "is", "are", "was", "were", "be", "been", "being",
+    "to", "of", "in", "on", "for", "from", "with", "as", "at", "by", "into", "about",
+    "it", "this", "that", "these", "those",
+    "i", "you", "we", "they", "he", "she", "them", "his", "her", "our", "your",
+    "what", "why", "how", "who", "whom", "which",
+    "do", "does", "did", "doing",
+    "can", "could", "should", "would", "may", "might", "must",
+)
 
 
 def strip(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,24 @@ def lower_rank(values: Column, percent: float) -> Column:
     return F.when(F.size(s) > 0, _ranked(s, F.bround(F.lit(percent / 100.0) * F.size(s) - 1)))
 
 
+def ranked_values(rows: DataFrame, by: list[str], value: str, picks: dict[str, tuple[str, float]]) -> DataFrame:
+    """(*by, *picks): for each group the values at the positions of `nearest_rank` ("nearest") or `lower_rank` ("lower").
+
+    Values are counted where they lie and cumulated over a group's distinct values, which the window reads in order and may
+    spill, so no group is held whole. Nulls are left out; a group of nulls alone is missing.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by)
+    upto = counts.withColumn("__upto", F.sum("__n").over(w.orderBy("__v"))).withColumn("__total", F.sum("__n").over(w))
+    total = F.col("__total")
+
+    def at(rule: str, percent: float) -> Column:
+        place = F.bround(F.lit(percent / 100.0) * (total - 1)) if rule == "nearest" else F.bround(F.lit(percent / 100.0) * total - 1)
+        return F.min(F.when(F.col("__upto") > F.least(F.greatest(place, F.lit(0)), total - 1), F.col("__v")))
+
+    return upto.groupBy(*by).agg(*[at(*pick).alias(name) for name, pick in picks.items()])
+
+
 def interpolated(values: Column, share: float) -> Column:
     """Aggregate: linear interpolation between neighbours; null without values."""
     return F.percentile(values, F.lit(share))

@@ -62,6 +62,17 @@ def contextual_query(question: Column, history: Column, turns: int = 2, limit: i
     return F.array_join(F.concat(before, F.array(strip(question))), " ")
 
 
+def request_faults(query: Column, top_k: Column, history: Column) -> Column:
+    """What is wrong with a request, as `runtime.valid_request` says it, as an array; an empty one if nothing is."""
+    turns = F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>"))
+    bad = F.exists(turns, lambda t: ~F.coalesce(t["role"].isin("user", "assistant"), F.lit(False)) | ~F.coalesce(F.length(t["content"]).between(1, 2000), F.lit(False)))
+    faults = [
+        (F.coalesce(strip(query) == "", F.lit(True)), "query is blank"), (~F.coalesce(top_k.between(1, 20), F.lit(False)), "top_k must be 1 to 20"),
+        (F.size(turns) > 12, "history is longer than 12 turns"), (bad, "a turn needs a role of user or assistant and 1 to 2000 characters"),
+    ]
+    return F.filter(F.array(*[F.when(holds, text) for holds, text in faults]), lambda f: f.isNotNull())
+
+
 def conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, question, history) from (conv_id, turn, role, text): the last user turn and all turns before it."""
     asked = turns.filter("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("asked"))

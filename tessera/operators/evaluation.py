@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import nearest_rank
+from tessera.functions.vectors import ranked_values
 
 KS = (1, 3, 5, 10)
 
@@ -34,13 +34,27 @@ def recall_mrr(results: DataFrame, golden: DataFrame, ks: tuple[int, ...] = KS)
 
 def latency(observations: DataFrame, value: str, *by: str) -> DataFrame:
     """mean, p50 and p95 (nearest rank) by group."""
-    return observations.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean_ms"), F.round(nearest_rank(F.col(value), 50), 6).alias("p50_ms"), F.round(nearest_rank(F.col(value), 95), 6).alias("p95_ms"))
+    means = observations.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean_ms"))
+    ranks = ranked_values(observations, list(by), value, {"p50": ("nearest", 50), "p95": ("nearest", 95)})
+    joined = means.join(ranks, list(by), "left") if by else means.crossJoin(F.broadcast(ranks))  # one row each
+    return joined.select(*by, "n", "mean_ms", F.round("p50", 6).alias("p50_ms"), F.round("p95", 6).alias("p95_ms"))
 
 
-def ladder(systems: dict[str, DataFrame], golden: DataFrame, k: int = 5) -> DataFrame:
-    """One row for each named result set: recall and mean reciprocal rank at k."""
+def ladder(systems: dict[str, DataFrame], golden: DataFrame, k: int = 5, timings: DataFrame | None = None) -> DataFrame:
+    """One row for each named result set: recall and mean reciprocal rank at k, and of `timings` (run_tag, retrieve_ms) the
+    median and 95th percentile."""
     rows = [recall_mrr(r, golden, (k,)).select(F.lit(tag).alias("run_tag"), "n_queries", F.col("recall").alias(f"recall_at_{k}"), "mrr") for tag, r in systems.items()]
-    return reduce(DataFrame.unionByName, rows)
+    out = reduce(DataFrame.unionByName, rows)
+    return out if timings is None else out.join(latency(timings, "retrieve_ms", "run_tag").select("run_tag", "p50_ms", "p95_ms"), "run_tag", "left")
+
+
+def per_query(results: DataFrame, golden: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, query, relevant_chunk_ids, retrieved_chunk_ids, first_hit) of every golden query, to be written line by line."""
+    relevant = golden.groupBy("qid").agg(F.sort_array(F.collect_set(F.col("chunk_id").cast("string"))).alias("relevant_chunk_ids"))
+    ranked = F.sort_array(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("c"))))
+    retrieved = results.groupBy("qid").agg(F.transform(ranked, lambda s: s["c"]).alias("retrieved_chunk_ids"))
+    out = relevant.join(retrieved, "qid", "left").join(first_hits(results, golden), "qid").join(queries.select("qid", "query"), "qid")
+    return out.select("qid", "query", "relevant_chunk_ids", F.coalesce("retrieved_chunk_ids", F.array().cast("array<string>")).alias("retrieved_chunk_ids"), "first_hit")
 
 
 def golden_from_items(items: DataFrame) -> DataFrame:

@@ -80,6 +80,29 @@ def rerank_model(candidates: DataFrame, scorer: Callable[[list[tuple[str, str]]]
     return _reranked(scored, k)
 
 
+def same_candidates(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(qid, lost, added): queries whose reranked candidates are not those before; none if the reranker keeps its contract."""
+    both = before.select("qid", "chunk_id").distinct().withColumn("b", F.lit(1)).join(after.select("qid", "chunk_id").distinct().withColumn("a", F.lit(1)), ["qid", "chunk_id"], "full_outer")
+    return both.groupBy("qid").agg(F.count_if(F.col("a").isNull()).alias("lost"), F.count_if(F.col("b").isNull()).alias("added")).filter("lost > 0 or added > 0")
+
+
+def with_scores(pool: DataFrame, scores: DataFrame) -> DataFrame:
+    """Pool rows with their rerank scores; null where a score is missing."""
+    return pool.join(scores.select("qid", "chunk_id", F.col("score").alias("rerank_score")), ["qid", "chunk_id"], "left")
+
+
+def rerank_pool(pool: DataFrame, scores: DataFrame, k: int = 15) -> DataFrame:
+    """The k best of each pool (qid, chunk_id, rank) by rerank score, missing scores last, ties in their order."""
+    scored = with_scores(pool.select("qid", "chunk_id", "rank"), scores).withColumnRenamed("rerank_score", "score")
+    return _reranked(scored, k)
+
+
+def transport_totals(calls: DataFrame, by: str = "qid") -> DataFrame:
+    """Counters of a scorer's batches (requests, retries, failures, bytes as far as the columns are there), summed by query."""
+    counters = [c for c in ("requests", "retries", "failures", "bytes_sent", "bytes_received") if c in calls.columns]
+    return calls.groupBy(by).agg(F.count("*").alias("batches"), *[F.sum(c).alias(c) for c in counters])
+
+
 def hybrid_rerank(blended: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, candidates: int = 25) -> DataFrame:
     """The best of the first max(candidates, k) blended results by token overlap."""
     some = blended.filter(F.col("rank") <= max(candidates, k)).drop("score")

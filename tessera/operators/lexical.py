@@ -42,9 +42,13 @@ def tokenize(texts: DataFrame, key: str, text: str, config: LexicalConfig) -> Da
     return each.groupBy(key).agg(F.transform(ordered, lambda s: s["stem"]).alias("toks"))
 
 
+#: Distinct query terms up to which postings are filtered by a broadcast of them.
+TERM_BLOCK = 100_000
+
+
 @dataclass
 class LexicalIndex:
-    """postings(term, chunk_id, tf), doc_stats(chunk_id, dl, toks), term_stats(term, df), corpus(n_docs, avgdl)."""
+    """postings(term, chunk_id, tf, dl), doc_stats(chunk_id, dl, toks), term_stats(term, df), corpus(n_docs, avgdl)."""
 
     config: LexicalConfig
     postings: DataFrame
@@ -53,25 +57,34 @@ class LexicalIndex:
     corpus: DataFrame
 
     def save(self, path: str, buckets: int = 32) -> None:
-        """Four Parquet tables; postings lie by term, so a query reads few of their row groups."""
-        self.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("doc_stats", "term_stats", "corpus"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """Four Parquet tables; postings lie by term, so a query reads few of their row groups. Tokens are written first and
+        the others made of them, so texts are split once."""
+        spark = self.postings.sparkSession
+        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        made = _from_tokens(self.config, spark.read.parquet(f"{path}/doc_stats"))
+        made.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        _term_stats(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/term_stats")
+        made.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @classmethod
     def load(cls, spark, path: str, config: LexicalConfig | None = None) -> LexicalIndex:
         return cls(config or LexicalConfig(), *(spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_stats", "term_stats", "corpus")))
 
 
+def _term_stats(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def _from_tokens(config: LexicalConfig, docs: DataFrame) -> LexicalIndex:
+    postings = docs.select("chunk_id", "dl", F.explode("toks").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
+    corpus = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return LexicalIndex(config, postings, docs, _term_stats(postings), corpus)
+
+
 def build_index(chunks: DataFrame, config: LexicalConfig | None = None) -> LexicalIndex:
     """From (chunk_id, chunk_text). Chunks without a token count in n_docs and avgdl."""
     config = config or LexicalConfig()
-    docs = tokenize(chunks, "chunk_id", "chunk_text", config).select("chunk_id", F.size("toks").alias("dl"), "toks")
-    postings = docs.select("chunk_id", F.explode("toks").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    return LexicalIndex(
-        config, postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")),
-        docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")),
-    )
+    return _from_tokens(config, tokenize(chunks, "chunk_id", "chunk_text", config).select("chunk_id", F.size("toks").alias("dl"), "toks"))
 
 
 def query_terms(queries: DataFrame, config: LexicalConfig) -> DataFrame:
@@ -96,7 +109,10 @@ def search(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     """
     c = index.config
     terms = query_terms(queries, c)
-    hits = terms.join(index.postings, "term").join(index.term_stats, "term").join(index.doc_stats.select("chunk_id", "dl"), "chunk_id").crossJoin(F.broadcast(index.corpus))  # corpus is one row
+    wanted, postings, term_stats = terms.select("term").distinct(), index.postings, index.term_stats
+    if wanted.limit(TERM_BLOCK + 1).count() <= TERM_BLOCK:  # then other terms' postings are dropped where they are read
+        postings, term_stats = (t.join(F.broadcast(wanted), "term", "left_semi") for t in (postings, term_stats))
+    hits = terms.join(postings, "term").join(term_stats, "term").crossJoin(F.broadcast(index.corpus))  # corpus is one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wq = (c.k3 + 1) * F.col("qtf") / (c.k3 + F.col("qtf"))
     length = c.k1 * (1 - c.b + c.b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))

@@ -6,28 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip
-from tessera.functions.vectors import lower_rank, nearest_rank
+from tessera.functions.vectors import ranked_values
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """One row: documents, chunks, token distribution (nearest rank), exact duplicates by checksum."""
-    return chunks.agg(
+    counts = chunks.agg(
         F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks"), F.min("token_count").alias("token_min"),
-        nearest_rank(F.col("token_count"), 50).alias("token_median"), nearest_rank(F.col("token_count"), 95).alias("token_p95"), F.max("token_count").alias("token_max"),
-        (F.count("*") - F.count_distinct("checksum")).alias("n_duplicates"),
+        F.max("token_count").alias("token_max"), (F.count("*") - F.count_distinct("checksum")).alias("n_duplicates"),
     )
+    ranks = ranked_values(chunks, [], "token_count", {"token_median": ("nearest", 50), "token_p95": ("nearest", 95)})
+    return counts.crossJoin(F.broadcast(ranks))  # one row each
 
 
 def qa_report(chunks: DataFrame, min_tokens: int, max_tokens: int) -> DataFrame:
     """One row: counts, token distribution, chunks beyond the limits, chunks a document."""
     per_doc = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
     a = chunks.agg(
-        F.count_distinct("doc_id").alias("total_docs"), F.count("*").alias("total_chunks"), F.min("token_count").alias("token_min"), lower_rank(F.col("token_count"), 50).alias("token_median"),
-        lower_rank(F.col("token_count"), 95).alias("token_p95"), F.max("token_count").alias("token_max"),
+        F.count_distinct("doc_id").alias("total_docs"), F.count("*").alias("total_chunks"), F.min("token_count").alias("token_min"), F.max("token_count").alias("token_max"),
         F.count_if(F.col("token_count") > max_tokens).alias("above_max_tokens"), F.count_if(F.col("token_count") < min_tokens).alias("below_min_tokens"),
     )
-    b = per_doc.agg(F.min("n").alias("chunks_per_doc_min"), lower_rank(F.col("n"), 50).alias("chunks_per_doc_median"), lower_rank(F.col("n"), 95).alias("chunks_per_doc_p95"), F.max("n").alias("chunks_per_doc_max"))
-    return a.crossJoin(b)  # one row each
+    b = ranked_values(chunks, [], "token_count", {"token_median": ("lower", 50), "token_p95": ("lower", 95)})
+    c = per_doc.agg(F.min("n").alias("chunks_per_doc_min"), F.max("n").alias("chunks_per_doc_max"))
+    d = ranked_values(per_doc, [], "n", {"chunks_per_doc_median": ("lower", 50), "chunks_per_doc_p95": ("lower", 95)})
+    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c)).crossJoin(F.broadcast(d))  # one row each
 
 
 def repeated_lines(chunks: DataFrame, top: int = 30, longest: int = 120, letters: int = 5) -> DataFrame:

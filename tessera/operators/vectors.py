@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,8 @@ from tessera.plans.ship import ship_package
 
 #: Query vectors that one pass holds; more are done in blocks.
 QUERY_BLOCK = 4096
+#: Blocks of queries that one scan of the vectors is multiplied with.
+PASS_BLOCKS = 8
 
 
 def matches(filters: dict[str, object] | None) -> Column:
@@ -58,31 +61,35 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip
 
 
 def _gemm(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """Queries in blocks of about QUERY_BLOCK by a hash of their id; each pass over the vectors holds PASS_BLOCKS of them."""
     spark = vectors.sparkSession
     ship_package(spark)
     ids = dict(vectors.dtypes)["chunk_id"]
     qids = dict(queries.dtypes)["qid"]
-    numbered = queries.select("qid", "embedding").withColumn("__block", F.floor((F.row_number().over(Window.orderBy("qid")) - 1) / QUERY_BLOCK))
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    numbered = queries.select("qid", "embedding").withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(max(blocks, 1))))
     parts = []
-    for (block,) in numbered.select("__block").distinct().collect():
-        rows = numbered.filter(F.col("__block") == block).collect()
-        names, q = [r["qid"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64)
+    for begin in range(0, blocks, PASS_BLOCKS):
+        rows = numbered.filter(F.col("__block").between(begin, begin + PASS_BLOCKS - 1)).toArrow().sort_by("__block")
+        names, q = rows.column("qid"), np.array(rows.column("embedding").to_pylist(), dtype=np.float64)
 
-        def run(batches, names=names, q=q):
+        def run(batches, q=q):
             for batch in batches:
-                if not batch.num_rows:
+                if not batch.num_rows or not len(q):
                     continue
                 x = np.array(batch.column("embedding").to_pylist(), dtype=np.float64)
-                s = q @ x.T
-                if metric == "l2":
-                    s = 2 * s - (q * q).sum(1)[:, None] - (x * x).sum(1)[None, :]
-                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(1)
-                at, item = np.nonzero(s >= least[:, None])  # with all ties of the k-th
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), batch.column("chunk_id").take(pa.array(item)), pa.array(s[at, item])], names=["q", "chunk_id", "score"])
+                for a in range(0, len(q), QUERY_BLOCK):
+                    part = q[a : a + QUERY_BLOCK]
+                    s = part @ x.T
+                    if metric == "l2":
+                        s = 2 * s - (part * part).sum(1)[:, None] - (x * x).sum(1)[None, :]
+                    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(1)
+                    at, item = np.nonzero(s >= least[:, None])  # with all ties of the k-th
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64) + a), batch.column("chunk_id").take(pa.array(item)), pa.array(s[at, item])], names=["q", "chunk_id", "score"])
 
         found = vectors.mapInArrow(run, f"q long, chunk_id {ids}, score double")
-        labels = spark.createDataFrame(list(enumerate(names)), f"q long, qid {qids}")
-        parts.append(found.join(F.broadcast(labels), "q").select("qid", "chunk_id", "score"))  # one block of queries
+        labels = spark.createDataFrame(pa.table({"q": pa.array(range(len(names)), pa.int64()), "qid": names}))
+        parts.append(found.join(F.broadcast(labels), "q").select("qid", "chunk_id", "score"))  # PASS_BLOCKS blocks of queries
     if not parts:
         return spark.createDataFrame([], f"qid {qids}, chunk_id {ids}, score double, rank int")
     every = parts[0]
@@ -91,17 +98,51 @@ def _gemm(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFr
     return top_k(every, k)
 
 
-def lsh_topk(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 4, tables: int = 24, seed: int = 7) -> DataFrame:
-    """Approximate inner-product neighbours of unit vectors: sign-bit buckets, exact scores within. Judge by recall."""
+def lsh_topk(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 4, tables: int = 24, seed: int = 7, metric: str = "ip") -> DataFrame:
+    """Approximate neighbours: sign-bit buckets, exact scores within. Judge by recall.
+
+    By inner product the signs are of unit vectors as they are; by squared distance (l2) of all vectors less their mean,
+    around which they lie. Pairs are ids until each is met once; vectors are then joined to them.
+    """
     first = vectors.select(F.size("embedding").alias("d")).first()
     if first is None:
-        return dense_topk(vectors, queries, k)
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, first["d"]))
-    plane = lambda t, b: F.array(*map(F.lit, planes[t][b].tolist()))
-    key = lambda t: sum((F.when(dot(F.col("embedding"), plane(t, b)) > 0, 1 << b).otherwise(0) for b in range(bits)), F.lit(t << bits))
-    keyed = lambda df: df.withColumn("bucket", F.explode(F.array(*[key(t) for t in range(tables)])))
-    pairs = keyed(queries.select("qid", "embedding")).select("qid", "bucket", F.col("embedding").alias("q")).join(keyed(vectors.select("chunk_id", "embedding")), "bucket").dropDuplicates(["qid", "chunk_id"])
-    return top_k(pairs.select("qid", "chunk_id", dot(F.col("embedding"), F.col("q")).alias("score")), k)
+        return dense_topk(vectors, queries, k, metric)
+    d = first["d"]
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, d))
+    centre = [0.0] * d
+    if metric == "l2":
+        means = vectors.select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(d)]).agg(*[F.avg(f"e{i}") for i in range(d)]).first()
+        centre = [float(x or 0.0) for x in means]
+    # planes and the distances of their centres as one literal, so that the expression stays small
+    flat = [[[*planes[t][b].tolist(), float(planes[t][b] @ np.array(centre))] for b in range(bits)] for t in range(tables)]
+    held = F.from_json(F.lit(json.dumps(flat)), "array<array<array<double>>>")
+    beyond = lambda p: dot(F.col("embedding"), F.slice(p, F.lit(1), F.lit(d))) > F.element_at(p, -1)
+    buckets = F.transform(held, lambda ps, t: F.aggregate(F.transform(ps, beyond), t, lambda s, x: s * 2 + x.cast("int")))
+    keyed = lambda df, name: df.select(name, F.posexplode(buckets).alias("t", "bucket"))
+    met = keyed(queries, "qid").join(keyed(vectors, "chunk_id"), ["t", "bucket"]).select("qid", "chunk_id").distinct()
+    pairs = met.join(vectors.select("chunk_id", "embedding"), "chunk_id").join(queries.select("qid", F.col("embedding").alias("q")), "qid")
+    score = dot(F.col("embedding"), F.col("q")) if metric == "ip" else F.lit(0.0) - squared_distance(F.col("embedding"), F.col("q"))
+    return top_k(pairs.select("qid", "chunk_id", score.alias("score")), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: the share of exact results that were found."""
+    hit = exact.select("qid", "chunk_id").join(found.select("qid", "chunk_id").withColumn("hit", F.lit(1)), ["qid", "chunk_id"], "left")
+    return hit.agg(F.count_distinct("qid").alias("n_queries"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
+def self_neighbours(vectors: DataFrame, asked: DataFrame, least: float = 0.9) -> DataFrame:
+    """(chunk_id, found, score, ok): whether each asked vector (chunk_id, embedding) is its own nearest, with a score above
+    `least`."""
+    best = dense_topk(vectors, asked.select(F.col("chunk_id").alias("qid"), "embedding"), 1)
+    return best.select(F.col("qid").alias("chunk_id"), F.col("chunk_id").alias("found"), "score", ((F.col("qid") == F.col("chunk_id")) & (F.col("score") > least)).alias("ok"))
+
+
+def random_queries(spark, n: int, dim: int, seed: int = 0) -> DataFrame:
+    """(qid, embedding): unit vectors that depend on the seed alone, for a sanity search."""
+    x = np.random.default_rng(seed).standard_normal((n, dim))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "qid long, embedding array<float>")
 
 
 def embedding_checks(vectors: DataFrame) -> DataFrame:
@@ -112,16 +153,23 @@ def embedding_checks(vectors: DataFrame) -> DataFrame:
     )
 
 
-def embed(chunks: DataFrame, provider: Callable[[list[str]], np.ndarray], text: str = "chunk_text", normalize: bool = True) -> DataFrame:
-    """(chunk_id, embedding) by a provider called once for each Arrow batch; vectors of one length, normalised on demand."""
+def embed(chunks: DataFrame, provider: Callable[[list[str]], np.ndarray], text: str = "chunk_text", normalize: bool = True, dim: int | None = None) -> DataFrame:
+    """(chunk_id, embedding) by a provider called once for each Arrow batch; vectors of one length, normalised on demand.
+
+    The length is `dim`, or that of the provider's vector of one blank text; a batch of another length is an error."""
     ship_package(chunks.sparkSession)
+    dim = int(np.asarray(provider([" "])).shape[1]) if dim is None else dim
     ids = dict(chunks.dtypes)["chunk_id"]
 
     def run(batches):
         for batch in batches:
-            x = np.asarray(provider(batch.column("t").to_pylist()), dtype=np.float32) if batch.num_rows else np.zeros((0, 1), np.float32)
+            if not batch.num_rows:
+                continue
+            x = np.asarray(provider(batch.column("t").to_pylist()), dtype=np.float32)
             if x.ndim != 2 or len(x) != batch.num_rows:
                 raise ValueError("a provider must return one vector for each text")
+            if dim is not None and x.shape[1] != dim:
+                raise ValueError(f"a provider returned vectors of {x.shape[1]} components, not {dim}")
             if normalize:
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(x.tolist(), pa.list_(pa.float32()))], names=["chunk_id", "embedding"])

@@ -37,7 +37,11 @@ def discover(spark: SparkSession, folder: str, extensions: tuple[str, ...] | Non
 
     `source` is the path within the folder. With `extensions`, other files are left out before they are read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if extensions:  # a glob of both cases of every letter, which is tested before a file is opened
+        either = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+        files = files.option("pathGlobFilter", "*{" + ",".join(either) + "}")
+    files = files.load(folder)
     extension = F.lower(F.regexp_extract("path", r"\.[^./\\]+$", 0))
     root = re.sub(r"^[a-z]+:/*", "/", folder.rstrip("/")) + "/"
     source = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(root), "")
@@ -84,26 +88,46 @@ class _Node:
         self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
 
     def walk(self) -> Iterator[_Node]:
-        for c in self.children:
+        """The elements below, in the page's order. By a stack, as pages nest without bound."""
+        left = list(reversed(self.children))
+        while left:
+            c = left.pop()
             if isinstance(c, _Node):
                 yield c
-                yield from c.walk()
+                left.extend(reversed(c.children))
 
     def text(self) -> str:
-        parts = []
-        for c in self.children:
-            t = c.text() if isinstance(c, _Node) else c.strip()
-            if t:
-                parts.append(t)
+        """The strings below that are not blank, by single spaces."""
+        parts, left = [], list(reversed(self.children))
+        while left:
+            c = left.pop()
+            if isinstance(c, _Node):
+                left.extend(reversed(c.children))
+            elif c.strip():
+                parts.append(c.strip())
         return " ".join(parts)
 
 
 class _Tree(HTMLParser):
+    #: Elements that an element of these names ends, as their end tag may be left out.
+    ENDS = {
+        **dict.fromkeys(("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "div", "section", "article", "pre", "blockquote", "main", "header", "footer", "nav", "form", "hr"), ("p",)),
+        "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
+    }
+    #: An element is not ended from within these.
+    HOLDS = {"ul", "ol", "dl", "table", "td", "th", "div", "section", "article", "main", "blockquote", "body", "select", "form"}
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
+        ends = self.ENDS.get(tag, ())
+        node = self.at
+        while ends and node.parent is not None and (node.name in ends or node.name not in self.HOLDS):
+            if node.name in ends:
+                self.at = node.parent
+            node = node.parent
         node = _Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in _Node.VOID:
@@ -197,16 +221,58 @@ def read_documents(spark: SparkSession, folder: str, extensions: tuple[str, ...]
     return discover(spark, folder, extensions).select("doc_id", "source", "extension", "content").mapInPandas(run, "doc_id string, source string, text string, error string")
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, title, text) in markdown from (page_id, url, html)."""
+def read_pages(pages: DataFrame, skip_bad: bool = False) -> DataFrame:
+    """(page_id, title, text) in markdown from (page_id, url, html). A page that can't be read ends the job, or with
+    `skip_bad` has nulls and, in a further column, the error."""
+    ship_package(pages.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            done = []
+            for h, u in zip(b["html"], b["url"], strict=True):
+                try:
+                    done.append((*html_markdown(h, u), None))
+                except Exception as e:
+                    if not skip_bad:
+                        raise
+                    done.append((None, None, f"{type(e).__name__}: {e}"))
+            out = {"page_id": b["page_id"], "title": [t for t, _, _ in done], "text": [m for _, m, _ in done]}
+            yield pd.DataFrame(out | ({"error": [e for *_, e in done]} if skip_bad else {}))
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, title string, text string" + (", error string" if skip_bad else ""))
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, text): all text of (page_id, html), without scripts and styles."""
     ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [html_markdown(h, u) for h, u in zip(b["html"], b["url"], strict=True)]
-            yield pd.DataFrame({"page_id": b["page_id"], "title": [t for t, _ in done], "text": [m for _, m in done]})
+            yield pd.DataFrame({"page_id": b["page_id"], "text": [html_text(h or "") for h in b["html"]]})
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    """A meta row or JSON object that a writer left, as a dictionary; an empty one if there is none."""
+    row = spark.read.option("multiLine", True).json(path).first()
+    return row.asDict(recursive=True) if row else {}
+
+
+def read_config(text: str) -> dict:
+    """Configuration in YAML, of which JSON is a part."""
+    import yaml
+
+    found = yaml.safe_load(text)
+    return found if isinstance(found, dict) else {}
+
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, title string, text string")
+def with_defaults(config: dict, defaults: dict) -> dict:
+    """The configuration, with defaults where it lacks a key at any depth."""
+    out = dict(defaults)
+    for k, v in config.items():
+        out[k] = with_defaults(v, out[k]) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out
 
 
 def read_manifest(lines: DataFrame) -> DataFrame:
