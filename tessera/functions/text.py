@@ -57,7 +57,7 @@ def without_words(tokens: Column, words: list[str]) -> Column:
 def keywords(query: Column) -> Column:
     """Lower-cased tokens of three letters or more that are no function words."""
     tokens = F.regexp_extract_all(F.lower(query), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.isin(NO_KEYWORDS))
+    return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.isin(*NO_KEYWORDS))
 
 
 def phrases(query: Column) -> Column:
