@@ -50,13 +50,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import similar_documents
 
-    return similar_documents(read(spark, sf_dir, "documents"))
+    return similar_documents(read(spark, sf_dir, "documents")).drop("text_id")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify
 
-    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_id")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +104,43 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Components by reachability, which SQL can afford on small tables.
+_REACHED = "r(id, root) AS (SELECT id, id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON r.id = l.a)"
+
+_UNITS = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n_line FROM documents),
+starts AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n_line) - length(line) - 1 AS line_at FROM lines),
+cut AS (SELECT doc_id, n_line, line_at, string_split(regexp_replace(line, '([.!?]+)(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM starts),
+parts AS (SELECT doc_id, n_line, line_at, unnest(parts) AS part, generate_subscripts(parts, 1) AS n_part FROM cut),
+placed AS (SELECT *, line_at + sum(length(part)) OVER (PARTITION BY doc_id, n_line ORDER BY n_part) - length(part) AS part_at FROM parts),
+units AS (SELECT doc_id, part_at + length(part) - length(regexp_replace(part, '^\s+', '')) AS start, part_at + length(regexp_replace(part, '\s+$', '')) AS stop,
+  lower(trim(regexp_replace(part, '\s+', ' ', 'g'))) AS unit, row_number() OVER (PARTITION BY doc_id ORDER BY n_line, n_part) AS idx FROM placed WHERE regexp_matches(part, '\S')),
+seen AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, idx) > 1 AS again, len(string_split(unit, ' ')) AS words FROM units),
+runs AS (SELECT *, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM seen WHERE again),
+spans AS (SELECT doc_id, min(start) AS start, max(stop) AS stop, sum(words) AS words, count(*) AS n FROM runs GROUP BY doc_id, run)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.98), {_REACHED},
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, component_id = id AS kept FROM c LEFT JOIN n ON a = id""",
+    "op2_line_dedup": rf"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+w AS (SELECT doc_id, line_no, doc_id * 1000000 + line_no AS place, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM lines),
+k AS (SELECT *, array_to_string(w, ' ') AS k FROM w WHERE len(w) > 0), d AS (SELECT k, any_value(w) AS w, min(place) AS place FROM k GROUP BY k),
+i AS (SELECT k, w, place, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) >= 5), v AS (SELECT k, place, i, array_to_string(list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, len(w))), ' ') AS v FROM i),
+near AS (SELECT a.k FROM v a JOIN v b ON a.i = b.i AND a.v = b.v AND a.k <> b.k AND b.place < a.place UNION SELECT a.k FROM v a JOIN d b ON a.v = b.k AND len(b.w) >= 5 AND b.place < a.place
+  UNION SELECT b.k FROM v a JOIN d b ON a.v = b.k AND len(b.w) >= 5 AND a.place < b.place),
+found AS (SELECT k.doc_id, k.line_no, n.k IS NOT NULL AS near FROM k JOIN d ON d.k = k.k LEFT JOIN near n ON n.k = k.k WHERE n.k IS NOT NULL OR d.place < k.place),
+g AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (near) AS n_near, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS removed_lines FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_near, 0) AS n_near, coalesce(removed_lines, '') AS removed_lines FROM documents LEFT JOIN g USING (doc_id)""",
+    "op3_substring_dedup": f"""WITH {_UNITS},
+u AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (again) AS n_repeated FROM seen GROUP BY doc_id),
+p AS (SELECT doc_id, count(*) AS n_spans, sum(stop - start)::BIGINT AS removed_chars, count(*) FILTER (words >= 20) AS n_passages, string_agg(start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_spans, 0) AS n_spans, coalesce(removed_chars, 0) AS removed_chars, coalesce(n_passages, 0) AS n_passages, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN u USING (doc_id) LEFT JOIN p USING (doc_id)""",
+    "op4_ngram_join": rf"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM w),
+x AS (SELECT id, unnest(s) AS t FROM v), n AS (SELECT id, len(s) AS n FROM v),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM x a JOIN x b ON a.t = b.t AND a.id <> b.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n m ON m.id = a JOIN n o ON o.id = b WHERE 100 * common >= 75 * (m.n + o.n - common)), {_REACHED}
+SELECT r.id AS doc_id, any_value(n.n)::BIGINT AS n_shingles, min(root) AS component_id FROM r JOIN n ON n.id = r.id GROUP BY r.id""",
+}

@@ -7,11 +7,12 @@ import random
 import re
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import _common, embedding_dedup, line_dedup, logistic, mixing, ngram_join, pii, quality_classifier, quality_rules, spans, substring_dedup
+from tessera.llm import _common, embedding_dedup, line_dedup, logistic, mixing, ngram_join, pii, quality_classifier, quality_rules, queries, spans, substring_dedup
 
 
 def _prose(n, seed, size=60, vocabulary=400):
@@ -24,6 +25,21 @@ def _texts(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    duck = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, FOLDER), duck.sql(queries.ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, (tuple(dict(zip(want.columns, r, strict=True))[c] for c in columns) for r in want.fetchall())))
+
+
 # --- expressions on spans --------------------------------------------------------------------------------------------
 
 
