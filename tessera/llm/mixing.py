@@ -157,7 +157,7 @@ def solve(cells: DataFrame, goal: np.ndarray, total: float, ridge: float, rounds
 
 
 @tidy
-def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], bound: int = 4000, ridge: float = 2e-4, rounds: int = 40, tolerance: float = 1e-9, training: DataFrame | None = None, counted: DataFrame | None = None, keep_main: bool = False) -> tuple[DataFrame, dict]:
+def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], bound: int = 4000, ridge: float = 2e-4, rounds: int = 40, tolerance: float = 1e-9, training: DataFrame | None = None, counted: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """A rate for each document: how often to take it so that expected domain tokens match `targets`.
 
     A classifier trained on at most `bound` labelled rows (doc_id, domain; texts from `training`, by default from the
@@ -165,8 +165,7 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], bo
     w >= 0 minimise the squared distance of the domain totals sum(w n p) from the targets, plus `ridge` times the
     token-weighted squared distance of w from 1, by projected gradient steps (`solve`) until the optimality conditions hold
     to `tolerance`. The targets are scaled so that the domain of largest weight keeps its present total; its documents
-    stay near rate 1. As only shares matter, `keep_main` multiplies all rates so that no document more likely than not of
-    that domain has a rate under 1 (unless its rate is 0). A domain without a target keeps its present total too.
+    stay near rate 1. A domain without a target keeps its present total too.
 
     Tokens are runs of letters and digits, or where `counted` (doc_id, n_tokens) is given, such as a tokenizer's counts
     by `token_counts`, those; rows it lacks have none. Steps depend on a document only through p, so documents are first
@@ -200,10 +199,6 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], bo
     goal = np.where([d in targets for d in domains], weight / max(weight[main], 1e-300) * before[main], before) if weight[main] > 0 else before
     pull, off = solve(cells, goal, total, ridge, rounds, tolerance)
     rate = _rate(F.col("p"), pull, ridge)
-    if keep_main:
-        least = cells.select(F.when(pi[main] > 0.5, F.nullif(rate, F.lit(0.0))).alias("w")).agg(F.min("w")).first()[0]
-        rate = rate / F.lit(min(1.0, least or 1.0))
-        goal = goal / min(1.0, least or 1.0)
     row = totals(rate)
     after = np.array([float(row[f"t{i}"] or 0) for i in range(k)])
     missed = [d for d, x, y in zip(domains, after, goal, strict=True) if abs(x - y) > 0.02 * max(y, 1.0)]

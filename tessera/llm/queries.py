@@ -13,9 +13,9 @@ from ._common import read
 #: Target shares of expected tokens, and how much staying near rate 1 counts against them.
 MIXTURE = {"high": 0.90, "low": 0.07, "toxic": 0.03}
 RIDGE = 5e-5
-#: The same in the pipeline, whose first stage has taken most documents of the lesser domains away; toxic ones are not asked
-#: for again.
-AFTER_QUALITY = {"high": 0.98, "low": 0.02}
+#: The same in the pipeline, whose first stage has taken most documents of the lesser domains away: half of what is left of
+#: the toxic ones. Asking for the others' former shares would repeat the few that are left many times over.
+AFTER_QUALITY, STAGE_RIDGE = {"high": 0.995, "toxic": 0.005}, 1e-3
 
 
 def tokenizer_path(name: str) -> str:
