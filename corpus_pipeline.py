@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
 from tessera.llm._common import drop_table, packed, read, table, tidy, unpacked
-from tessera.llm.queries import AFTER_QUALITY, RIDGE, tokenizer_path
+from tessera.llm.queries import AFTER_QUALITY, STAGE_RIDGE, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +48,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the rates say that bring expected domain tokens to the target weights.
 
-    The classifier learns from the raw corpus, as earlier stages leave few documents of the lesser domains. Documents more
-    likely good than not are all kept: the mixture is met by repeating some and dropping those of other domains. Null and empty
+    The classifier learns from the raw corpus, as earlier stages leave few documents of the lesser domains. Good documents
+    have rates near 1; those that may be toxic are dropped the more often the likelier they are. Null and empty
     texts have a rate like any other and no tokens; without labels of two domains every row stays once.
     """
     labelled = mixing.quality_domains(read(spark, sf_dir, "labels"))
-    rates, _ = mixing.mix(docs, labelled, AFTER_QUALITY, ridge=RIDGE, training=read(spark, sf_dir, "documents"), keep_main=True)
+    rates, _ = mixing.mix(docs, labelled, AFTER_QUALITY, ridge=STAGE_RIDGE, training=read(spark, sf_dir, "documents"))
     return mixing.draw(docs, rates)
 
 
