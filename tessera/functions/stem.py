@@ -50,32 +50,70 @@ def _by_table(word: str, table: list[tuple[str, str]]) -> str:
     return word
 
 
-def porter(word: str) -> str:
-    """The stem of a lower-case word; words of two letters or fewer are their own."""
-    w = word
-    if len(w) <= 2:
-        return w
-    if w.endswith("sses") or w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
+# Words that the extended variant stems by a table.
+IRREGULAR = {
+    "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning", "outings": "outing",
+    "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
+}
+
+
+def _short(word: str, extended: bool) -> bool:
+    """Whether a stem is short, so that it takes an e: consonant, vowel, consonant, or (extended) a vowel and a consonant."""
+    return _cvc(word) or (extended and _shape(word) == "vc")
+
+
+def _plural(w: str, extended: bool) -> str:
+    if extended and w.endswith("ies") and len(w) == 4:
+        return w[:-1]
+    if w.endswith(("sses", "ies")):
+        return w[:-2]
+    return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
+
+
+def _past(w: str, extended: bool) -> str:
+    if extended and w.endswith("ied"):
+        return w[:-1] if len(w) == 4 else w[:-2]
     if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    else:
-        for suffix in ("ed", "ing"):
-            if w.endswith(suffix) and "v" in _shape(w[: -len(suffix)]):
-                w = w[: -len(suffix)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif _double(w) and w[-1] not in "lsz":
-                    w = w[:-1]
-                elif _measure(w) == 1 and _cvc(w):
-                    w += "e"
-                break
-    if w.endswith("y") and "v" in _shape(w[:-1]):
-        w = w[:-1] + "i"
-    w = _by_table(_by_table(w, _STEP2), _STEP3)
+        return w[:-1] if _measure(w[:-3]) > 0 else w
+    suffix = next((s for s in ("ed", "ing") if w.endswith(s) and "v" in _shape(w[: -len(s)])), None)
+    if suffix is None:
+        return w
+    w = w[: -len(suffix)]
+    if w.endswith(("at", "bl", "iz")):
+        return w + "e"
+    if _double(w):
+        return w[:-1] if w[-1] not in "lsz" else w
+    return w + "e" if _measure(w) == 1 and _short(w, extended) else w
+
+
+def _final_y(w: str, extended: bool) -> str:
+    stem = w[:-1]
+    turns = len(stem) > 1 and _shape(stem)[-1] == "c" if extended else "v" in _shape(stem)
+    return stem + "i" if w.endswith("y") and turns else w
+
+
+def _second(w: str, extended: bool) -> str:
+    if not extended:
+        return _by_table(w, _STEP2)
+    if w.endswith("alli") and _measure(w[:-4]) > 0:
+        return _second(w[:-2], True)
+    if w.endswith("logi") and _measure(w[:-3]) > 0:
+        return w[:-1]
+    return _by_table(w, [x for x in _STEP2 if x[0] not in ("abli", "alli")] + [("bli", "ble"), ("fulli", "ful")])
+
+
+def porter(word: str, extended: bool = False) -> str:
+    """The stem of a lower-case word; words of two letters or fewer are their own.
+
+    By the algorithm as it was published in 1980, or with the extensions that later implementations added: irregular words,
+    four-letter words in -ies and -ied, y after any consonant, and the endings -bli, -fulli and -logi.
+    """
+    if extended and word in IRREGULAR:
+        return IRREGULAR[word]
+    if len(word) <= 2:
+        return word
+    w = _final_y(_past(_plural(word, extended), extended), extended)
+    w = _by_table(_second(w, extended), _STEP3)
     fits = [s for s in _STEP4 if w.endswith(s)]
     if fits:
         suffix = max(fits, key=len)
@@ -84,19 +122,19 @@ def porter(word: str) -> str:
             w = stem
     if w.endswith("e"):
         m = _measure(w[:-1])
-        if m > 1 or (m == 1 and not _cvc(w[:-1])):
+        if m > 1 or (m == 1 and not _short(w[:-1], extended)):
             w = w[:-1]
     if w.endswith("ll") and _measure(w) > 1:
         w = w[:-1]
     return w
 
 
-def stems(words: DataFrame, column: str = "term") -> DataFrame:
+def stems(words: DataFrame, column: str = "term", extended: bool = False) -> DataFrame:
     """(term, stem) of the distinct values of a column: only the vocabulary crosses to Python."""
     ship_package(words.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"term": b["term"], "stem": [porter(w) for w in b["term"]]})
+            yield pd.DataFrame({"term": b["term"], "stem": [porter(w, extended) for w in b["term"]]})
 
     return words.select(F.col(column).alias("term")).filter("term is not null").distinct().mapInPandas(run, "term string, stem string")

@@ -20,6 +20,7 @@ class LexicalConfig:
     phrase_boost: float = 1.5
     stopwords: tuple[str, ...] = ()
     stemming: bool = False
+    extended_stemmer: bool = False
     synonym_weight: float = 0.3
     synonyms: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
@@ -37,7 +38,7 @@ def tokenize(texts: DataFrame, key: str, text: str, config: LexicalConfig) -> Da
     if not config.stemming:
         return toks
     each = toks.select(key, F.posexplode_outer("toks").alias("at", "term"))
-    each = each.join(stems(each), "term", "left")
+    each = each.join(stems(each, extended=config.extended_stemmer), "term", "left")
     ordered = F.sort_array(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("at", "stem"))))
     return each.groupBy(key).agg(F.transform(ordered, lambda s: s["stem"]).alias("toks"))
 
@@ -93,7 +94,7 @@ def query_terms(queries: DataFrame, config: LexicalConfig) -> DataFrame:
     base = tokenize(queries, "qid", "query", config).select("qid", F.explode("toks").alias("term"))
     weighted = base.withColumn("w", F.lit(1.0))
     if config.synonyms:
-        same = porter if config.stemming else (lambda w: w)
+        same = (lambda w: porter(w, config.extended_stemmer)) if config.stemming else (lambda w: w)
         rows = [(t, same(s.lower())) for t, ss in config.synonyms.items() for s in ss]
         table = spark.createDataFrame([r for r in rows if r[0] != r[1]] or [("", "")], "term string, other string")
         extra = base.join(F.broadcast(table), "term").select("qid", F.col("other").alias("term"), F.lit(config.synonym_weight).alias("w"))  # the caller's dictionary

@@ -19,6 +19,14 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(ranks))  # one row each
 
 
+def corpus_report(chunks: DataFrame, root: str) -> DataFrame:
+    """`chunk_stats` of a corpus build's good rows, with the number of files that failed, when and from where."""
+    good = chunk_stats(chunks.filter("error is null"))
+    bad = chunks.agg(F.count("error").alias("n_bad"))
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return good.crossJoin(F.broadcast(bad)).withColumn("_built_at", stamp).withColumn("_corpus_root", F.lit(root))  # one row each
+
+
 def qa_report(chunks: DataFrame, min_tokens: int, max_tokens: int) -> DataFrame:
     """One row: counts, token distribution, chunks beyond the limits, chunks a document."""
     per_doc = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))

@@ -35,6 +35,12 @@ def matches(filters: dict[str, object] | None) -> Column:
     return condition
 
 
+def metric_of(meta: dict) -> str:
+    """The metric that a meta row tells, by `score_mode` or else `metric`; inner product where it tells none."""
+    told = str(meta.get("score_mode") or meta.get("metric") or "ip").lower()
+    return "l2" if "l2" in told or "euclid" in told else "ip"
+
+
 def top_k(scored: DataFrame, k: int, by: str = "qid", item: str = "chunk_id", score: str = "score") -> DataFrame:
     """The k best of each query with their rank; ties by id."""
     order = Window.partitionBy(by).orderBy(F.desc(score), F.asc(item))

@@ -8,6 +8,7 @@ import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -68,3 +69,32 @@ def http_generator(url: str, **options: object) -> Generator:
 
 def http_scorer(url: str, **options: object) -> Scorer:
     return lambda pairs: post_json(url, {"pairs": pairs}, **options)["scores"]
+
+
+def ollama_generator(url: str, model: str, **options: object) -> Generator:
+    """A generator behind a local model server's /api/generate, asked for one whole reply."""
+
+    def generate(system: str, user: str) -> str:
+        return post_json(f"{url.rstrip('/')}/api/generate", {"model": model, "system": system, "prompt": user, "stream": False}, **options)["response"]
+
+    return generate
+
+
+@dataclass(frozen=True)
+class RerankConfig:
+    """How candidates are reranked: by `scorer`, or by the service at `url`."""
+
+    url: str | None = None
+    max_chars: int = 2000
+    batch: int = 16
+    normalize: bool = False
+    timeout: float = 30.0
+    tries: int = 4
+
+    def rerank(self, candidates, k: int, scorer: Scorer | None = None):
+        from tessera.operators.fusion import rerank_model
+
+        if scorer is None and not self.url:
+            raise ValueError("a reranker needs a scorer or an address")
+        scorer = scorer or http_scorer(self.url, timeout=self.timeout, tries=self.tries)
+        return rerank_model(candidates, scorer, k, self.max_chars, self.batch, self.normalize)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import answers, fusion, lexical, vectors
+from tessera.plans.providers import EmbeddingProvider
+from tessera.plans.runtime import Cache, canonical_query, retrieval_key
 
 
 @dataclass
@@ -65,3 +69,44 @@ class Retriever:
             again = bad.withColumn("raw", call(answers.repair_prompt(F.col("query"), F.col("evidence"), F.col("summary"), F.col("raw"), F.col("parsed.parse_warnings")))).drop("parsed")
             parsed = parsed.filter("parsed.mode <> 'parse_error'").unionByName(again.join(answers.parse_answers(again), "qid"))
         return parsed.select("qid", "raw", "parsed", answers.answer_text(F.col("parsed")).alias("answer"))
+
+
+@dataclass
+class CachedRetriever:
+    """Single questions in one process: query vectors and results are kept in caches of bounded size."""
+
+    retriever: Retriever
+    provider: EmbeddingProvider
+    dim: int
+    model: str = ""
+    index: str = ""
+    embeddings: Cache = field(default_factory=Cache)
+    results: Cache = field(default_factory=Cache)
+
+    def embed(self, query: str) -> list[float]:
+        """The query's unit vector, from the cache if an equal query was embedded by this model."""
+
+        def make() -> list[float]:
+            x = np.asarray(self.provider([canonical_query(query)]), dtype=np.float32)
+            if x.shape != (1, self.dim):
+                raise ValueError(f"a provider returned a shape of {x.shape}, not {(1, self.dim)}")
+            return (x[0] / max(float(np.linalg.norm(x[0])), 1e-12)).tolist()
+
+        return self.embeddings.get((self.model, canonical_query(query)), make)
+
+    def retrieve(self, query: str, top_k: int = 5, filters: dict | None = None) -> dict:
+        """{"rows", "embedding_hit", "retrieval_hit", "retrieve_ms"}; a blank query has no rows. Results with filters are
+        not cached."""
+        begun = time.perf_counter()
+        if not (query or "").strip():
+            return {"rows": [], "embedding_hit": False, "retrieval_hit": False, "retrieve_ms": 0.0}
+        r, known = self.retriever, (self.embeddings.hits, self.results.hits)
+
+        def search() -> list[dict]:
+            spark = r.chunks.sparkSession
+            asked = spark.createDataFrame([(0, query, self.embed(query))], "qid long, query string, embedding array<float>")
+            return [x.asDict() for x in r.hybrid(asked, top_k, filters).orderBy("rank").select("chunk_id", "score", "rank").collect()]
+
+        key = retrieval_key(query, query, top_k, r.alpha, r.dense_candidates, r.lexical_candidates or top_k, self.index, self.model)
+        rows = search() if filters else self.results.get(key, search)
+        return {"rows": rows, "embedding_hit": self.embeddings.hits > known[0], "retrieval_hit": self.results.hits > known[1], "retrieve_ms": (time.perf_counter() - begun) * 1000}

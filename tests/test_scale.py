@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import lexical, vectors
-from tessera.plans import scratch
+from tessera.functions.stem import porter
+from tessera.operators import lexical, qa, vectors
+from tessera.plans import providers, scratch
+from tessera.plans.retriever import CachedRetriever, Retriever
 from tessera.plans.service import BadRequest, NotReady, Service
 from tessera.sources import readers, sinks
 
@@ -94,5 +96,44 @@ def test_service_maps_errors_and_counts():
     assert s.metrics()["requests"] == 8 and s.metrics()["answer"] == 2 and s.metrics()["p50_ms"] is not None and s.health()["status"] == "degraded"
 
 
+def test_cached_retriever(spark):
+    texts = [("a", "red apple pie"), ("b", "green pear tart"), ("c", "red car")]
+    chunks = spark.createDataFrame(texts, "chunk_id string, chunk_text string").cache()
+    provider = providers.hashed_embedding(16)
+    r = CachedRetriever(Retriever(chunks, vectors.embed(chunks, provider).cache(), lexical.build_index(chunks)), provider, 16, "m")
+    one, two, other = r.retrieve("red  apple", 2), r.retrieve("red  apple", 2), r.retrieve("red apple", 1)
+    assert one["rows"][0]["chunk_id"] == "a" and two["rows"] == one["rows"] and other["rows"][0]["chunk_id"] == "a"
+    assert (one["embedding_hit"], one["retrieval_hit"], two["retrieval_hit"], other["embedding_hit"]) == (False, False, True, True)
+    assert r.retrieve(" ")["rows"] == [] and one["retrieve_ms"] > 0
+    assert [x["chunk_id"] for x in r.retrieve("red", 5, {"chunk_id": ["c"]})["rows"]][0] == "c"
+    with pytest.raises(ValueError, match="shape"):
+        CachedRetriever(r.retriever, provider, 8).embed("x")
+
+
+def test_metric_and_report(spark):
+    assert [vectors.metric_of(m) for m in ({"score_mode": "L2"}, {"metric": "inner_product"}, {}, {"metric": "l2"})] == ["l2", "ip", "ip", "l2"]
+    rows = spark.createDataFrame([("d", 5, "x", None), ("d", 7, "x", None), ("e", None, None, "ValueError: x")], "doc_id string, token_count int, checksum string, error string")
+    got = qa.corpus_report(rows, "/corpus").first()
+    assert (got["n_chunks"], got["n_duplicates"], got["n_bad"], got["_corpus_root"]) == (2, 1, 1, "/corpus") and got["_built_at"].endswith("Z")
+
+
+def test_clients_and_rerank_configuration(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(providers, "post_json", lambda url, body, **options: sent.append((url, body)) or {"response": "ok"})
+    assert providers.ollama_generator("http://h/", "m")("s", "u") == "ok" and sent[0][0] == "http://h/api/generate" and sent[0][1]["stream"] is False
+    some = spark.createDataFrame([(1, "q", "a", "xx", 1), (1, "q", "b", "xxxx", 2)], "qid int, query string, chunk_id string, chunk_text string, rank int")
+    got = providers.RerankConfig(batch=1, max_chars=3).rerank(some, 2, lambda pairs: [len(t) for _, t in pairs]).orderBy("rank").collect()
+    assert [(x["chunk_id"], x["score"]) for x in got] == [("b", 3.0), ("a", 2.0)]
+    with pytest.raises(ValueError, match="scorer"):
+        providers.RerankConfig().rerank(some, 2)
+
+
+def test_extended_stemmer():
+    words = "caresses flies dies mules denied died agreed owned humbled sized meeting stating itemization sensational traditional reference colonizer plotted dying skies geology happy enjoy"
+    stems = "caress fli die mule deni die agre own humbl size meet state item sensat tradit refer colon plot die sky geolog happi enjoy"
+    assert [porter(w, True) for w in words.split()] == stems.split()
+    assert porter("dies") == "di" and porter("dying") == "dy"  # as published
+
+
 def test_configuration_with_defaults():
     assert readers.with_defaults(readers.read_config("a:\n  b: 1\nc: [x]"), {"a": {"b": 0, "d": 2}, "e": 3}) == {"a": {"b": 1, "d": 2}, "c": ["x"], "e": 3}
