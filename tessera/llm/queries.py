@@ -92,6 +92,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"))
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codec import digest, encode
+
+    return digest(encode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), decoded=True))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -103,6 +109,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_piece_codec": op11_piece_codec,
 }
 #: Components by reachability, which SQL can afford on small tables.
 _REACHED = "r(id, root) AS (SELECT id, id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON r.id = l.a)"
