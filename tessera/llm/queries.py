@@ -98,6 +98,12 @@ def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(encode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), decoded=True))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -110,6 +116,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
     "op11_piece_codec": op11_piece_codec,
+    "op12_collocations": op12_collocations,
 }
 #: Components by reachability, which SQL can afford on small tables.
 _REACHED = "r(id, root) AS (SELECT id, id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON r.id = l.a)"
@@ -150,4 +157,13 @@ x AS (SELECT id, unnest(s) AS t FROM v), n AS (SELECT id, len(s) AS n FROM v),
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM x a JOIN x b ON a.t = b.t AND a.id <> b.id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n m ON m.id = a JOIN n o ON o.id = b WHERE 100 * common >= 75 * (m.n + o.n - common)), {_REACHED}
 SELECT r.id AS doc_id, any_value(n.n)::BIGINT AS n_shingles, min(root) AS component_id FROM r JOIN n ON n.id = r.id GROUP BY r.id""",
+    "op12_collocations": r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) AS w FROM documents),
+g AS (SELECT lang, d, unnest(list_transform(range(1, len(w) - d + 2), lambda i: array_to_string(list_slice(w, i, i + d - 1), ' '))) AS phrase FROM p, range(1, 6) t(d)),
+f AS (SELECT lang, d, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM g GROUP BY lang, d, phrase HAVING count(*) >= 100), n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+c AS (SELECT f.*, k, array_to_string(list_slice(w, 1, k), ' ') AS x, array_to_string(list_slice(w, k + 1, d), ' ') AS y FROM f, range(1, 5) t(k) WHERE d > 1 AND k < d),
+s AS (SELECT c.lang, c.d, c.phrase, c.a, c.k, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * c.a::HUGEINT * n.n::HUGEINT) // (l.a::HUGEINT * r.a::HUGEINT) AS score FROM c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y JOIN n ON n.lang = c.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = m.lang AND f.d > m.d AND f.a >= m.a AND contains(' ' || f.phrase || ' ', ' ' || m.phrase || ' '))),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000""",
 }
