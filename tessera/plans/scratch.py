@@ -26,6 +26,11 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _stamp(spark: SparkSession, path: str) -> tuple:
     """What changes when a table is written anew: its files with their sizes and times."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
