@@ -27,7 +27,7 @@ ANN_BLOCK = 1024
 
 @dataclass(frozen=True)
 class AnnConfig:
-    """lists: 0 for the root of the number of vectors, `most_lists` at most. subspaces: 0 for one of every four components.
+    """lists: 0 for the root of the number of vectors, `most_lists` at most. subspaces: 0 for one of every two components.
     sample: vectors that centroids and codebooks are fitted on, at most. held_out: vectors that `probes` and `candidates` are
     measured with, so that `target` of their `k` nearest are found."""
 
@@ -102,7 +102,7 @@ def build(vectors: DataFrame, path: str, config: AnnConfig = AnnConfig()) -> Ann
     x = _matrix(drawn.select("embedding").toArrow().column("embedding"))
     rng = np.random.default_rng(config.seed)
     lists = min(config.lists or max(1, round(n**0.5)), config.most_lists, len(x))
-    subspaces = config.subspaces or next(s for s in range(max(1, dim // 4), 0, -1) if dim % s == 0)
+    subspaces = config.subspaces or next(s for s in range(max(1, dim // 2), 0, -1) if dim % s == 0)
     if dim % subspaces:
         raise ValueError(f"{dim} components do not make {subspaces} equal subspaces")
     centroids = _centres(x, lists, config.rounds, rng)
