@@ -21,8 +21,8 @@ from tessera.operators.vectors import dense_topk, matches, top_k
 from tessera.plans.scratch import delete
 from tessera.plans.ship import ship_package
 
-#: Query vectors that one scan of the codes holds.
-ANN_BLOCK = 1024
+#: Query vectors that one scan of the codes holds, and vectors of a folder of codes on average.
+ANN_BLOCK, SHARD = 1024, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -64,21 +64,41 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
 
 
+def _about(centroids: np.ndarray, codebooks: np.ndarray, lists, codes: np.ndarray) -> np.ndarray:
+    return centroids[lists] + np.concatenate([codebooks[j][codes[:, j]] for j in range(codes.shape[1])], axis=1)
+
+
+def _coded(v: np.ndarray, centroids: np.ndarray, codebooks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The list and the code of each vector."""
+    at = _nearest(v, centroids)
+    left = (v - centroids[at]).reshape(len(v), len(codebooks), -1)
+    return at.astype(np.int32), np.stack([_nearest(left[:, j], codebooks[j]) for j in range(len(codebooks))], axis=1).astype(np.uint8)
+
+
 @dataclass
 class AnnIndex:
-    """codes(list, chunk_id, code, embedding, and the vectors' other columns), centroids, codebooks, meta."""
+    """codes(shard, list, chunk_id, code, embedding, and the vectors' other columns), centroids, codebooks, the lists and codes
+    of the vectors they were fitted on, meta."""
 
     codes: DataFrame
     centroids: np.ndarray
     codebooks: np.ndarray
+    drawn: tuple[np.ndarray, np.ndarray]
     meta: dict
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> AnnIndex:
-        """Centroids and codebooks are read to the driver: their number is bounded by the configuration."""
+        """Centroids, codebooks and the codes drawn are read to the driver: their number is bounded by the configuration."""
         meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
-        fitted = {r["name"]: np.array(r["value"], dtype=np.float32) for r in spark.read.parquet(f"{path}/fitted").collect()}
-        return cls(spark.read.parquet(f"{path}/codes"), fitted["centroids"].reshape(-1, meta["dim"]), fitted["codebooks"].reshape(meta["subspaces"], -1, meta["dim"] // meta["subspaces"]), meta)
+        fitted = {r["name"]: r["data"] for r in spark.read.parquet(f"{path}/fitted").collect()}
+        floats = {n: np.frombuffer(fitted[n], dtype=np.float32) for n in ("centroids", "codebooks")}
+        drawn = np.frombuffer(fitted["lists"], dtype=np.int32), np.frombuffer(fitted["codes"], dtype=np.uint8).reshape(-1, meta["subspaces"])
+        books = floats["codebooks"].reshape(meta["subspaces"], -1, meta["dim"] // meta["subspaces"])
+        return cls(spark.read.parquet(f"{path}/codes"), floats["centroids"].reshape(-1, meta["dim"]), books, drawn, meta)
+
+    def about(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        return _about(self.centroids, self.codebooks, lists, codes)
 
 
 def build(vectors: DataFrame, path: str, config: AnnConfig = AnnConfig()) -> AnnIndex:
@@ -86,8 +106,8 @@ def build(vectors: DataFrame, path: str, config: AnnConfig = AnnConfig()) -> Ann
 
     Every row is indexed, but for null vectors and those with a null component; other lengths than the commonest one's
     are an error. Centroids and codebooks are fitted on the rows of least hash of their id, `sample` at most. Codes are
-    sorted by list and written as one folder a list, so that a search reads the lists it probes; a list that holds a large part
-    of all vectors is dealt to several files by the hash of ids.
+    sorted by list and written in folders of some lists each, so that a search opens few folders, and in them the pages of the
+    lists it probes; a list that holds a large part of all vectors is dealt to several files by the hash of ids.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -109,26 +129,27 @@ def build(vectors: DataFrame, path: str, config: AnnConfig = AnnConfig()) -> Ann
     rest = (x - centroids[_nearest(x, centroids)]).reshape(len(x), subspaces, -1)
     codebooks = np.stack([_centres(rest[:, j], min(256, len(x)), config.rounds, rng) for j in range(subspaces)])
 
+    shards = min(lists, max(1, round(n / SHARD)))
+
     def encode(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = _matrix(batch.column("embedding"))
-            at = _nearest(v, centroids)
-            left = (v - centroids[at]).reshape(len(v), subspaces, -1)
-            code = np.stack([_nearest(left[:, j], codebooks[j]) for j in range(subspaces)], axis=1).astype(np.uint8)
-            added = [pa.array(at.astype(np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(subspaces), len(v), [None, pa.py_buffer(code.tobytes())]).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "list", "code"])
+            at, code = _coded(v, centroids, codebooks)
+            added = [pa.array((at.astype(np.int64) * shards // lists).astype(np.int32)), pa.array(at), pa.FixedSizeBinaryArray.from_buffers(pa.binary(subspaces), len(v), [None, pa.py_buffer(code.tobytes())]).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "shard", "list", "code"])
 
-    schema = StructType([*good.schema.fields, StructField("list", IntegerType()), StructField("code", BinaryType())])
+    schema = StructType([*good.schema.fields, StructField("shard", IntegerType()), StructField("list", IntegerType()), StructField("code", BinaryType())])
     good.mapInArrow(encode, schema).write.mode("overwrite").parquet(f"{path}/encoded")
     encoded = spark.read.parquet(f"{path}/encoded")
     dealt = encoded.repartitionByRange(F.col("list"), F.xxhash64("chunk_id")).sortWithinPartitions("list")
-    dealt.write.mode("overwrite").partitionBy("list").parquet(f"{path}/codes")
+    dealt.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/codes")
     delete(spark, f"{path}/encoded")
-    fitted = [("centroids", centroids.ravel().tolist()), ("codebooks", codebooks.ravel().tolist())]
-    spark.createDataFrame(fitted, "name string, value array<float>").coalesce(1).write.mode("overwrite").parquet(f"{path}/fitted")
-    index = AnnIndex(spark.read.parquet(f"{path}/codes"), centroids, codebooks, {"n": n, "dim": dim, "lists": lists, "subspaces": subspaces, "config": asdict(config)})
+    drawn = _coded(x, centroids, codebooks)
+    fitted = [("centroids", bytearray(centroids.tobytes())), ("codebooks", bytearray(codebooks.tobytes())), ("lists", bytearray(drawn[0].tobytes())), ("codes", bytearray(drawn[1].tobytes()))]
+    spark.createDataFrame(fitted, "name string, data binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/fitted")
+    index = AnnIndex(spark.read.parquet(f"{path}/codes"), centroids, codebooks, drawn, {"n": n, "dim": dim, "lists": lists, "shards": shards, "subspaces": subspaces, "config": asdict(config)})
     index.meta["measured"] = {metric: _measure(index, metric, config) for metric in ("ip", "l2")}
     spark.createDataFrame([(json.dumps(index.meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     return index
@@ -139,6 +160,28 @@ def _list_scores(q: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarra
     return s if metric == "ip" else 2 * s - (centroids * centroids).sum(1)
 
 
+def _near(q: np.ndarray, about: np.ndarray, metric: str) -> np.ndarray:
+    """What codes say of the scores (of l2 without the query's own part, the same for all)."""
+    near = q @ about.T
+    return (near if metric == "ip" else 2 * near - (about * about).sum(1)).astype(np.float32)
+
+
+def _floors(index: AnnIndex, q: np.ndarray, asks: np.ndarray, metric: str, keep: int) -> np.ndarray:
+    """A score that more than `keep` of all vectors have by their codes, all but surely: that of the vectors drawn whose rank
+    among these, six standard errors added, stands for that many of all. Tasks need not give what lies below."""
+    at, codes = index.drawn
+    share = len(at) / index.meta["n"]
+    rank = keep if share >= 1 else int(np.ceil(keep * share + 6 * np.sqrt(keep * share) + 6))
+    out = np.full(len(q), -np.inf, dtype=np.float32)
+    if rank > len(at):
+        return out
+    about = index.about(at, codes)
+    for i in range(0, len(q), 64):
+        near = np.where(asks[i : i + 64][:, at], _near(q[i : i + 64], about, metric), -np.inf)
+        out[i : i + 64] = np.partition(near, -rank, axis=1)[:, -rank]
+    return np.where(np.isfinite(out), out - 1e-4 * np.abs(np.where(np.isfinite(out), out, 0)) - 1e-6, -np.inf).astype(np.float32)  # sums in another order
+
+
 def _measure(index: AnnIndex, metric: str, config: AnnConfig) -> dict:
     """Lists and candidates that hold `target` of the `k` nearest of held-out vectors, found by exact search."""
     asked = index.codes.select(F.col("chunk_id").alias("qid"), "embedding").orderBy(F.xxhash64(F.lit(f"held out {config.seed}"), "qid")).limit(config.held_out)
@@ -164,7 +207,7 @@ def _candidates(index: AnnIndex, queries: DataFrame, metric: str, probes: int, k
     spark = index.codes.sparkSession
     ship_package(spark)
     ids, qids = dict(index.codes.dtypes)["chunk_id"], dict(queries.dtypes)["qid"]
-    centroids, codebooks, lists = index.centroids, index.codebooks, index.meta["lists"]
+    centroids, codebooks, lists, shards = index.centroids, index.codebooks, index.meta["lists"], index.meta["shards"]
     blocks = max(1, -(-queries.count() // ANN_BLOCK))
     numbered = queries.select("qid", "embedding").withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     every = None
@@ -177,8 +220,9 @@ def _candidates(index: AnnIndex, queries: DataFrame, metric: str, probes: int, k
         asks = np.zeros(scores.shape, dtype=bool)
         np.put_along_axis(asks, np.argsort(-scores, axis=1, kind="stable")[:, :probes], True, axis=1)
         wanted = np.flatnonzero(asks.any(0))
+        floor = _floors(index, q, asks, metric, keep) if not filters else np.full(len(q), -np.inf, dtype=np.float32)
 
-        def scan(batches, q=q, asks=asks):
+        def scan(batches, q=q, asks=asks, floor=floor):
             best = [(np.zeros(0, dtype=np.float32), [], np.zeros(0, dtype=np.int32))] * len(q)
             for batch in batches:
                 if not batch.num_rows:
@@ -189,12 +233,11 @@ def _candidates(index: AnnIndex, queries: DataFrame, metric: str, probes: int, k
                     mine, who = np.flatnonzero(at == one), np.flatnonzero(asks[:, one])
                     if not len(who):
                         continue
-                    about = centroids[one] + np.concatenate([codebooks[j][code[mine, j]] for j in range(code.shape[1])], axis=1)
-                    near = q[who] @ about.T
-                    if metric == "l2":
-                        near = 2 * near - (about * about).sum(1)
-                    for i, s in zip(who, near.astype(np.float32), strict=True):
-                        pick = np.flatnonzero(s >= np.partition(s, -keep)[-keep]) if len(s) > keep else np.arange(len(s))
+                    near = _near(q[who], _about(centroids, codebooks, np.full(len(mine), one), code[mine]), metric)
+                    for i, s in zip(who, near, strict=True):
+                        pick = np.flatnonzero(s >= floor[i])
+                        if len(pick) > keep:
+                            pick = pick[s[pick] >= np.partition(s[pick], -keep)[-keep]]
                         held = best[i]
                         if len(held[0]) >= keep:
                             pick = pick[s[pick] >= held[0].min()]  # the running score of the last that is kept
@@ -213,8 +256,8 @@ def _candidates(index: AnnIndex, queries: DataFrame, metric: str, probes: int, k
 
         id_type = index.codes.select("chunk_id").limit(0).toArrow().schema.field(0).type
         codes = index.codes.filter(matches(filters))
-        if len(wanted) < lists:
-            codes = codes.filter(F.col("list").isin(wanted.tolist()))  # folders of other lists are not opened
+        if len(wanted) < lists:  # folders without such a list are not opened
+            codes = codes.filter(F.col("shard").isin(sorted({int(w) * shards // lists for w in wanted})) & F.col("list").isin(wanted.tolist()))
         found = codes.select("list", "chunk_id", "code").mapInArrow(scan, f"q long, chunk_id {ids}, list int, near float")
         labels = spark.createDataFrame(pa.table({"q": pa.array(range(len(names)), pa.int64()), "qid": names}))
         found = found.join(F.broadcast(labels), "q").select("qid", "chunk_id", "list", "near")  # ANN_BLOCK rows

@@ -50,7 +50,19 @@ def test_only_probed_lists_are_read(index):
     near = ann._candidates(ix, q, "l2", 2, 10)
     assert near.select("list").distinct().count() <= 2
     plan = near._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [list" in plan and "embedding" not in plan
+    assert "PushedFilters: [In(list" in plan and "embedding" not in plan
+
+
+def test_folders_of_other_lists_are_not_opened(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 300)
+    v = _clustered(spark)
+    ix = ann.build(v, f"file://{tmp_path}/shards", ann.AnnConfig(lists=40, held_out=32, sample=500))
+    assert ix.meta["shards"] == 10 and ix.codes.count() == 3000
+    q = v.filter("chunk_id % 30 = 0").select(F.col("chunk_id").alias("qid"), "embedding")
+    assert "PartitionFilters: [" in ann._candidates(ix, q.limit(1), "ip", 1, 5)._jdf.queryExecution().executedPlan().toString()
+    for metric in ("ip", "l2"):
+        exact = {(r.qid, r.chunk_id) for r in vectors.dense_topk(v, q, 5, metric, strategy="gemm").collect()}
+        assert len(exact & {(r.qid, r.chunk_id) for r in ann.search(ix, q, 5, metric).collect()}) >= 0.93 * len(exact)
 
 
 def test_every_good_row_is_indexed(spark, tmp_path):
