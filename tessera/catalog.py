@@ -161,6 +161,12 @@ def bm25_topk(spark, d):
     return _shown(_lexical(spark, d))
 
 
+@query(f"WITH {_bm25_sql(_BENCH_TERMS)} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM lex")
+def bm25_topk_pruned(spark, d):
+    """The same by score bounds: blocks of postings that cannot hold one of the best are not read."""
+    return _shown(lexical.search(_index(spark, d), _asked(spark, d), 10, prune=True))
+
+
 @query(f"""WITH ph AS ({_PHRASE}), {_bm25_sql("SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(ph) AS term FROM ph) GROUP BY ALL",
        boost="(SELECT 1 + 1.5 * (' ' || array_to_string(toks, ' ') || ' ' LIKE '% ' || array_to_string(ph, ' ') || ' %')::INT FROM ph WHERE ph.qid = lex_s.qid)")}
 SELECT qid, chunk_id, round(score, 6) AS score, rank FROM lex""")

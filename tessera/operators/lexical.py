@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stem import porter, stems
-from tessera.functions.text import ascii_tokens, contains_sequence, phrases, without_words
+from tessera.functions.text import ascii_tokens, phrases, without_words
 from tessera.operators.vectors import top_k
+from tessera.plans.scratch import fresh
 
 
 @dataclass(frozen=True)
@@ -45,31 +46,68 @@ def tokenize(texts: DataFrame, key: str, text: str, config: LexicalConfig) -> Da
 
 #: Distinct query terms up to which postings are filtered by a broadcast of them.
 TERM_BLOCK = 100_000
+#: Postings of a block on average, levels of impact that a term's postings are told apart by, and the number of postings
+#: of all query terms from which on a search prunes by blocks.
+BLOCK, LEVELS, PRUNE_FROM = 256, 16, 20_000_000
 
 
 @dataclass
 class LexicalIndex:
-    """postings(term, chunk_id, tf, dl), doc_stats(chunk_id, dl, toks), term_stats(term, df), corpus(n_docs, avgdl)."""
+    """postings(term, chunk_id, tf, dl, at: places of the term), doc_stats(chunk_id, dl, toks), term_stats(term, df),
+    corpus(n_docs, avgdl).
+
+    A written index also has its postings in blocks of like impact: blocks(term, level, slice, n, entries), a term's
+    postings of one level being dealt to slices by the hash of the chunk's id, and levels(term, level, slices, n, peak), peak being
+    the greatest impact there. Peaks hold for the k1, b and average length that the index was written with.
+    """
 
     config: LexicalConfig
     postings: DataFrame
     doc_stats: DataFrame
     term_stats: DataFrame
     corpus: DataFrame
+    blocks: DataFrame | None = None
+    levels: DataFrame | None = None
 
     def save(self, path: str, buckets: int = 32) -> None:
-        """Four Parquet tables; postings lie by term, so a query reads few of their row groups. Tokens are written first and
-        the others made of them, so texts are split once."""
+        """Parquet tables; postings lie by term, so a query reads few of their row groups. Tokens are written first and the
+        others made of them, so texts are split once."""
         spark = self.postings.sparkSession
         self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
         made = _from_tokens(self.config, spark.read.parquet(f"{path}/doc_stats"))
-        made.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        _term_stats(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/term_stats")
         made.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        made.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.save_blocks(spark, path, buckets)
+
+    def save_blocks(self, spark, path: str, buckets: int = 32) -> None:
+        """term_stats, levels and blocks of the postings and corpus written under `path`.
+
+        No term is sorted whole: an occurrence's level follows from its impact, the number of slices from the level's
+        count, and the slice from the chunk's id, so that a term of every chunk spreads over many tasks.
+        """
+        postings, corpus = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "corpus"))
+        _term_stats(postings).write.mode("overwrite").parquet(f"{path}/term_stats")
+        rated = postings.crossJoin(F.broadcast(corpus)).withColumn("impact", _impact(self.config))  # corpus is one row
+        rated = rated.withColumn("level", F.least(F.floor(F.col("impact") / (self.config.k1 + 1) * LEVELS), F.lit(LEVELS - 1)).cast("int"))
+        told = rated.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("peak")).withColumn("slices", F.ceil(F.col("n") / BLOCK))
+        told.select("term", "level", "slices", "n", "peak").repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/levels")
+        levels = spark.read.parquet(f"{path}/levels")
+        dealt = rated.join(levels.select("term", "level", "slices"), ["term", "level"]).withColumn("slice", _slice())
+        blocks = dealt.groupBy("term", "level", "slice").agg(F.count("*").alias("n"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("entries"))
+        blocks.repartitionByRange(buckets, "term", "level", "slice").sortWithinPartitions("term", "level", "slice").write.mode("overwrite").parquet(f"{path}/blocks")
 
     @classmethod
     def load(cls, spark, path: str, config: LexicalConfig | None = None) -> LexicalIndex:
-        return cls(config or LexicalConfig(), *(spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_stats", "term_stats", "corpus")))
+        return cls(config or LexicalConfig(), *(spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_stats", "term_stats", "corpus", "blocks", "levels")))
+
+
+def _slice():
+    return F.pmod(F.xxhash64(F.lit("slice"), "chunk_id"), F.col("slices"))
+
+
+def _impact(c: LexicalConfig):
+    length = c.k1 * (1 - c.b + c.b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
+    return F.col("tf") * (c.k1 + 1) / (F.col("tf") + length)
 
 
 def _term_stats(postings: DataFrame) -> DataFrame:
@@ -77,8 +115,9 @@ def _term_stats(postings: DataFrame) -> DataFrame:
 
 
 def _from_tokens(config: LexicalConfig, docs: DataFrame) -> LexicalIndex:
-    postings = docs.select("chunk_id", "dl", F.explode("toks").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
-    corpus = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    each = docs.select("chunk_id", "dl", F.posexplode("toks").alias("p", "term"))
+    postings = each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("p")).alias("at")).select("term", "chunk_id", "tf", "dl", "at")
+    corpus = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).select("*", F.lit(config.k1).alias("k1"), F.lit(config.b).alias("b"))
     return LexicalIndex(config, postings, docs, _term_stats(postings), corpus)
 
 
@@ -102,28 +141,129 @@ def query_terms(queries: DataFrame, config: LexicalConfig) -> DataFrame:
     return weighted.groupBy("qid", "term").agg(F.sum("w").alias("qtf"))
 
 
-def search(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
+def _weights(index: LexicalIndex, terms: DataFrame, term_stats: DataFrame) -> DataFrame:
+    """(qid, term, w): what a term's impact is multiplied with, idf = ln(1 + (N - df + .5) / (df + .5)) times the query's
+    own weight."""
+    n = index.corpus.select("n_docs")
+    known = terms.join(term_stats, "term").crossJoin(F.broadcast(n))  # one row
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return known.select("qid", "term", (idf * (index.config.k3 + 1) * F.col("qtf") / (index.config.k3 + F.col("qtf"))).alias("w"))
+
+
+def phrase_hits(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """(qid, chunk_id, n): how many quoted phrases of a query a chunk holds, from the places of the phrases' terms alone.
+
+    The places of each term, less its place in the phrase, are where the phrase would begin; it does where the lists of
+    all its terms meet. A phrase given twice counts twice."""
+    quoted = queries.select("qid", F.posexplode(phrases(F.col("query"))).alias("nth", "phrase")).withColumn("pid", F.concat_ws("#", F.col("qid").cast("string"), "nth"))
+    each = quoted.select("qid", "pid").join(tokenize(quoted, "pid", "phrase", index.config), "pid").select("qid", "pid", F.size("toks").alias("m"), F.posexplode("toks").alias("offset", "term"))
+    postings, wanted = index.postings.select("term", "chunk_id", "at"), each.select("term").distinct()
+    if wanted.limit(TERM_BLOCK + 1).count() <= TERM_BLOCK:
+        postings = postings.join(F.broadcast(wanted), "term", "left_semi")
+    begins = each.join(postings, "term").select("qid", "pid", "m", "chunk_id", F.transform("at", lambda p: p - F.col("offset")).alias("begins"))
+    met = begins.groupBy("qid", "pid", "m", "chunk_id").agg(F.collect_list("begins").alias("lists")).filter(F.size("lists") == F.col("m"))
+    there = F.size(F.aggregate(F.slice("lists", 2, F.size("lists")), F.get("lists", F.lit(0)), lambda a, x: F.array_intersect(a, x))) > 0
+    return met.filter(there).groupBy("qid", "chunk_id").agg(F.count("*").alias("n"))
+
+
+def search(index: LexicalIndex, queries: DataFrame, k: int, prune: bool | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank) for queries (qid, query). Only postings of query terms are read on.
 
-    idf = ln(1 + (N - df + .5) / (df + .5)); each quoted phrase of a query that a scored chunk holds adds
-    `phrase_boost` to the factor of its score. Scores are rounded to nine decimals, so that ties are ties.
+    Each quoted phrase of a query that a scored chunk holds adds `phrase_boost` to the factor of its score. Scores are rounded
+    to nine decimals, so that ties are ties. `prune`: read the blocks alone that may hold one of the best (see `pruned`); by
+    default where the query terms have PRUNE_FROM postings together and the index has blocks. The rows are the same.
     """
     c = index.config
     terms = query_terms(queries, c)
-    wanted, postings, term_stats = terms.select("term").distinct(), index.postings, index.term_stats
+    wanted, postings, term_stats = terms.select("term").distinct(), index.postings.select("term", "chunk_id", "tf", "dl"), index.term_stats
     if wanted.limit(TERM_BLOCK + 1).count() <= TERM_BLOCK:  # then other terms' postings are dropped where they are read
         postings, term_stats = (t.join(F.broadcast(wanted), "term", "left_semi") for t in (postings, term_stats))
-    hits = terms.join(postings, "term").join(term_stats, "term").crossJoin(F.broadcast(index.corpus))  # corpus is one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    wq = (c.k3 + 1) * F.col("qtf") / (c.k3 + F.col("qtf"))
-    length = c.k1 * (1 - c.b + c.b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
-    scored = hits.groupBy("qid", "chunk_id").agg(F.sum(idf * wq * F.col("tf") * (c.k1 + 1) / (F.col("tf") + length)).alias("score"))
+    weights, plain = _weights(index, terms, term_stats), queries
+    if prune is None:
+        prune = index.blocks is not None and (term_stats.agg(F.sum("df")).first()[0] or 0) >= PRUNE_FROM
+    if prune:
+        if index.blocks is None or (told := index.corpus.select("k1", "b").first()) is None or (told["k1"], told["b"]) != (c.k1, c.b):
+            raise ValueError("only a written index of the same k1 and b has blocks to prune by")
+        boosted = F.lit(bool(c.phrase_boost)) & (F.size(phrases(F.col("query"))) > 0)  # a boost is no part of the bounds
+        plain = queries.filter(boosted)
+        some = plain.select("qid").distinct()
+        best = pruned(index, weights.join(some, "qid", "left_anti"), k)[0]
+        weights = weights.join(some, "qid", "left_semi")
+        if some.isEmpty():
+            return best
+    hits = weights.join(postings, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # one row
+    scored = hits.groupBy("qid", "chunk_id").agg(F.sum(F.col("w") * _impact(c)).alias("score"))
     if c.phrase_boost:
-        quoted = queries.select("qid", F.posexplode(phrases(F.col("query"))).alias("at", "phrase")).withColumn("pid", F.concat_ws("#", F.col("qid").cast("string"), "at"))
-        wanted = quoted.select("qid", "pid").join(tokenize(quoted, "pid", "phrase", c), "pid").filter(F.size("toks") > 0).select("qid", F.col("toks").alias("phrase"))
-        by_query = wanted.groupBy("qid").agg(F.collect_list("phrase").alias("wanted"))
-        some = scored.join(by_query, "qid").join(index.doc_stats.select("chunk_id", "toks"), "chunk_id")
-        n = F.aggregate(F.transform("wanted", lambda p: contains_sequence(F.col("toks"), p).cast("int")), F.lit(0), lambda a, x: a + x)
-        boosts = some.select("qid", "chunk_id", (1 + c.phrase_boost * n).alias("boost"))
-        scored = scored.join(boosts, ["qid", "chunk_id"], "left").withColumn("score", F.col("score") * F.coalesce("boost", F.lit(1.0))).drop("boost")
-    return top_k(scored.withColumn("score", F.round("score", 9)), k)
+        scored = scored.join(phrase_hits(index, plain), ["qid", "chunk_id"], "left").withColumn("score", F.col("score") * (1 + c.phrase_boost * F.coalesce("n", F.lit(0)))).drop("n")
+    found = top_k(scored.withColumn("score", F.round("score", 9)), k)
+    return found.unionByName(best) if prune else found
+
+
+#: Terms of at most so many postings are read whole for the floor; of the floor, what the terms left out may add up to.
+SEED, SHARE = 512, 0.7
+#: Bounds and scores are sums in any order; a bound this little below a score still counts.
+SLACK = 1e-7
+
+
+def pruned(index: LexicalIndex, weights: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The `k` best of each query, and (step, rows, n): the blocks and their postings, or the chunks and their tokens, that
+    each step read.
+
+    1. A query's terms are looked up in their best blocks (all blocks of rare terms). The chunks with the most there are
+       scored whole, and the k-th score is a floor: the k best have it at least.
+    2. Terms whose greatest scores together stay below the floor are no reason to look at a chunk. Of the other terms, those
+       levels are read whose peak, with the best of all other terms, reaches the floor. A chunk of the k best is in every one
+       of these terms' blocks that hold it.
+    3. Chunks whose score so far, with the best of the terms left out, reaches the floor are scored whole, by their tokens.
+    """
+    c, spark = index.config, weights.sparkSession
+    path = fresh(spark, "bounds")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    weights = kept(weights, "weights")
+    levels = kept(index.levels.join(weights.select("term").distinct(), "term", "left_semi"), "levels")
+    tops = levels.groupBy("term").agg(F.max("peak").alias("peak"), F.max("level").alias("top"), F.sum("n").alias("all"))
+    asked = weights.join(tops, "term").select("qid", "term", "w", "top", "all", (F.col("w") * F.col("peak")).alias("u"))
+
+    def entries(blocks: DataFrame, name: str) -> DataFrame:
+        """(term, level, slice, chunk_id, tf, dl) of the blocks named."""
+        named = kept(blocks.select("term", "level", "slice").distinct(), name)
+        found = index.blocks.join(named, ["term", "level", "slice"])
+        return found.select("term", "level", "slice", F.inline("entries")).crossJoin(F.broadcast(index.corpus.select("avgdl"))).withColumn("impact", _impact(c))  # one row
+
+    def whole(pairs: DataFrame, name: str) -> DataFrame:
+        """(qid, chunk_id, score) of (qid, chunk_id), from the tokens of these chunks."""
+        pairs = kept(pairs, name)
+        tokens = index.doc_stats.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        held = tokens.select("chunk_id", "dl", F.explode("toks").alias("term")).join(weights.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+        rated = held.crossJoin(F.broadcast(index.corpus.select("avgdl"))).select("chunk_id", "term", _impact(c).alias("impact"))  # one row
+        return pairs.join(rated, "chunk_id").join(weights, ["qid", "term"]).groupBy("qid", "chunk_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+
+    few = (F.col("level") >= F.col("top") - 1) | (F.col("all") <= SEED)
+    first = asked.join(levels, "term").filter(few).select("qid", "term", "w", "level", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("all") <= SEED, F.col("slices") - 1).otherwise(0))).alias("slice"))
+    seeds = first.join(entries(first, "first"), ["term", "level", "slice"]).groupBy("qid", "chunk_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+    floors = top_k(whole(top_k(seeds, 4 * k).select("qid", "chunk_id"), "seeds"), k).filter(F.col("rank") == k).select("qid", (F.col("score") - SLACK).alias("floor"))
+    below = Window.partitionBy("qid").orderBy("u", "term").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = asked.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).select("*", F.sum("u").over(below).alias("below"), F.sum("u").over(Window.partitionBy("qid")).alias("every"))
+    ranked = kept(ranked.withColumn("essential", F.col("below") >= SHARE * F.col("floor")), "ranked")
+    left = ranked.groupBy("qid").agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("u"))), F.lit(0.0)).alias("rest"))
+
+    reach = F.col("w") * F.col("peak") + F.col("every") - F.col("u") + SLACK >= F.col("floor")
+    needed = ranked.filter("essential").join(levels, "term").filter(reach).select("qid", "term", "w", "level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    sums = needed.join(entries(needed, "needed"), ["term", "level", "slice"]).groupBy("qid", "chunk_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+    chunks = sums.join(left, "qid").filter(F.col("score") + F.col("rest") + SLACK >= F.col("floor")).select("qid", "chunk_id")
+    scored = whole(chunks, "chunks").withColumn("score", F.round("score", 9))
+
+    read = None
+    for step in ("first", "needed"):
+        named = spark.read.parquet(f"{path}/{step}")
+        one = index.blocks.select("term", "level", "slice", "n").join(named, ["term", "level", "slice"]).agg(F.lit(step).alias("step"), F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        read = one if read is None else read.unionByName(one)
+    for step in ("seeds", "chunks"):
+        named = spark.read.parquet(f"{path}/{step}").select("chunk_id").distinct()
+        one = index.doc_stats.join(named, "chunk_id", "left_semi").agg(F.lit(step).alias("step"), F.count("*").alias("rows"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n"))
+        read = read.unionByName(one)
+    return top_k(scored, k), read
