@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.functions import vocabulary
 from tessera.operators import answers, chunking, evaluation, fusion, lexical, qa, vectors
 from tessera.plans import runtime, scratch
 from tessera.sources import readers
@@ -373,6 +374,12 @@ def chunk_corpus(spark, d):
     return chunking.chunk_corpus(_read(spark, d, "documents")).drop("page_start", "page_end")
 
 
+@query()
+def chunk_corpus_tokens(spark, d):
+    """Chunks whose sizes are tokens of a vocabulary file."""
+    return chunking.chunk_corpus(_read(spark, d, "documents"), vocabulary=vocabulary.installed("byte_bpe_50k.tiktoken")).drop("page_start", "page_end")
+
+
 @query()
 def chunk_stats(spark, d):
     return qa.chunk_stats(chunking.chunk_corpus(_read(spark, d, "documents")))

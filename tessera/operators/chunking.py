@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import vocabulary as V
 from tessera.plans.ship import ship_package
 
 SCHEMA = (
@@ -165,9 +166,10 @@ def pack(pieces: list[Piece], tokens: Tokens, policy: Policy) -> list[tuple[int,
     return chunks
 
 
-def chunk_document(doc_id: str, source: str, text: str, policy: Policy, title: str | None = None, url: str | None = None, facts: bool = False) -> list[dict]:
+def chunk_document(doc_id: str, source: str, text: str, policy: Policy, title: str | None = None, url: str | None = None, facts: bool = False, vocabulary: V.Vocabulary | None = None) -> list[dict]:
     """Chunk rows of one document. Blank chunks, and chunks of several lines below `min_tokens`, are dropped after they
-    are numbered, so numbers may have gaps; `facts` makes one chunk of each piece and drops none for its size."""
+    are numbered, so numbers may have gaps; `facts` makes one chunk of each piece and drops none for its size. Tokens are
+    those of `vocabulary`, or else words and marks."""
     text = normalize(text)
     if not text.strip():
         return []
@@ -178,7 +180,7 @@ def chunk_document(doc_id: str, source: str, text: str, policy: Policy, title: s
     link = re.search(r"(?im)^[ \t]*Source:\s*(https?://\S+)[ \t]*$", text)
     if facts and (wiki := re.search(r"(?im)^[ \t]*WikipediaID:\s*(\d+)[ \t]*$", text)):
         doc_id = wiki[1]
-    tokens = Tokens(text)
+    tokens = V.VocabularyTokens(text, vocabulary) if vocabulary else Tokens(text)
     pieces = [part for p in structure(text) for part in fit(text, p, tokens, policy.max_tokens)]
     plan = [(p.start, p.stop, p.section, tokens.count(p.start, p.stop)) for p in pieces] if facts else pack(pieces, tokens, policy)
     rows = []
@@ -196,10 +198,12 @@ def chunk_document(doc_id: str, source: str, text: str, policy: Policy, title: s
     return rows
 
 
-def chunk_corpus(documents: DataFrame, policy: Policy | None = None, facts: bool = False, skip_bad: bool = False) -> DataFrame:
+def chunk_corpus(documents: DataFrame, policy: Policy | None = None, facts: bool = False, skip_bad: bool = False, vocabulary: str | None = None, pattern: str = V.PATTERN) -> DataFrame:
     """Chunks of documents (doc_id, source, text; title and url where they have them).
 
-    A document that fails ends the job, or with `skip_bad` gives one row with only doc_id, source and the error.
+    A document that fails ends the job, or with `skip_bad` gives one row with only doc_id, source and the error. Sizes are
+    tokens of the file `vocabulary` (lines of base64 and rank, readable on every node, with its pre-token pattern); without
+    one, words and marks are counted.
     """
     ship_package(documents.sparkSession)
     policy = policy or (FACTS if facts else Policy())
@@ -207,11 +211,12 @@ def chunk_corpus(documents: DataFrame, policy: Policy | None = None, facts: bool
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = V.load(vocabulary, pattern) if vocabulary else None
         for batch in batches:
             rows: list[dict] = []
             for d in batch.itertuples(index=False):
                 try:
-                    rows += chunk_document(d.doc_id, d.source, d.text, policy, d.title, d.url, facts)
+                    rows += chunk_document(d.doc_id, d.source, d.text, policy, d.title, d.url, facts, known)
                 except Exception as e:
                     if not skip_bad:
                         raise
