@@ -114,9 +114,14 @@ def _term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def _from_tokens(config: LexicalConfig, docs: DataFrame) -> LexicalIndex:
+def postings_of(docs: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, dl, at) of (chunk_id, dl, toks)."""
     each = docs.select("chunk_id", "dl", F.posexplode("toks").alias("p", "term"))
-    postings = each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("p")).alias("at")).select("term", "chunk_id", "tf", "dl", "at")
+    return each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("p")).alias("at")).select("term", "chunk_id", "tf", "dl", "at")
+
+
+def _from_tokens(config: LexicalConfig, docs: DataFrame) -> LexicalIndex:
+    postings = postings_of(docs)
     corpus = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).select("*", F.lit(config.k1).alias("k1"), F.lit(config.b).alias("b"))
     return LexicalIndex(config, postings, docs, _term_stats(postings), corpus)
 

@@ -11,7 +11,7 @@ from pathlib import Path
 from threading import Lock
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Cache:
@@ -67,6 +67,25 @@ def newest(folder: str) -> str | None:
     return f"{folder}/{names[-1]}" if names else None
 
 
+def finished_runs(spark: SparkSession, root: str, marker: str | None = "_SUCCESS") -> list[str]:
+    """Subfolders in the order of their names that hold the marker of a finished write, wherever Hadoop's file systems reach.
+
+    Spark writes that marker last, so a run that is under way or was lost has none. Without a marker all subfolders."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return []
+    Path_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folders = [f.getPath() for f in system.listStatus(where) if f.isDirectory()]
+    return sorted(f.toString() for f in folders if marker is None or system.exists(Path_(f, marker)))
+
+
+def newest_run(spark: SparkSession, root: str) -> str | None:
+    """The last finished run."""
+    found = finished_runs(spark, root)
+    return found[-1] if found else None
+
+
 def versions(index: str, model: str, prompt: str) -> dict[str, str]:
     from tessera.operators.answers import PROMPT_VERSION
 
