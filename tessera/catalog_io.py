@@ -17,7 +17,8 @@ from tessera import catalog as C
 from tessera.catalog import query
 from tessera.functions import text as T
 from tessera.operators import ann, answers, chunking, evaluation, fusion, lexical, vectors
-from tessera.plans import runtime, scratch
+from tessera.plans import providers, runtime, scratch
+from tessera.plans.corpus import Corpus
 from tessera.plans.retriever import Retriever
 from tessera.sources import readers, sinks
 
@@ -290,6 +291,45 @@ def transport_totals(spark, d):
     return fusion.transport_totals(calls)
 
 
+def _flaky():
+    """A local sender that is late as often as a third of the text's length leaves over, then answers."""
+
+    def score(pairs, transport):
+        late, sent = len(pairs[0][1]) % 3, []
+
+        def send():
+            sent.append(1)
+            if len(sent) <= late:
+                raise TimeoutError
+            return json.dumps({"scores": [float(len(t)) for _, t in pairs]}).encode()
+
+        return providers.post_json("", {"pairs": pairs}, sleep=lambda s: None, send=send, transport=transport)["scores"]
+
+    return score
+
+
+@query(f"""WITH {C._bm25_sql(C._BENCH_TERMS)}, x AS (SELECT qid, least(length(text), 2000) AS n FROM lex JOIN documents ON doc_id = chunk_id)
+SELECT qid, count(*) AS batches, sum(1 + n % 3)::BIGINT AS requests, sum(n % 3)::BIGINT AS retries, sum(n % 3)::BIGINT AS timeouts, 0::BIGINT AS failures FROM x GROUP BY qid""")
+def rerank_transport(spark, d):
+    """The calls that a reranking of the lexical results took."""
+    pool = C._lexical(spark, d).join(C._asked(spark, d), "qid").join(C._documents(spark, d).select("chunk_id", "chunk_text"), "chunk_id")
+    _, calls = fusion.rerank_counted(pool, _flaky(), 5, batch=1)
+    return fusion.transport_totals(calls).drop("bytes_sent", "bytes_received")
+
+
+@query("""WITH d AS (SELECT lang, text IS NOT DISTINCT FROM upper(text) AS same FROM documents)
+SELECT count(*) FILTER (lang = 'de') AS added, count(*) FILTER (lang = 'fr' AND NOT same) AS changed, 0 AS removed, count(*) FILTER (lang IS DISTINCT FROM 'de' AND (lang IS DISTINCT FROM 'fr' OR same)) AS unchanged,
+count(*) AS n_documents FROM d""")
+def corpus_update(spark, d):
+    """A corpus built while its German documents were missing and its French ones in capitals, then brought up to date."""
+    docs = C._read(spark, d, "documents").select("doc_id", "source", "text", "lang")
+    corpus = Corpus(spark, scratch.fresh(spark, "corpus"))
+    corpus.update(docs.filter("lang IS DISTINCT FROM 'de'").withColumn("text", F.when(F.col("lang") == "fr", F.upper("text")).otherwise(F.col("text"))))
+    told = corpus.update(docs)
+    counts = [F.lit(told[c]).cast("long").alias(c) for c in ("added", "changed")]
+    return corpus.documents().agg(F.count("*").alias("n_documents")).select(*counts, F.lit(told["removed"]).cast("int").alias("removed"), F.lit(told["unchanged"]).cast("long").alias("unchanged"), "n_documents")
+
+
 _FEW = ("the", "of", "and", "der", "die", "les")
 _LIST = ", ".join(f"'{w}'" for w in _FEW)
 

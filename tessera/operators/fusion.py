@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import astuple, fields
 from functools import reduce
 
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import ascii_tokens
 from tessera.operators.vectors import top_k
+from tessera.plans.providers import Transport
+from tessera.plans.scratch import fresh
+from tessera.plans.ship import ship_package
 
 
 def min_max(score: str = "score", by: str = "qid") -> Column:
@@ -80,6 +84,53 @@ def rerank_model(candidates: DataFrame, scorer: Callable[[list[tuple[str, str]]]
     return _reranked(scored, k)
 
 
+def rerank_counted(
+    candidates: DataFrame, scorer: Callable, k: int, max_chars: int = 2000, batch: int = 16, normalize: bool = False, forgive: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Candidates by a scorer of (pairs, transport=...), and its calls: (qid, pairs, requests, retries, timeouts, failures,
+    bytes_sent, bytes_received), one row a batch of one query's pairs.
+
+    Scores and calls are rows of one pass, written once under the shared folder: a task that is tried again is counted
+    once, as only the rows of its last try are kept. With `forgive` a batch that fails for good leaves its scores null (and
+    last) and its call counted; else it ends the job.
+    """
+    spark = candidates.sparkSession
+    ship_package(spark)
+    types = dict(candidates.dtypes)
+    counters = [f.name for f in fields(Transport)]
+    schema = f"kind string, qid {types['qid']}, chunk_id {types['chunk_id']}, score double, pairs long, " + ", ".join(f"{c} long" for c in counters)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for qid, own in rows.groupby("qid", sort=False, dropna=False):
+                for i in range(0, len(own), batch):
+                    part, t = own.iloc[i : i + batch], Transport()
+                    pairs = [(q, (x or "")[:max_chars]) for q, x in zip(part["query"], part["chunk_text"], strict=True)]
+                    try:
+                        scores = list(map(float, scorer(pairs, transport=t)))
+                        if len(scores) != len(pairs):
+                            raise ValueError("a scorer must return one score for each pair")
+                    except Exception:
+                        if not forgive:
+                            raise
+                        scores = [None] * len(pairs)
+                    out += [("score", qid, c, s, None, *[None] * len(counters)) for c, s in zip(part["chunk_id"], scores, strict=True)]
+                    out.append(("call", qid, None, None, len(pairs), *astuple(t)))
+            made = pd.DataFrame(out, columns=["kind", "qid", "chunk_id", "score", "pairs", *counters])
+            integers = [n for n, t in (("qid", types["qid"]), ("chunk_id", types["chunk_id"])) if t in ("bigint", "int")]
+            yield made.astype({n: "Int64" for n in ["pairs", *counters, *integers]} | {"score": "float64"})
+
+    path = fresh(spark, "rerank")
+    dealt = candidates.select("qid", "query", "chunk_id", "chunk_text", "rank").repartition("qid").sortWithinPartitions("qid", "rank", "chunk_id")  # a query's pairs go together
+    dealt.mapInPandas(run, schema).write.parquet(path)
+    both = spark.read.schema(schema).parquet(path)
+    scored = candidates.join(both.filter("kind = 'score'").select("qid", "chunk_id", F.nanvl("score", F.lit(None)).alias("score")), ["qid", "chunk_id"])
+    if normalize:
+        scored = scored.withColumn("score", min_max())
+    return _reranked(scored, k), both.filter("kind = 'call'").select("qid", "pairs", *counters)
+
+
 def same_candidates(before: DataFrame, after: DataFrame) -> DataFrame:
     """(qid, lost, added): queries whose reranked candidates are not those before; none if the reranker keeps its contract."""
     both = before.select("qid", "chunk_id").distinct().withColumn("b", F.lit(1)).join(after.select("qid", "chunk_id").distinct().withColumn("a", F.lit(1)), ["qid", "chunk_id"], "full_outer")
@@ -98,8 +149,8 @@ def rerank_pool(pool: DataFrame, scores: DataFrame, k: int = 15) -> DataFrame:
 
 
 def transport_totals(calls: DataFrame, by: str = "qid") -> DataFrame:
-    """Counters of a scorer's batches (requests, retries, failures, bytes as far as the columns are there), summed by query."""
-    counters = [c for c in ("requests", "retries", "failures", "bytes_sent", "bytes_received") if c in calls.columns]
+    """Counters of a scorer's batches (requests, retries, time-outs, failures, bytes as far as the columns are there), summed by query."""
+    counters = [c for c in ("requests", "retries", "timeouts", "failures", "bytes_sent", "bytes_received") if c in calls.columns]
     return calls.groupBy(by).agg(F.count("*").alias("batches"), *[F.sum(c).alias(c) for c in counters])
 
 

@@ -47,28 +47,86 @@ def overlap_scorer(pairs: list[tuple[str, str]]) -> list[float]:
     return [len(set(q.lower().split()) & set(t.lower().split())) / max(1, len(set(q.lower().split()))) for q, t in pairs]
 
 
-def post_json(url: str, body: dict, timeout: float = 30.0, tries: int = 4, wait: float = 0.5, sleep: Callable[[float], None] = time.sleep, send: Callable | None = None) -> dict:
-    """POST and read JSON; after a time-out or an answer of RETRIED again, waiting twice as long each time."""
-    send = send or (lambda: urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=timeout).read())
+@dataclass
+class Transport:
+    """What the calls of one batch took: requests sent, those that were second tries, time-outs, failures and bytes."""
+
+    requests: int = 0
+    retries: int = 0
+    timeouts: int = 0
+    failures: int = 0
+    bytes_sent: int = 0
+    bytes_received: int = 0
+
+
+def post_json(
+    url: str, body: dict, timeout: float = 30.0, tries: int = 4, wait: float = 0.5, sleep: Callable[[float], None] = time.sleep, send: Callable | None = None, transport: Transport | None = None
+) -> dict:
+    """POST and read JSON; after a time-out or an answer of RETRIED again, waiting twice as long each time. `transport` is
+    added to, whether or not the call succeeds in the end."""
+    data, t = json.dumps(body).encode(), transport or Transport()
+    send = send or (lambda: urllib.request.urlopen(urllib.request.Request(url, data, {"Content-Type": "application/json"}), timeout=timeout).read())
     for n in range(tries):
+        t.requests += 1
+        t.retries += n > 0
+        t.bytes_sent += len(data)
         try:
-            return json.loads(send())
+            got = send()
+            t.bytes_received += len(got)
+            return json.loads(got)
         except urllib.error.HTTPError as e:
             if e.code not in RETRIED or n == tries - 1:
+                t.failures += 1
                 raise
-        except (TimeoutError, urllib.error.URLError):
+        except (TimeoutError, urllib.error.URLError) as e:
+            t.timeouts += isinstance(e, TimeoutError) or isinstance(getattr(e, "reason", None), TimeoutError)
             if n == tries - 1:
+                t.failures += 1
                 raise
         sleep(wait * 2**n)
     raise AssertionError
 
 
+#: Models that this process has loaded.
+_models: dict[tuple, object] = {}
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """A model that each worker process makes once, when it is first called there, and keeps for all its tasks.
+
+    `factory` is a function of a module that workers can import, called with `args` and with the local paths of `files`, which
+    `distribute` has sent to every node. What is sent with a task is this description, not the model.
+    """
+
+    factory: Callable
+    args: tuple = ()
+    files: tuple[str, ...] = ()
+
+    def model(self) -> object:
+        key = (self.factory.__module__, self.factory.__qualname__, self.args, self.files)
+        if key not in _models:
+            from pyspark import SparkFiles
+
+            _models[key] = self.factory(*self.args, *map(SparkFiles.get, self.files))
+        return _models[key]
+
+    def __call__(self, *args: object, **named: object) -> object:
+        return self.model()(*args, **named)
+
+
+def distribute(spark, path: str) -> str:
+    """Send a file to every node once, and give the name that `Loaded` asks for."""
+    spark.sparkContext.addFile(path)
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
 def http_generator(url: str, **options: object) -> Generator:
     return lambda system, user: post_json(url, {"system": system, "user": user}, **options)["text"]
 
 
 def http_scorer(url: str, **options: object) -> Scorer:
-    return lambda pairs: post_json(url, {"pairs": pairs}, **options)["scores"]
+    return lambda pairs, **counted: post_json(url, {"pairs": pairs}, **options, **counted)["scores"]
 
 
 def ollama_generator(url: str, model: str, **options: object) -> Generator:
