@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from tessera.functions.stem import porter, stems
 from tessera.functions.text import ascii_tokens, phrases, without_words
 from tessera.operators.vectors import top_k
 from tessera.plans.scratch import fresh
+from tessera.plans.ship import ship_package
 
 
 @dataclass(frozen=True)
@@ -56,9 +60,9 @@ class LexicalIndex:
     """postings(term, chunk_id, tf, dl, at: places of the term), doc_stats(chunk_id, dl, toks), term_stats(term, df),
     corpus(n_docs, avgdl).
 
-    A written index also has its postings in blocks of like impact: blocks(term, level, slice, n, entries), a term's
-    postings of one level being dealt to slices by the hash of the chunk's id, and levels(term, level, slices, n, peak), peak being
-    the greatest impact there. Peaks hold for the k1, b and average length that the index was written with.
+    A written index holds its postings in blocks of like impact: blocks(term, level, slice, n, peak, and arrays of the rest), where a
+    task numbers the blocks that it cuts from a term's postings of one level, and levels(term, level, slices, n, peak), peak being the
+    greatest impact there. Peaks hold for the k1, b and average length that the index was written with.
     """
 
     config: LexicalConfig
@@ -69,40 +73,99 @@ class LexicalIndex:
     blocks: DataFrame | None = None
     levels: DataFrame | None = None
 
-    def save(self, path: str, buckets: int = 32) -> None:
-        """Parquet tables; postings lie by term, so a query reads few of their row groups. Tokens are written first and the
-        others made of them, so texts are split once."""
-        spark = self.postings.sparkSession
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        made = _from_tokens(self.config, spark.read.parquet(f"{path}/doc_stats"))
-        made.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-        made.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.save_blocks(spark, path, buckets)
-
-    def save_blocks(self, spark, path: str, buckets: int = 32) -> None:
-        """term_stats, levels and blocks of the postings and corpus written under `path`.
-
-        No term is sorted whole: an occurrence's level follows from its impact, the number of slices from the level's
-        count, and the slice from the chunk's id, so that a term of every chunk spreads over many tasks.
+    def save(self, path: str) -> None:
+        """Tokens first, so that texts are split once; then blocks, of which all other tables are sums or views.
+
+        A task groups what it meets by term and level before anything is shuffled, and ranges of (term, level, chunks) are sorted and
+        cut into blocks as they stand, so that a term of every chunk spreads over many tasks.
         """
-        postings, corpus = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "corpus"))
-        _term_stats(postings).write.mode("overwrite").parquet(f"{path}/term_stats")
-        rated = postings.crossJoin(F.broadcast(corpus)).withColumn("impact", _impact(self.config))  # corpus is one row
-        rated = rated.withColumn("level", F.least(F.floor(F.col("impact") / (self.config.k1 + 1) * LEVELS), F.lit(LEVELS - 1)).cast("int"))
-        told = rated.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("peak")).withColumn("slices", F.ceil(F.col("n") / BLOCK))
-        told.select("term", "level", "slices", "n", "peak").repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/levels")
-        levels = spark.read.parquet(f"{path}/levels")
-        dealt = rated.join(levels.select("term", "level", "slices"), ["term", "level"]).withColumn("slice", _slice())
-        blocks = dealt.groupBy("term", "level", "slice").agg(F.count("*").alias("n"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("entries"))
-        blocks.repartitionByRange(buckets, "term", "level", "slice").sortWithinPartitions("term", "level", "slice").write.mode("overwrite").parquet(f"{path}/blocks")
+        spark, c = self.postings.sparkSession, self.config
+        ship_package(spark)
+        compact = lambda df: df.write.mode("overwrite").option("compression", "zstd")
+        compact(self.doc_stats).option("parquet.block.size", 8 << 20).parquet(f"{path}/doc_stats")  # so that one file is read by several tasks
+        tokens = spark.read.parquet(f"{path}/doc_stats")
+        compact(_corpus(c, tokens)).parquet(f"{path}/corpus")
+        avgdl = spark.read.parquet(f"{path}/corpus").first()["avgdl"] or 1.0
+        ids = dict(tokens.dtypes)["chunk_id"]
+        lists = f"chunk_id array<{ids}>, tf array<int>, dl array<int>, at array<array<int>>"
+
+        def grouped(batches):
+            for batch in batches:
+                n = batch.num_rows
+                lengths = pc.list_value_length(batch.column("toks")).to_numpy()
+                if not lengths.sum():
+                    continue
+                doc = np.repeat(np.arange(n), lengths)
+                place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                words = batch.column("toks").flatten().dictionary_encode()
+                keys = words.indices.to_numpy().astype(np.int64) * n + doc
+                order = np.argsort(keys, kind="stable")  # by term, then chunk; places ascend
+                keys = keys[order]
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                tf, term, row = np.diff(np.concatenate([first, [len(keys)]])), keys[first] // n, keys[first] % n
+                dl = batch.column("dl").to_numpy()[row]
+                impact = tf * (c.k1 + 1) / (tf + c.k1 * (1 - c.b + c.b * dl / avgdl))
+                level = np.minimum(LEVELS - 1, (impact / (c.k1 + 1) * LEVELS).astype(np.int64))
+                places = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(keys)]]).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+                dealt = np.lexsort((level, term))
+                term, level = term[dealt], level[dealt]
+                begins = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (level[1:] != level[:-1])]))
+                offsets = pa.array(np.concatenate([begins, [len(term)]]).astype(np.int32))
+                values = [batch.column("chunk_id").take(pa.array(row[dealt])), pa.array(tf[dealt].astype(np.int32)), pa.array(dl[dealt].astype(np.int32)), places.take(pa.array(dealt))]
+                told = [words.dictionary.take(pa.array(term[begins])), pa.array(level[begins].astype(np.int32)), pa.array(np.maximum.reduceat(impact[dealt], begins))]
+                yield pa.RecordBatch.from_arrays([*told, *(pa.ListArray.from_arrays(offsets, v) for v in values)], names=["term", "level", "peak", "chunk_id", "tf", "dl", "at"])
+
+        def blocks(batches):
+            key, after = None, 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                lists = [batch.column(c) for c in ("chunk_id", "tf", "dl", "at")]
+                begins = np.concatenate([[0], np.cumsum(pc.list_value_length(lists[0]).to_numpy())])
+                terms, levels = batch.column("term").dictionary_encode().indices.to_numpy(), batch.column("level").to_numpy()
+                first = np.concatenate([[True], (terms[1:] != terms[:-1]) | (levels[1:] != levels[:-1])])
+                run = np.cumsum(first) - 1
+                full = (begins[:-1] - begins[np.flatnonzero(first)][run]) // BLOCK  # blocks filled before, in this run
+                starts = np.flatnonzero(first | np.concatenate([[False], full[1:] != full[:-1]]))
+                ends = np.concatenate([begins[starts], begins[-1:]])
+                no = np.arange(len(starts)) - np.searchsorted(run[starts], run[starts])
+                mine = batch.take(pa.array(starts))
+                names = list(zip(mine.column("term").to_pylist(), mine.column("level").to_pylist(), strict=True))
+                if names[0] == key:
+                    no[run[starts] == 0] += after
+                key, after = names[-1], int(no[-1]) + 1
+                offsets = pa.array(ends.astype(np.int32))
+                told = [pa.array(no.astype(np.int64)), pa.array(np.diff(ends).astype(np.int64)), pa.array(np.maximum.reduceat(batch.column("peak").to_numpy(), starts))]
+                whole = [pa.ListArray.from_arrays(offsets, c.flatten()) for c in lists]
+                yield pa.RecordBatch.from_arrays([mine.column("term"), mine.column("level"), *told, *whole], names=["term", "level", "slice", "n", "peak", "chunk_id", "tf", "dl", "at"])
+
+        id_type = tokens.select("chunk_id").limit(0).toArrow().schema.field(0).type
+        dealt = tokens.mapInArrow(grouped, f"term string, level int, peak double, {lists}")
+        order = ["term", "level", F.xxhash64("chunk_id")]
+        dealt = dealt.repartitionByRange(*order).sortWithinPartitions("term", "level")
+        cut = dealt.mapInArrow(blocks, f"term string, level int, slice long, n long, peak double, {lists}")
+        compact(cut).parquet(f"{path}/blocks")
+        written = spark.read.parquet(f"{path}/blocks")
+        levels = written.groupBy("term", "level").agg((F.max("slice") + 1).alias("slices"), F.sum("n").alias("n"), F.max("peak").alias("peak"))
+        compact(levels.repartitionByRange("term").sortWithinPartitions("term")).parquet(f"{path}/levels")
+        compact(spark.read.parquet(f"{path}/levels").groupBy("term").agg(F.sum("n").alias("df"))).parquet(f"{path}/term_stats")
 
     @classmethod
     def load(cls, spark, path: str, config: LexicalConfig | None = None) -> LexicalIndex:
-        return cls(config or LexicalConfig(), *(spark.read.parquet(f"{path}/{n}") for n in ("postings", "doc_stats", "term_stats", "corpus", "blocks", "levels")))
+        doc_stats, term_stats, corpus, blocks, levels = (spark.read.parquet(f"{path}/{n}") for n in ("doc_stats", "term_stats", "corpus", "blocks", "levels"))
+        made = cls(config or LexicalConfig(), blocks, doc_stats, term_stats, corpus, blocks, levels)
+        made.postings = made.flat("chunk_id", "tf", "dl", "at")
+        return made
+
+    def flat(self, *columns: str) -> DataFrame:
+        """term and some columns of the postings; of blocks no others are read."""
+        if self.blocks is None:
+            return self.postings.select("term", *columns)
+        return _opened(self.blocks, "term", columns=columns)
 
 
-def _slice():
-    return F.pmod(F.xxhash64(F.lit("slice"), "chunk_id"), F.col("slices"))
+def _opened(blocks: DataFrame, *keys: str, columns: tuple[str, ...]) -> DataFrame:
+    return blocks.select(*keys, F.explode(F.arrays_zip(*columns)).alias("e")).select(*keys, *(f"e.{c}" for c in columns))
 
 
 def _impact(c: LexicalConfig):
@@ -114,6 +177,10 @@ def _term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def _corpus(config: LexicalConfig, docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).select("*", F.lit(config.k1).alias("k1"), F.lit(config.b).alias("b"))
+
+
 def postings_of(docs: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, dl, at) of (chunk_id, dl, toks)."""
     each = docs.select("chunk_id", "dl", F.posexplode("toks").alias("p", "term"))
@@ -122,8 +189,7 @@ def postings_of(docs: DataFrame) -> DataFrame:
 
 def _from_tokens(config: LexicalConfig, docs: DataFrame) -> LexicalIndex:
     postings = postings_of(docs)
-    corpus = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).select("*", F.lit(config.k1).alias("k1"), F.lit(config.b).alias("b"))
-    return LexicalIndex(config, postings, docs, _term_stats(postings), corpus)
+    return LexicalIndex(config, postings, docs, _term_stats(postings), _corpus(config, docs))
 
 
 def build_index(chunks: DataFrame, config: LexicalConfig | None = None) -> LexicalIndex:
@@ -159,14 +225,18 @@ def phrase_hits(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """(qid, chunk_id, n): how many quoted phrases of a query a chunk holds, from the places of the phrases' terms alone.
 
     The places of each term, less its place in the phrase, are where the phrase would begin; it does where the lists of
-    all its terms meet. A phrase given twice counts twice."""
+    all its terms meet. Chunks that hold its rarest term are looked up for the others. A phrase given twice counts twice."""
     quoted = queries.select("qid", F.posexplode(phrases(F.col("query"))).alias("nth", "phrase")).withColumn("pid", F.concat_ws("#", F.col("qid").cast("string"), "nth"))
     each = quoted.select("qid", "pid").join(tokenize(quoted, "pid", "phrase", index.config), "pid").select("qid", "pid", F.size("toks").alias("m"), F.posexplode("toks").alias("offset", "term"))
-    postings, wanted = index.postings.select("term", "chunk_id", "at"), each.select("term").distinct()
+    postings, term_stats, wanted = index.flat("chunk_id", "at"), index.term_stats, each.select("term").distinct()
     if wanted.limit(TERM_BLOCK + 1).count() <= TERM_BLOCK:
-        postings = postings.join(F.broadcast(wanted), "term", "left_semi")
-    begins = each.join(postings, "term").select("qid", "pid", "m", "chunk_id", F.transform("at", lambda p: p - F.col("offset")).alias("begins"))
-    met = begins.groupBy("qid", "pid", "m", "chunk_id").agg(F.collect_list("begins").alias("lists")).filter(F.size("lists") == F.col("m"))
+        postings, term_stats = (t.join(F.broadcast(wanted), "term", "left_semi") for t in (postings, term_stats))
+    rarity = F.row_number().over(Window.partitionBy("qid", "pid").orderBy("df", "offset"))
+    each = each.join(term_stats, "term").withColumn("rarity", rarity)
+    begins = lambda df: df.select("qid", "pid", "m", "chunk_id", F.transform("at", lambda p: p - F.col("offset")).alias("begins"))
+    rare = begins(each.filter("rarity = 1").join(postings, "term"))
+    others = each.filter("rarity > 1").select("qid", "pid", "term", "offset").join(rare.select("qid", "pid", "m", "chunk_id"), ["qid", "pid"])  # only chunks that hold the rarest term
+    met = rare.unionByName(begins(others.join(postings, ["term", "chunk_id"]))).groupBy("qid", "pid", "m", "chunk_id").agg(F.collect_list("begins").alias("lists")).filter(F.size("lists") == F.col("m"))
     there = F.size(F.aggregate(F.slice("lists", 2, F.size("lists")), F.get("lists", F.lit(0)), lambda a, x: F.array_intersect(a, x))) > 0
     return met.filter(there).groupBy("qid", "chunk_id").agg(F.count("*").alias("n"))
 
@@ -180,7 +250,7 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, prune: bool | None =
     """
     c = index.config
     terms = query_terms(queries, c)
-    wanted, postings, term_stats = terms.select("term").distinct(), index.postings.select("term", "chunk_id", "tf", "dl"), index.term_stats
+    wanted, postings, term_stats = terms.select("term").distinct(), index.flat("chunk_id", "tf", "dl"), index.term_stats
     if wanted.limit(TERM_BLOCK + 1).count() <= TERM_BLOCK:  # then other terms' postings are dropped where they are read
         postings, term_stats = (t.join(F.broadcast(wanted), "term", "left_semi") for t in (postings, term_stats))
     weights, plain = _weights(index, terms, term_stats), queries
@@ -237,7 +307,7 @@ def pruned(index: LexicalIndex, weights: DataFrame, k: int) -> tuple[DataFrame,
         """(term, level, slice, chunk_id, tf, dl) of the blocks named."""
         named = kept(blocks.select("term", "level", "slice").distinct(), name)
         found = index.blocks.join(named, ["term", "level", "slice"])
-        return found.select("term", "level", "slice", F.inline("entries")).crossJoin(F.broadcast(index.corpus.select("avgdl"))).withColumn("impact", _impact(c))  # one row
+        return _opened(found, "term", "level", "slice", columns=("chunk_id", "tf", "dl")).crossJoin(F.broadcast(index.corpus.select("avgdl"))).withColumn("impact", _impact(c))  # one row
 
     def whole(pairs: DataFrame, name: str) -> DataFrame:
         """(qid, chunk_id, score) of (qid, chunk_id), from the tokens of these chunks."""

@@ -62,8 +62,10 @@ def test_phrases_by_places(index, chunks, queries):
 
 
 def test_blocks_hold_every_posting_once(index):
-    flat = index.blocks.select("term", "level", "n", F.size("entries").alias("m"), F.inline("entries"))
+    flat = index.blocks.select("term", "level", "slice", "n", "peak", F.size("tf").alias("m"), F.inline(F.arrays_zip("chunk_id", "tf", "dl", "at")))
     assert flat.count() == index.postings.count() == index.levels.agg(F.sum("n")).first()[0]
+    told = flat.join(index.levels.select("term", "level", "slices", F.col("peak").alias("most")), ["term", "level"])
+    assert told.count() == flat.count() and told.filter("slice >= slices OR peak > most OR tf <> size(at)").isEmpty()
     assert flat.filter("n <> m").isEmpty() and flat.select("term", "chunk_id").distinct().count() == flat.count()
     with pytest.raises(ValueError, match="k1"):
         other = lexical.LexicalIndex(lexical.LexicalConfig(k1=2.0), index.postings, index.doc_stats, index.term_stats, index.corpus, index.blocks, index.levels)
