@@ -125,7 +125,7 @@ def rerank_counted(
     dealt = candidates.select("qid", "query", "chunk_id", "chunk_text", "rank").repartition("qid").sortWithinPartitions("qid", "rank", "chunk_id")  # a query's pairs go together
     dealt.mapInPandas(run, schema).write.parquet(path)
     both = spark.read.schema(schema).parquet(path)
-    scored = candidates.join(both.filter("kind = 'score'").select("qid", "chunk_id", F.nanvl("score", F.lit(None)).alias("score")), ["qid", "chunk_id"])
+    scored = candidates.drop("score").join(both.filter("kind = 'score'").select("qid", "chunk_id", F.nanvl("score", F.lit(None)).alias("score")), ["qid", "chunk_id"])
     if normalize:
         scored = scored.withColumn("score", min_max())
     return _reranked(scored, k), both.filter("kind = 'call'").select("qid", "pairs", *counters)

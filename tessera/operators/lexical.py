@@ -90,7 +90,7 @@ class LexicalIndex:
         lists = f"chunk_id array<{ids}>, tf array<int>, dl array<int>, at array<array<int>>"
 
         def grouped(batches):
-            for batch in batches:
+            for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):  # bounds what a worker sorts
                 n = batch.num_rows
                 lengths = pc.list_value_length(batch.column("toks")).to_numpy()
                 if not lengths.sum():
