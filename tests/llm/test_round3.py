@@ -1,6 +1,7 @@
 """Codec, collocations and source divergence against the library, brute force, and the odd rows each must bear."""
 
 import collections
+import math
 import random
 import re
 from fractions import Fraction
@@ -8,7 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from tessera.llm import collocations, divergence, piece_codec, pieces
+from tessera.llm import collocations, divergence, embedding_dedup, piece_codec, pieces
 from tessera.llm.queries import tokenizer_path
 
 LONG = "lorem ipsum, dolor " * 20_000
@@ -186,3 +187,29 @@ def test_divergence_bears_odd_rows(odd):
     got = sorted(tuple(r) for r in divergence.divergence(odd, least_docs=1).collect())
     assert got == _brute_divergence([(r.lang, r.source, r.text) for r in odd.collect()], 1, 50)
     assert divergence.divergence(odd.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_keep_their_own_links(spark):
+    """(1, A), (1, B), (2, near A): B links with nothing, whatever its id's other row does."""
+    a = np.zeros(16)
+    a[0] = 1.0
+    b, near = np.roll(a, 1), a + 0.01
+    rows = [(1, a.tolist(), 0), (1, b.tolist(), 0), (2, near.tolist(), 0)]
+    got = sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_code_bits_bound_the_angle():
+    """Of pairs at the threshold hardly any differ by more code bits than `most_apart`; random pairs nearly all do."""
+    rng = np.random.default_rng(3)
+    for dim in (2, 64, 200):
+        a = rng.standard_normal((4000, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.standard_normal((4000, dim))
+        b -= (a * b).sum(1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        pair = 0.98 * a + math.sqrt(1 - 0.98**2) * b
+        bits = lambda x, y: (embedding_dedup.encode(x)[0] != embedding_dedup.encode(y)[0]).sum(1)
+        assert (bits(a, pair) <= embedding_dedup.most_apart(dim, 0.98, 1e-9)).all()
+        if dim > 2:
+            assert (bits(a, b) > embedding_dedup.most_apart(dim, 0.98, 1e-9)).mean() > 0.95
