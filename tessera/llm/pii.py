@@ -70,8 +70,8 @@ def _located(text: Column, pattern: str, keep: Callable[[Column, Column], Column
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
 
 
-def _span(kind: str, start: Column, value: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"))
+def _span(kind: str | Column, start: Column, value: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"))
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -169,6 +169,7 @@ def disclosing_terms(rows: DataFrame, alpha: float, min_together: int) -> DataFr
     estimated as shares of all documents, a term t discloses an entity e if
     * their pointwise mutual information reaches `alpha` times the information content of e, that is
       log p(e,t)/(p(e)p(t)) >= -alpha log p(e), which says p(e|t) >= p(e)^(1-alpha);
+    * more of its documents hold e than do not: p(e|t) > 1/2;
     * they meet in at least `min_together` texts that are no near copies of each other (`_copies`); and
     * so many such texts are no chance: with q = p(e|t), those texts times the divergence of (q, 1-q) from
       (p(e), 1-p(e)) a meeting reach the logarithm of the number of pairs looked at, so that of terms independent of
@@ -185,7 +186,7 @@ def disclosing_terms(rows: DataFrame, alpha: float, min_together: int) -> DataFr
     information = -F.log(p)
     against = F.when(q < 1, (1 - q) / q * F.log((1 - q) / (1 - p))).otherwise(0.0)
     told = pairs.join(n_term, "term").crossJoin(F.broadcast(total))  # total is one row
-    enough = (p < 1) & (F.log(q / p) >= alpha * information) & (F.col("apart") * (F.log(q / p) + against) >= looked)
+    enough = (p < 1) & (q > 0.5) & (F.log(q / p) >= alpha * information) & (F.col("apart") * (F.log(q / p) + against) >= looked)
     return told.filter(enough).select("entity", "term", F.log2(q / p).alias("bits"))
 
 
@@ -193,16 +194,57 @@ def _placed(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
 
 
-def _term_spans(text: Column, base: Column, listed: Column) -> Column:
-    """Spans of the listed terms in what the base spans leave of a text."""
-    left = replaced(text, _placed(base), lambda s: F.repeat(F.lit("\x01"), s["stop"] - s["start"]))
+def _remaining(text: Column, base: Column) -> Column:
+    """The text with base spans overwritten, so that no word is found in them."""
+    return replaced(text, _placed(base), lambda s: F.repeat(F.lit("\x01"), s["stop"] - s["start"]))
+
+
+def _announced(rest: Column, listed: Column) -> Column:
+    """The distinct words of three characters or more that follow a listed term, words of punctuation alone skipped. What
+    stands behind a base span is not announced by what stands before it."""
+    bare = lambda w: F.when(w.contains("\x01"), "\x01").otherwise(F.regexp_replace(w, OUTER, ""))
+    words = F.filter(F.transform(F.regexp_extract_all(F.lower(rest), F.lit(WORD_CLASS), F.lit(0)), bare), lambda w: w != "")
+
+    def after(w: Column) -> Column:
+        cues = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(listed, F.get(w, i)))
+        next_words = F.transform(cues, lambda i: F.coalesce(F.get(w, i + 1), F.lit("")))
+        return F.array_distinct(F.filter(next_words, lambda v: (F.length(v) >= 3) & ~F.array_contains(listed, v)))
+
+    return let(words, lambda w: F.when(F.size(w) > 1, after(w)).otherwise(F.array().cast("array<string>")))
+
+
+def disclosed_values(rows: DataFrame, marked: DataFrame, alpha: float) -> DataFrame:
+    """(d0, d1, values) of texts: the words that a disclosing term announces there and that disclose the announcement.
+
+    Being announced is an entity like any other: with c the documents in which a disclosing term announces a word and p(.)
+    shares of all documents, a word v discloses it if p(c|v) >= p(c)^(1-alpha) and p(c|v) > 1/2, p(c|v) being the share of v's
+    documents in which it is announced. A password or key that stands nowhere else passes, however often its document
+    was copied; a common word that happens to follow a term does not. `marked` has d0, d1, copies, announced.
+    """
+    each = table(marked.select("d0", "d1", "copies", F.explode("announced").alias("value")), "announced")
+    told = table(each.groupBy("value").agg(F.sum("copies").alias("n_cv")), "candidates")
+    words = rows.select(F.explode(_terms(_in_order(F.col("text")))).alias("value"))
+    n_value = may_hold(words, "value", told, "value").groupBy("value").agg(F.count("*").alias("n_v")).join(told, "value")
+    total, spoken = rows.agg(F.count("*").alias("total")), marked.filter(F.size("announced") > 0).agg(F.sum("copies").alias("n_c"))
+    share = F.col("n_cv") / F.greatest("n_v", "n_cv")
+    p = F.col("n_c") / F.col("total")
+    alike = n_value.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(spoken))  # one row each
+    passed = table(alike.filter((share > 0.5) & (F.log(share) >= (1 - alpha) * F.log(p))).select("value"), "values")
+    return each.join(passed, "value").groupBy("d0", "d1").agg(F.collect_set("value").alias("values"))
+
+
+def _term_spans(text: Column, base: Column, listed: Column, values: Column) -> Column:
+    """Spans of the listed terms and values in what the base spans leave of a text, by kind, then start."""
+    bare = lambda w: F.regexp_replace(w, OUTER, "")
 
     def find(rest: Column, low: Column) -> Column:
-        hits = _located(rest, WORD_CLASS, lambda _, i: F.array_contains(listed, F.regexp_replace(F.get(low, i), OUTER, "")))
+        both = F.concat(listed, values)
+        hits = _located(rest, WORD_CLASS, lambda _, i: F.array_contains(both, bare(F.get(low, i))))
         lead = lambda w: F.length(F.regexp_extract(w, r"^[^\p{L}\p{N}]*+", 0))
-        return F.transform(hits, lambda w: _span("term", w["start"] + lead(w["value"]), F.regexp_replace(w["value"], OUTER, "")))
+        kind = lambda w: F.when(F.array_contains(listed, bare(F.lower(w))), "term").otherwise(F.lit("value"))
+        return F.array_sort(F.transform(hits, lambda w: _span(kind(w["value"]), w["start"] + lead(w["value"]), bare(w["value"]))))
 
-    return let(left, lambda rest: let(F.regexp_extract_all(F.lower(rest), F.lit(WORD_CLASS), F.lit(0)), lambda low: find(rest, low)))
+    return let(_remaining(text, base), lambda rest: let(F.regexp_extract_all(F.lower(rest), F.lit(WORD_CLASS), F.lit(0)), lambda low: find(rest, low)))
 
 
 @tidy
@@ -211,11 +253,12 @@ def sanitize(documents: DataFrame, alpha: float = 0.8, min_together: int = 3) ->
 
     The four pattern kinds give the base spans, which always stay. Words that disclose a protected entity
     (`disclosing_terms`, estimated over all documents) are added as spans of the kind "term" wherever they stand outside
-    base spans, also in documents that don't name the entity, as they tell it there too. `sanitised` generalises base
-    spans to their kind in brackets and removes terms.
+    base spans, also in documents that don't name the entity, as they tell it there too. What such a term announces, such as
+    the key after `token =`, is a span of the kind "value" (`disclosed_values`), at each place in that document.
+    `sanitised` generalises base spans and values to their kind in brackets and removes terms.
 
     Built-in expressions only. Texts are scanned for the patterns twice, for the counts and for the result, which costs less
-    than a written copy of them; words are split once for the counts, and once more if a term discloses something. Possessive patterns, sums by blocks and cuts
+    than a written copy of them; words are split once for the counts, and twice more if a term discloses something. Possessive patterns, sums by blocks and cuts
     from blocks keep the work on a text of n characters with m spans near n + m^1.5. Corpus counts are summed before they
     are shuffled. Documents with one text are held as one with a count.
 
@@ -226,12 +269,16 @@ def sanitize(documents: DataFrame, alpha: float = 0.8, min_together: int = 3) ->
     rows = _rows(documents)
     told = table(disclosing_terms(rows, alpha, min_together).select("term").distinct(), "disclosing")
     if told.isEmpty():
-        hit = rows.limit(0).select("d0", "d1", F.array().cast("array<string>").alias("listed"))
+        hit = rows.limit(0).select("d0", "d1", *[F.array().cast("array<string>").alias(c) for c in ("listed", "values")])
     else:
         words = rows.select("d0", "d1", F.explode(_terms(_in_order(F.col("text")))).alias("term"))
         hit = may_hold(words, "term", told, "term").join(told, "term").groupBy("d0", "d1").agg(F.collect_set("term").alias("listed"))
+        hit = table(hit, "listed")
+        texts_hit = rows.join(hit, ["d0", "d1"]).groupBy("d0", "d1").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("text", "base", "listed")])
+        marked = table(texts_hit.select("d0", "d1", "copies", _announced(_remaining(F.col("text"), F.col("base")), F.col("listed")).alias("announced")), "marked")
+        hit = hit.join(disclosed_values(rows, marked, alpha), ["d0", "d1"], "left").select("d0", "d1", "listed", F.coalesce("values", F.array().cast("array<string>")).alias("values"))
     joined = rows.join(table(hit, "hit"), ["d0", "d1"], "left")
-    terms = F.when(F.col("listed").isNotNull(), _term_spans(F.col("text"), F.col("base"), F.col("listed"))).otherwise(F.array().cast(_SPANS))
+    terms = F.when(F.col("listed").isNotNull(), _term_spans(F.col("text"), F.col("base"), F.col("listed"), F.col("values"))).otherwise(F.array().cast(_SPANS))
     out = joined.select("doc_id", "text", "base", terms.alias("terms"))
     name = lambda s: F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
     return out.select("doc_id", "text", "base", "terms", replaced(F.col("text"), _placed(F.concat("base", "terms")), name).alias("sanitised"))

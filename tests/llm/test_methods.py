@@ -104,12 +104,37 @@ def test_disclosing_terms_by_brute_force(spark):
         for w, n in collections.Counter(w for i in ids for w in terms[i]).items():
             q = n / of_term[w]
             chance = n * (math.log(q / p) + ((1 - q) / q * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
-            if n >= 3 and math.log(q / p) >= -0.8 * math.log(p) and chance >= looked:
+            if n >= 3 and q > 0.5 and math.log(q / p) >= -0.8 * math.log(p) and chance >= looked:
                 want[e, w] = math.log2(q / p)
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
     assert ("any", "signed") in want and ("email family:host2.org", "branch2") in want and ("phone", "dial") in want
 
 
+def test_announced_values_by_brute_force(spark):
+    """Keys after a disclosing word go in every document, copied or not; what others announce, and common words, stay."""
+    r = random.Random(8)
+    prose = _prose(1000, 9, 40)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(32))
+    rows, planted = [], {}
+    for i in range(60):
+        planted[i] = key()
+        rows.append((i, f'{prose[i]} token = "{planted[i]}"### n{i}@mail.org'))
+    rows += [(100 + i, rows[7][1]) for i in range(30)]  # copies of one document
+    planted |= {100 + i: planted[7] for i in range(30)}
+    for i in range(10):  # without other personal data, and the key once more before its announcement
+        planted[200 + i] = key()
+        rows.append((200 + i, f"{planted[200 + i]} {prose[100 + i]} token: {planted[200 + i]}"))
+    rows += [(300 + i, f'{prose[150 + i]} colour = "{key()}" and {prose[200 + i]}') for i in range(40)]
+    rows += [(400 + i, f"{prose[250 + i]} token common {prose[300 + i]} m{i}@mail.org") for i in range(8)] + [(500 + i, f"{prose[350 + i]} common") for i in range(60)] + [(1000 + i, prose[450 + i]) for i in range(500)]
+    rows += [(600, f"{prose[420]} token p@q.org after")]
+    got = {x["doc_id"]: x for x in pii.sanitize(_texts(spark, rows)).collect()}
+    for i, text in rows:
+        values = [(t["start"], t["stop"]) for t in got[i]["terms"] if t["kind"] == "value"]
+        assert values == ([m.span() for m in re.finditer(planted[i], text)] if i in planted else []), (i, values)
+        assert [t["value"] for t in got[i]["terms"] if t["kind"] == "term"] == re.findall("token", text)
+    assert planted[3] not in got[3]["sanitised"] and '= "[value]"' in got[3]["sanitised"]
+
+
 def test_terms_go_wherever_they_stand(spark):
     prose = _prose(300, 6, 40)
     rows = [(i, f"{prose[i]} secret key, n{i}@mail.org") for i in range(40)] + [(100 + i, prose[40 + i]) for i in range(200)] + [(900, f"{prose[250]} (Secret) KEY. it was")]
