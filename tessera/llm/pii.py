@@ -219,10 +219,13 @@ def disclosed_values(rows: DataFrame, marked: DataFrame, alpha: float) -> DataFr
     Being announced is an entity like any other: with c the documents in which a disclosing term announces a word and p(.)
     shares of all documents, a word v discloses it if p(c|v) >= p(c)^(1-alpha) and p(c|v) > 1/2, p(c|v) being the share of v's
     documents in which it is announced. A password or key that stands nowhere else passes, however often its document
-    was copied; a common word that happens to follow a term does not. `marked` has d0, d1, copies, announced.
+    was copied; a common word that happens to follow a term does not. Words that fail by the texts with a term alone,
+    which bound the share from above, are not counted in the others. `marked` has d0, d1, copies, announced, words.
     """
     each = table(marked.select("d0", "d1", "copies", F.explode("announced").alias("value")), "announced")
-    told = table(each.groupBy("value").agg(F.sum("copies").alias("n_cv")), "candidates")
+    told = each.groupBy("value").agg(F.sum("copies").alias("n_cv"))
+    near = marked.select("copies", F.explode("words").alias("value")).groupBy("value").agg(F.sum("copies").alias("n_near"))
+    told = table(told.join(near, "value", "left").filter(F.col("n_cv") > 0.5 * F.coalesce("n_near", F.lit(0))).select("value", "n_cv"), "candidates")
     words = rows.select(F.explode(_terms(_in_order(F.col("text")))).alias("value"))
     n_value = may_hold(words, "value", told, "value").groupBy("value").agg(F.count("*").alias("n_v")).join(told, "value")
     total, spoken = rows.agg(F.count("*").alias("total")), marked.filter(F.size("announced") > 0).agg(F.sum("copies").alias("n_c"))
@@ -275,7 +278,7 @@ def sanitize(documents: DataFrame, alpha: float = 0.8, min_together: int = 3) ->
         hit = may_hold(words, "term", told, "term").join(told, "term").groupBy("d0", "d1").agg(F.collect_set("term").alias("listed"))
         hit = table(hit, "listed")
         texts_hit = rows.join(hit, ["d0", "d1"]).groupBy("d0", "d1").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("text", "base", "listed")])
-        marked = table(texts_hit.select("d0", "d1", "copies", _announced(_remaining(F.col("text"), F.col("base")), F.col("listed")).alias("announced")), "marked")
+        marked = table(texts_hit.select("d0", "d1", "copies", _announced(_remaining(F.col("text"), F.col("base")), F.col("listed")).alias("announced"), _terms(_in_order(F.col("text"))).alias("words")), "marked")
         hit = hit.join(disclosed_values(rows, marked, alpha), ["d0", "d1"], "left").select("d0", "d1", "listed", F.coalesce("values", F.array().cast("array<string>")).alias("values"))
     joined = rows.join(table(hit, "hit"), ["d0", "d1"], "left")
     terms = F.when(F.col("listed").isNotNull(), _term_spans(F.col("text"), F.col("base"), F.col("listed"), F.col("values"))).otherwise(F.array().cast(_SPANS))
