@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -51,6 +52,15 @@ def discover(spark: SparkSession, folder: str, extensions: tuple[str, ...] | Non
     return out.select("path", source.alias("source"), "extension", F.sha1("content").alias("doc_id"), "content")
 
 
+_REFERENCE = re.compile(r"&(?!#[0-9]+;|#[xX][0-9A-Fa-f]+;)([A-Za-z][A-Za-z0-9]*;)?")
+
+
+def closed_references(html: str) -> str:
+    """A page in which character references without their semicolon are plain text, as in XML. HTML reads some of the older
+    ones, such as `&amp`, without it."""
+    return _REFERENCE.sub(lambda m: m.group() if m.group(1) in html5 else "&amp;" + (m.group(1) or ""), html)
+
+
 class _Text(HTMLParser):
     """The text of a page, piece by piece, without scripts and styles."""
 
@@ -221,9 +231,9 @@ def read_documents(spark: SparkSession, folder: str, extensions: tuple[str, ...]
     return discover(spark, folder, extensions).select("doc_id", "source", "extension", "content").mapInPandas(run, "doc_id string, source string, text string, error string")
 
 
-def read_pages(pages: DataFrame, skip_bad: bool = False) -> DataFrame:
+def read_pages(pages: DataFrame, skip_bad: bool = False, closed: bool = False) -> DataFrame:
     """(page_id, title, text) in markdown from (page_id, url, html). A page that can't be read ends the job, or with
-    `skip_bad` has nulls and, in a further column, the error."""
+    `skip_bad` has nulls and, in a further column, the error. `closed`: see `closed_references`."""
     ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +241,7 @@ def read_pages(pages: DataFrame, skip_bad: bool = False) -> DataFrame:
             done = []
             for h, u in zip(b["html"], b["url"], strict=True):
                 try:
-                    done.append((*html_markdown(h, u), None))
+                    done.append((*html_markdown(closed_references(h or "") if closed else h, u), None))
                 except Exception as e:
                     if not skip_bad:
                         raise
@@ -242,13 +252,13 @@ def read_pages(pages: DataFrame, skip_bad: bool = False) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, title string, text string" + (", error string" if skip_bad else ""))
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, text): all text of (page_id, html), without scripts and styles."""
+def page_texts(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """(page_id, text): all text of (page_id, html), without scripts and styles. `closed`: see `closed_references`."""
     ship_package(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "text": [html_text(h or "") for h in b["html"]]})
+            yield pd.DataFrame({"page_id": b["page_id"], "text": [html_text(closed_references(h or "") if closed else h or "") for h in b["html"]]})
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string")
 
