@@ -10,11 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.stem import porter, stems
+from tessera.functions.stem import porter, stem_lists
 from tessera.functions.text import ascii_tokens, phrases, without_words
 from tessera.operators.vectors import top_k
 from tessera.plans.scratch import fresh
-from tessera.plans.ship import ship_package
+from tessera.plans.ship import batches_of, ship_package
 
 
 @dataclass(frozen=True)
@@ -38,14 +38,9 @@ def english_stopwords() -> tuple[str, ...]:
 
 
 def tokenize(texts: DataFrame, key: str, text: str, config: LexicalConfig) -> DataFrame:
-    """(key, toks): tokens without stop words, stemmed on demand. The vocabulary alone is stemmed and joined back."""
+    """(key, toks): tokens without stop words, stemmed on demand."""
     toks = texts.select(key, without_words(ascii_tokens(F.coalesce(F.col(text), F.lit(""))), list(config.stopwords)).alias("toks"))
-    if not config.stemming:
-        return toks
-    each = toks.select(key, F.posexplode_outer("toks").alias("at", "term"))
-    each = each.join(stems(each, extended=config.extended_stemmer), "term", "left")
-    ordered = F.sort_array(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("at", "stem"))))
-    return each.groupBy(key).agg(F.transform(ordered, lambda s: s["stem"]).alias("toks"))
+    return stem_lists(toks, "toks", config.extended_stemmer) if config.stemming else toks
 
 
 #: Distinct query terms up to which postings are filtered by a broadcast of them.
@@ -58,7 +53,7 @@ BLOCK, LEVELS, PRUNE_FROM = 256, 16, 20_000_000
 @dataclass
 class LexicalIndex:
     """postings(term, chunk_id, tf, dl, at: places of the term), doc_stats(chunk_id, dl, toks), term_stats(term, df),
-    corpus(n_docs, avgdl).
+    corpus(n_docs, avgdl; of a written index the k1 and b that its peaks hold for, too).
 
     A written index holds its postings in blocks of like impact: blocks(term, level, slice, n, peak, and arrays of the rest), where a
     task numbers the blocks that it cuts from a term's postings of one level, and levels(term, level, slices, n, peak), peak being the
@@ -84,7 +79,7 @@ class LexicalIndex:
         compact = lambda df: df.write.mode("overwrite").option("compression", "zstd")
         compact(self.doc_stats).option("parquet.block.size", 8 << 20).parquet(f"{path}/doc_stats")  # so that one file is read by several tasks
         tokens = spark.read.parquet(f"{path}/doc_stats")
-        compact(_corpus(c, tokens)).parquet(f"{path}/corpus")
+        compact(_corpus(c, tokens).select("*", F.lit(c.k1).alias("k1"), F.lit(c.b).alias("b"))).parquet(f"{path}/corpus")
         avgdl = spark.read.parquet(f"{path}/corpus").first()["avgdl"] or 1.0
         ids = dict(tokens.dtypes)["chunk_id"]
         lists = f"chunk_id array<{ids}>, tf array<int>, dl array<int>, at array<array<int>>"
@@ -144,7 +139,8 @@ class LexicalIndex:
         order = ["term", "level", F.xxhash64("chunk_id")]
         dealt = dealt.repartitionByRange(*order).sortWithinPartitions("term", "level")
         cut = dealt.mapInArrow(blocks, f"term string, level int, slice long, n long, peak double, {lists}")
-        compact(cut).parquet(f"{path}/blocks")
+        with batches_of(spark, 1000):  # a row of a frequent term holds the places of a batch's chunks
+            compact(cut).parquet(f"{path}/blocks")
         written = spark.read.parquet(f"{path}/blocks")
         levels = written.groupBy("term", "level").agg((F.max("slice") + 1).alias("slices"), F.sum("n").alias("n"), F.max("peak").alias("peak"))
         compact(levels.repartitionByRange("term").sortWithinPartitions("term")).parquet(f"{path}/levels")
@@ -178,13 +174,36 @@ def _term_stats(postings: DataFrame) -> DataFrame:
 
 
 def _corpus(config: LexicalConfig, docs: DataFrame) -> DataFrame:
-    return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).select("*", F.lit(config.k1).alias("k1"), F.lit(config.b).alias("b"))
+    return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, dl, at) of (chunk_id, dl, toks)."""
-    each = docs.select("chunk_id", "dl", F.posexplode("toks").alias("p", "term"))
-    return each.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("p")).alias("at")).select("term", "chunk_id", "tf", "dl", "at")
+    """(term, chunk_id, tf, dl, at, and the other columns) of (chunk_id, dl, toks, ...), made where the rows lie."""
+    ship_package(docs.sparkSession)
+    types = {n: t for n, t in docs.dtypes if n != "toks"}
+    more = [n for n in types if n not in ("chunk_id", "dl")]
+
+    def run(batches):
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):  # bounds what a worker sorts
+            n, lists = batch.num_rows, batch.column("toks")
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            if not lengths.sum():
+                continue
+            doc = np.repeat(np.arange(n), lengths)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            words = lists.flatten().dictionary_encode()
+            size = len(words.dictionary)
+            keys = doc * size + words.indices.to_numpy()
+            order = np.argsort(keys, kind="stable")  # by chunk, then term; places ascend
+            keys = keys[order]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
+            term, row = keys[cuts[:-1]] % size, pa.array(keys[cuts[:-1]] // size)
+            places = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(place[order].astype(np.int32)))
+            made = [words.dictionary.take(pa.array(term)), batch.column("chunk_id").take(row), pa.array(np.diff(cuts).astype(np.int64)), batch.column("dl").take(row), places]
+            yield pa.RecordBatch.from_arrays([*made, *(batch.column(c).take(row) for c in more)], names=["term", "chunk_id", "tf", "dl", "at", *more])
+
+    schema = f"term string, chunk_id {types['chunk_id']}, tf long, dl {types['dl']}, at array<int>"
+    return docs.mapInArrow(run, ", ".join([schema, *(f"`{c}` {types[c]}" for c in more)]))
 
 
 def _from_tokens(config: LexicalConfig, docs: DataFrame) -> LexicalIndex:

@@ -101,12 +101,15 @@ class Corpus:
             part = F.concat(F.format_string("%05d-", bucket), F.lit(version))
             held = [b for b in touched if versions.get(b)]
 
-            def write(name: str, new: DataFrame, dealt: bool = True) -> None:
-                """The rows of unchanged documents in touched buckets, and the new rows, as new versions of these buckets."""
+            def write(name: str, new: DataFrame, source: str | None = None) -> None:
+                """The rows of unchanged documents in touched buckets, and the new rows, as new versions of these buckets. Postings are
+                made of tokens once these are dealt out, as they are longer."""
                 rows = new
                 if held:
-                    rows = self._read(name, held).join(same, "doc_id", "left_semi").unionByName(new)
-                rows.select(*new.columns).withColumn("part", part).repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode("append").partitionBy("part").parquet(f"{self.path}/{name}")
+                    rows = self._read(source or name, held).join(same, "doc_id", "left_semi").unionByName(new)
+                rows = rows.select(*new.columns).withColumn("part", part).repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+                rows = lexical.postings_of(rows) if source else rows
+                rows.write.mode("append").partitionBy("part").parquet(f"{self.path}/{name}")
 
             chunking.chunk_corpus(given.join(anew, "doc_id", "left_semi"), self.policy, self.facts, self.skip_bad, self.vocabulary).write.parquet(f"{work}/chunks")
             made = spark.read.parquet(f"{work}/chunks")
@@ -125,12 +128,12 @@ class Corpus:
                 found = spark.read.parquet(f"{work}/vectors")
                 report["embedded"] = found.count()
                 write("vectors", found.unionByName(kept) if kept is not None else found)
-            tokens = lexical.tokenize(good.select("chunk_id", "chunk_text"), "chunk_id", "chunk_text", self.config).select("chunk_id", F.size("toks").alias("dl"), "toks")
-            tokens.join(good.select("chunk_id", "doc_id"), "chunk_id").write.parquet(f"{work}/tokens")
+            both = good.select(F.struct("chunk_id", "doc_id").alias("both"), "chunk_text")
+            tokens = lexical.tokenize(both, "both", "chunk_text", self.config).select("both.chunk_id", F.size("toks").alias("dl"), "toks", "both.doc_id")
+            tokens.write.parquet(f"{work}/tokens")
             new_tokens = spark.read.parquet(f"{work}/tokens")
             write("tokens", new_tokens)
-            postings = lexical.postings_of(new_tokens).join(good.select("chunk_id", "doc_id"), "chunk_id")
-            write("postings", postings.select("term", "chunk_id", "tf", "dl", "at", "doc_id"))
+            write("postings", new_tokens, "tokens")
             after = {b: versions.get(b) for b in range(self.buckets)} | {b: f"{b:05d}-{version}" for b in touched}
             n = int(self.commit().rsplit("/", 1)[-1]) + 1 if versions else 1
             spark.createDataFrame(list(after.items()), "bucket int, part string").coalesce(1).write.parquet(f"{self.path}/commits/{n:012d}")  # fails where another update was first
