@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from tessera.functions.text import ascii_tokens
 from tessera.operators.vectors import top_k
 from tessera.plans.providers import Transport
-from tessera.plans.scratch import fresh
+from tessera.plans.scratch import fresh, kept
 from tessera.plans.ship import ship_package
 
 
+#: Chunks of a result up to which the rest of a corpus is filtered by a broadcast of them.
+FEW = 200_000
+
+
 def min_max(score: str = "score", by: str = "qid") -> Column:
     """A query's scores on 0..1; all 1 where they don't differ."""
     w = Window.partitionBy(by)
@@ -30,7 +34,7 @@ def blend(dense: DataFrame, lexical: DataFrame, k: int, alpha: float = 0.6) -> D
     b = lexical.select("qid", "chunk_id", min_max().alias("l"))
     score = alpha * F.coalesce("d", F.lit(0.0)) + (1 - alpha) * F.coalesce("l", F.lit(0.0))
     joined = a.join(b, ["qid", "chunk_id"], "full_outer").select("qid", "chunk_id", F.round(score, 9).alias("score"))
-    return top_k(joined, k)
+    return kept(top_k(joined, k), "blend")
 
 
 def reciprocal_ranks(systems: list[DataFrame], limit: int = 250, constant: int = 60) -> DataFrame:
@@ -43,6 +47,9 @@ def reciprocal_ranks(systems: list[DataFrame], limit: int = 250, constant: int =
 def hydrate(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Results with their chunks' columns; a result without a chunk is an error."""
     names = [c for c in chunks.columns if c not in results.columns or c == "chunk_id"]
+    wanted = results.select("chunk_id").distinct()
+    if wanted.limit(FEW + 1).count() <= FEW:  # then other chunks are dropped where they are read
+        chunks = chunks.join(F.broadcast(wanted), "chunk_id", "left_semi")
     marked = chunks.select(*names, F.lit(True).alias("__found"))
     found = F.coalesce(F.col("__found"), F.raise_error(F.concat(F.lit("no chunk "), F.col("chunk_id").cast("string"))).cast("boolean"))
     return results.join(marked, "chunk_id", "left").filter(found).drop("__found")

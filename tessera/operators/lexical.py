@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.stem import porter, stem_lists
 from tessera.functions.text import ascii_tokens, phrases, without_words
 from tessera.operators.vectors import top_k
-from tessera.plans.scratch import fresh
+from tessera.plans.scratch import fresh, kept
 from tessera.plans.ship import batches_of, ship_package
 
 
@@ -48,6 +48,9 @@ TERM_BLOCK = 100_000
 #: Postings of a block on average, levels of impact that a term's postings are told apart by, and the number of postings
 #: of all query terms from which on a search prunes by blocks.
 BLOCK, LEVELS, PRUNE_FROM = 256, 16, 20_000_000
+#: Where an index is written: tokens that a task groups at a time, postings of a row at most, and how many tasks rows of
+#: SALT_FROM postings and more are dealt to.
+GROUP, PIECE, SALTS, SALT_FROM = 1_000_000, 1024, 16, 64
 
 
 @dataclass
@@ -71,8 +74,8 @@ class LexicalIndex:
     def save(self, path: str) -> None:
         """Tokens first, so that texts are split once; then blocks, of which all other tables are sums or views.
 
-        A task groups what it meets by term and level before anything is shuffled, and ranges of (term, level, chunks) are sorted and
-        cut into blocks as they stand, so that a term of every chunk spreads over many tasks.
+        A task groups what it meets by term before anything is shuffled, in rows of PIECE postings at most. Rows are dealt by term, long
+        ones over SALTS tasks, so that a term of every chunk spreads over many; levels are told apart and blocks cut where rows arrive.
         """
         spark, c = self.postings.sparkSession, self.config
         ship_package(spark)
@@ -84,8 +87,32 @@ class LexicalIndex:
         ids = dict(tokens.dtypes)["chunk_id"]
         lists = f"chunk_id array<{ids}>, tf array<int>, dl array<int>, at array<array<int>>"
 
+        def binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+            """Integers of 32 bits as they lie in memory, cut into rows: these cross from Python to Spark and back as they are."""
+            offsets = np.concatenate([[0], ends]).astype(np.int32) * 4
+            return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values, dtype=np.int32))])
+
+        def integers(column: pa.Array) -> np.ndarray:
+            offsets, data = np.frombuffer(column.buffers()[1], dtype=np.int32), column.buffers()[2]
+            held = np.frombuffer(data, dtype=np.int32, count=data.size // 4)
+            return held[offsets[column.offset] // 4 : offsets[column.offset + len(column)] // 4]
+
+        def gathered(batches):
+            """Batches put together up to GROUP tokens, which bound what a worker sorts."""
+            held, size = [], 0
+            for batch in batches:
+                n = pc.sum(batch.column("dl")).as_py() or 0
+                if held and size + n > GROUP:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held, size = [], 0
+                if batch.num_rows:
+                    held.append(batch)
+                    size += n
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
         def grouped(batches):
-            for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):  # bounds what a worker sorts
+            for batch in gathered(batches):
                 n = batch.num_rows
                 lengths = pc.list_value_length(batch.column("toks")).to_numpy()
                 if not lengths.sum():
@@ -98,52 +125,54 @@ class LexicalIndex:
                 keys = keys[order]
                 first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 tf, term, row = np.diff(np.concatenate([first, [len(keys)]])), keys[first] // n, keys[first] % n
-                dl = batch.column("dl").to_numpy()[row]
-                impact = tf * (c.k1 + 1) / (tf + c.k1 * (1 - c.b + c.b * dl / avgdl))
-                level = np.minimum(LEVELS - 1, (impact / (c.k1 + 1) * LEVELS).astype(np.int64))
-                places = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(keys)]]).astype(np.int32)), pa.array(place[order].astype(np.int32)))
-                dealt = np.lexsort((level, term))
-                term, level = term[dealt], level[dealt]
-                begins = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (level[1:] != level[:-1])]))
-                offsets = pa.array(np.concatenate([begins, [len(term)]]).astype(np.int32))
-                values = [batch.column("chunk_id").take(pa.array(row[dealt])), pa.array(tf[dealt].astype(np.int32)), pa.array(dl[dealt].astype(np.int32)), places.take(pa.array(dealt))]
-                told = [words.dictionary.take(pa.array(term[begins])), pa.array(level[begins].astype(np.int32)), pa.array(np.maximum.reduceat(impact[dealt], begins))]
-                yield pa.RecordBatch.from_arrays([*told, *(pa.ListArray.from_arrays(offsets, v) for v in values)], names=["term", "level", "peak", "chunk_id", "tf", "dl", "at"])
+                within = np.arange(len(term)) - np.searchsorted(term, term)
+                begins = np.flatnonzero(within % PIECE == 0)  # a row's size is bounded, however frequent its term is
+                ends = np.append(begins[1:], len(term))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), batch.column("chunk_id").take(pa.array(row)))
+                both = np.stack([tf, batch.column("dl").to_numpy()[row]], axis=1).ravel()
+                made = [words.dictionary.take(pa.array(term[begins])), lists, binary(both, 2 * ends), binary(place[order], np.cumsum(tf)[ends - 1])]
+                yield pa.RecordBatch.from_arrays(made, names=["term", "chunk_id", "sizes", "places"])
 
         def blocks(batches):
-            key, after = None, 0
+            key, after = None, {}
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                lists = [batch.column(c) for c in ("chunk_id", "tf", "dl", "at")]
-                begins = np.concatenate([[0], np.cumsum(pc.list_value_length(lists[0]).to_numpy())])
-                terms, levels = batch.column("term").dictionary_encode().indices.to_numpy(), batch.column("level").to_numpy()
-                first = np.concatenate([[True], (terms[1:] != terms[:-1]) | (levels[1:] != levels[:-1])])
-                run = np.cumsum(first) - 1
-                full = (begins[:-1] - begins[np.flatnonzero(first)][run]) // BLOCK  # blocks filled before, in this run
-                starts = np.flatnonzero(first | np.concatenate([[False], full[1:] != full[:-1]]))
-                ends = np.concatenate([begins[starts], begins[-1:]])
-                no = np.arange(len(starts)) - np.searchsorted(run[starts], run[starts])
-                mine = batch.take(pa.array(starts))
-                names = list(zip(mine.column("term").to_pylist(), mine.column("level").to_pylist(), strict=True))
-                if names[0] == key:
-                    no[run[starts] == 0] += after
-                key, after = names[-1], int(no[-1]) + 1
-                offsets = pa.array(ends.astype(np.int32))
-                told = [pa.array(no.astype(np.int64)), pa.array(np.diff(ends).astype(np.int64)), pa.array(np.maximum.reduceat(batch.column("peak").to_numpy(), starts))]
-                whole = [pa.ListArray.from_arrays(offsets, c.flatten()) for c in lists]
-                yield pa.RecordBatch.from_arrays([mine.column("term"), mine.column("level"), *told, *whole], names=["term", "level", "slice", "n", "peak", "chunk_id", "tf", "dl", "at"])
-
-        id_type = tokens.select("chunk_id").limit(0).toArrow().schema.field(0).type
-        dealt = tokens.mapInArrow(grouped, f"term string, level int, peak double, {lists}")
-        order = ["term", "level", F.xxhash64("chunk_id")]
-        dealt = dealt.repartitionByRange(*order).sortWithinPartitions("term", "level")
+                ids, sizes = batch.column("chunk_id"), integers(batch.column("sizes"))
+                names = batch.column("term")
+                coded = names.dictionary_encode().indices.to_numpy()
+                first = np.flatnonzero(np.concatenate([[True], coded[1:] != coded[:-1]]))  # rows are sorted by term
+                run = np.repeat(np.arange(len(first)), np.diff(np.append(first, batch.num_rows)))
+                term = np.repeat(run, pc.list_value_length(ids).to_numpy())
+                tf, dl = sizes[0::2].astype(np.int64), sizes[1::2]
+                impact = tf * (c.k1 + 1) / (tf + c.k1 * (1 - c.b + c.b * dl / avgdl))
+                level = np.minimum(LEVELS - 1, (impact / (c.k1 + 1) * LEVELS).astype(np.int64))
+                dealt = np.lexsort((level, term))
+                term, level, impact = term[dealt], level[dealt], impact[dealt]
+                both = term * LEVELS + level
+                within = np.arange(len(both)) - np.searchsorted(both, both)
+                begins = np.flatnonzero(within % BLOCK == 0)
+                no, offsets = within[begins] // BLOCK, pa.array(np.append(begins, len(both)).astype(np.int32))
+                mine, levels = term[begins], level[begins]
+                if names[0].as_py() == key:
+                    no[mine == 0] += np.array([after.get(x, 0) for x in levels[mine == 0].tolist()], dtype=np.int64)
+                last = mine == len(first) - 1
+                after = {**(after if len(first) == 1 and names[0].as_py() == key else {}), **dict(zip(levels[last].tolist(), (no[last] + 1).tolist(), strict=True))}
+                key = names[-1].as_py()
+                at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tf)]).astype(np.int32)), pa.array(integers(batch.column("places"))))
+                told = [names.take(pa.array(first[mine])), pa.array(levels.astype(np.int32)), pa.array(no), pa.array(np.diff(np.append(begins, len(both)))), pa.array(np.maximum.reduceat(impact, begins))]
+                values = [ids.flatten().take(pa.array(dealt)), pa.array(tf[dealt].astype(np.int32)), pa.array(dl[dealt]), at.take(pa.array(dealt))]
+                yield pa.RecordBatch.from_arrays([*told, *(pa.ListArray.from_arrays(offsets, v) for v in values)], names=["term", "level", "slice", "n", "peak", "chunk_id", "tf", "dl", "at"])
+
+        dealt = tokens.mapInArrow(grouped, f"term string, chunk_id array<{ids}>, sizes binary, places binary")
+        salt = F.when(F.size("chunk_id") < SALT_FROM, 0).otherwise(F.pmod(F.xxhash64("sizes"), F.lit(SALTS)))
+        dealt = dealt.repartition("term", salt).sortWithinPartitions("term")
         cut = dealt.mapInArrow(blocks, f"term string, level int, slice long, n long, peak double, {lists}")
-        with batches_of(spark, 1000):  # a row of a frequent term holds the places of a batch's chunks
+        with batches_of(spark, 5000, 8 << 20):
             compact(cut).parquet(f"{path}/blocks")
         written = spark.read.parquet(f"{path}/blocks")
         levels = written.groupBy("term", "level").agg((F.max("slice") + 1).alias("slices"), F.sum("n").alias("n"), F.max("peak").alias("peak"))
-        compact(levels.repartitionByRange("term").sortWithinPartitions("term")).parquet(f"{path}/levels")
+        compact(levels).parquet(f"{path}/levels")
         compact(spark.read.parquet(f"{path}/levels").groupBy("term").agg(F.sum("n").alias("df"))).parquet(f"{path}/term_stats")
 
     @classmethod
@@ -265,7 +294,8 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, prune: bool | None =
 
     Each quoted phrase of a query that a scored chunk holds adds `phrase_boost` to the factor of its score. Scores are rounded
     to nine decimals, so that ties are ties. `prune`: read the blocks alone that may hold one of the best (see `pruned`); by
-    default where the query terms have PRUNE_FROM postings together and the index has blocks. The rows are the same.
+    default where the query terms have PRUNE_FROM postings together and the index has blocks. The rows are the same. They are
+    written once, so that what reads them twice searches once.
     """
     c = index.config
     terms = query_terms(queries, c)
@@ -278,27 +308,118 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, prune: bool | None =
     if prune:
         if index.blocks is None or (told := index.corpus.select("k1", "b").first()) is None or (told["k1"], told["b"]) != (c.k1, c.b):
             raise ValueError("only a written index of the same k1 and b has blocks to prune by")
-        boosted = F.lit(bool(c.phrase_boost)) & (F.size(phrases(F.col("query"))) > 0)  # a boost is no part of the bounds
-        plain = queries.filter(boosted)
-        some = plain.select("qid").distinct()
-        best = pruned(index, weights.join(some, "qid", "left_anti"), k)[0]
-        weights = weights.join(some, "qid", "left_semi")
-        if some.isEmpty():
-            return best
+        some = queries.filter(F.size(phrases(F.col("query"))) > 0)
+        best = pruned(index, weights, k)[0]
+        if not c.phrase_boost or some.isEmpty():
+            return kept(best, "found")
+        if c.phrase_boost > 0:
+            return kept(_boosted(index, some, weights, best, k), "found")
+        plain, some = some, some.select("qid").distinct()  # what lowers scores may raise any other chunk
+        best, weights = best.join(some, "qid", "left_anti"), weights.join(some, "qid", "left_semi")
     hits = weights.join(postings, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # one row
     scored = hits.groupBy("qid", "chunk_id").agg(F.sum(F.col("w") * _impact(c)).alias("score"))
     if c.phrase_boost:
-        scored = scored.join(phrase_hits(index, plain), ["qid", "chunk_id"], "left").withColumn("score", F.col("score") * (1 + c.phrase_boost * F.coalesce("n", F.lit(0)))).drop("n")
+        met = phrase_hits(index, plain) if index.blocks is None else phrases_met(index, plain)
+        scored = scored.join(met, ["qid", "chunk_id"], "left").withColumn("score", F.col("score") * (1 + c.phrase_boost * F.coalesce("n", F.lit(0)))).drop("n")
     found = top_k(scored.withColumn("score", F.round("score", 9)), k)
-    return found.unionByName(best) if prune else found
+    return kept(found.unionByName(best) if prune else found, "found")
 
 
 #: Terms of at most so many postings are read whole for the floor; of the floor, what the terms left out may add up to.
 SEED, SHARE = 512, 0.7
+#: Quoted phrases up to which chunks' tokens are searched for all of them at once.
+PHRASES = 10_000
 #: Bounds and scores are sums in any order; a bound this little below a score still counts.
 SLACK = 1e-7
 
 
+def _held(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """(chunk_id, dl, term, tf) of the terms asked for, counted where the chunks lie."""
+    asked = terms.select("term").distinct()
+    if (some := asked.limit(TERM_BLOCK + 1).collect()) and len(some) > TERM_BLOCK:
+        return tokens.select("chunk_id", "dl", F.explode("toks").alias("term")).join(asked, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    ship_package(tokens.sparkSession)
+    types, words = dict(tokens.dtypes), [r["term"] for r in some]
+
+    def run(batches):
+        known = pa.array(words, pa.string())
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            lists = batch.column("toks")
+            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy()
+            doc = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            keys, tf = np.unique(doc[found >= 0] * max(len(known), 1) + found[found >= 0], return_counts=True)
+            row = pa.array(keys // max(len(known), 1))
+            made = [batch.column("chunk_id").take(row), batch.column("dl").take(row), known.take(pa.array(keys % max(len(known), 1))), pa.array(tf.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(made, names=["chunk_id", "dl", "term", "tf"])
+
+    return tokens.select("chunk_id", "dl", "toks").mapInArrow(run, f"chunk_id {types['chunk_id']}, dl {types['dl']}, term string, tf long")
+
+
+def _whole(index: LexicalIndex, weights: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(qid, chunk_id, score) of (qid, chunk_id), from the tokens of these chunks."""
+    tokens = index.doc_stats.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    rated = _held(tokens, weights).crossJoin(F.broadcast(index.corpus.select("avgdl"))).select("chunk_id", "term", _impact(index.config).alias("impact"))  # one row
+    return pairs.join(rated, "chunk_id").join(weights, ["qid", "term"]).groupBy("qid", "chunk_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+
+
+def phrases_met(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """The rows of `phrase_hits`, from the tokens where the chunks lie, so that no posting is shuffled. A phrase is looked for
+    where its rarest term stands. More than PHRASES phrases are met by their places instead."""
+    quoted = queries.select("qid", F.posexplode(phrases(F.col("query"))).alias("nth", "phrase")).withColumn("pid", F.concat_ws("#", F.col("qid").cast("string"), "nth"))
+    each = quoted.select("qid", "pid").join(tokenize(quoted, "pid", "phrase", index.config), "pid").filter(F.size("toks") > 0)
+    rows = each.select("qid", "toks").limit(PHRASES + 1).collect()
+    if len(rows) > PHRASES:
+        return phrase_hits(index, queries)
+    spark, types = queries.sparkSession, {**dict(index.doc_stats.dtypes), "qid": dict(queries.dtypes)["qid"]}
+    ship_package(spark)
+    words = sorted({t for r in rows for t in r["toks"]})
+    df = dict(index.term_stats.join(F.broadcast(spark.createDataFrame([(w,) for w in words], "term string")), "term").collect())  # of PHRASES phrases at most
+    number = {w: i for i, w in enumerate(words)}
+    there = sorted({tuple(r["toks"]) for r in rows if all(t in df for t in r["toks"])}, key=lambda p: number[min(p, key=lambda t: (df[t], t))])
+    given = [(r["qid"], there.index(tuple(r["toks"]))) for r in rows if tuple(r["toks"]) in set(there)]
+    rare = [min(p, key=lambda t: (df[t], t)) for p in there]
+    anchor = np.array([number[t] for t in rare], dtype=np.int64)
+    offset, length = np.array([p.index(t) for p, t in zip(there, rare, strict=True)], dtype=np.int64), np.array([len(p) for p in there], dtype=np.int64)
+    terms = np.full((len(there), int(length.max(initial=1))), -1, dtype=np.int64)
+    for i, p in enumerate(there):
+        terms[i, : len(p)] = [number[t] for t in p]
+    begin = np.searchsorted(anchor, np.arange(len(words) + 1))
+
+    def run(batches):
+        known = pa.array(words, pa.string())
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            n, lists = batch.num_rows, batch.column("toks")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy().astype(np.int64)
+            place = np.flatnonzero(found >= 0)
+            many = begin[found[place] + 1] - begin[found[place]]  # phrases that have this term as their rarest
+            p = np.repeat(begin[found[place]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            place = np.repeat(place, many)
+            doc = np.searchsorted(ends, place, side="right")
+            start = place - offset[p]
+            ok = (start >= np.where(doc > 0, ends[doc - 1], 0)) & (start + length[p] <= ends[doc]) if len(doc) else np.zeros(0, dtype=bool)
+            p, doc, start = p[ok], doc[ok], start[ok]
+            for j in range(terms.shape[1]):
+                ok = (j >= length[p]) | (found[np.minimum(start + j, len(found) - 1)] == terms[p, j]) if len(p) else np.zeros(0, dtype=bool)
+                p, doc, start = p[ok], doc[ok], start[ok]
+            keys = np.unique(p * n + doc)
+            yield pa.RecordBatch.from_arrays([pa.array(keys // n if n else keys), batch.column("chunk_id").take(pa.array(keys % n if n else keys))], names=["p", "chunk_id"])
+
+    met = index.doc_stats.select("chunk_id", "toks").mapInArrow(run, f"p long, chunk_id {types['chunk_id']}")
+    asked = spark.createDataFrame(given, f"qid {types['qid']}, p long")
+    return met.join(F.broadcast(asked), "p").groupBy("qid", "chunk_id").agg(F.count("*").alias("n"))  # of PHRASES phrases at most
+
+
+def _boosted(index: LexicalIndex, queries: DataFrame, weights: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """The `k` best where phrases raise scores, out of the best without them: a chunk without a phrase that is one of the k best
+    is one of `best`, as the others' scores rise only. Chunks with a phrase are scored whole."""
+    hits = kept(phrases_met(index, queries), "phrases")
+    raised = _whole(index, weights, hits.select("qid", "chunk_id")).join(hits, ["qid", "chunk_id"])
+    raised = raised.select("qid", "chunk_id", F.round(F.col("score") * (1 + index.config.phrase_boost * F.col("n")), 9).alias("score"))
+    rest = best.select("qid", "chunk_id", "score").join(hits, ["qid", "chunk_id"], "left_anti")
+    return top_k(rest.unionByName(raised), k)
+
+
 def pruned(index: LexicalIndex, weights: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """The `k` best of each query, and (step, rows, n): the blocks and their postings, or the chunks and their tokens, that
     each step read.
@@ -313,28 +434,23 @@ def pruned(index: LexicalIndex, weights: DataFrame, k: int) -> tuple[DataFrame,
     c, spark = index.config, weights.sparkSession
     path = fresh(spark, "bounds")
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
+    def part(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    weights = kept(weights, "weights")
-    levels = kept(index.levels.join(weights.select("term").distinct(), "term", "left_semi"), "levels")
+    weights = part(weights, "weights")
+    levels = part(index.levels.join(weights.select("term").distinct(), "term", "left_semi"), "levels")
     tops = levels.groupBy("term").agg(F.max("peak").alias("peak"), F.max("level").alias("top"), F.sum("n").alias("all"))
     asked = weights.join(tops, "term").select("qid", "term", "w", "top", "all", (F.col("w") * F.col("peak")).alias("u"))
 
     def entries(blocks: DataFrame, name: str) -> DataFrame:
         """(term, level, slice, chunk_id, tf, dl) of the blocks named."""
-        named = kept(blocks.select("term", "level", "slice").distinct(), name)
+        named = part(blocks.select("term", "level", "slice").distinct(), name)
         found = index.blocks.join(named, ["term", "level", "slice"])
         return _opened(found, "term", "level", "slice", columns=("chunk_id", "tf", "dl")).crossJoin(F.broadcast(index.corpus.select("avgdl"))).withColumn("impact", _impact(c))  # one row
 
     def whole(pairs: DataFrame, name: str) -> DataFrame:
-        """(qid, chunk_id, score) of (qid, chunk_id), from the tokens of these chunks."""
-        pairs = kept(pairs, name)
-        tokens = index.doc_stats.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
-        held = tokens.select("chunk_id", "dl", F.explode("toks").alias("term")).join(weights.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-        rated = held.crossJoin(F.broadcast(index.corpus.select("avgdl"))).select("chunk_id", "term", _impact(c).alias("impact"))  # one row
-        return pairs.join(rated, "chunk_id").join(weights, ["qid", "term"]).groupBy("qid", "chunk_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+        return _whole(index, weights, part(pairs, name))
 
     few = (F.col("level") >= F.col("top") - 1) | (F.col("all") <= SEED)
     first = asked.join(levels, "term").filter(few).select("qid", "term", "w", "level", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("all") <= SEED, F.col("slices") - 1).otherwise(0))).alias("slice"))
@@ -342,7 +458,7 @@ def pruned(index: LexicalIndex, weights: DataFrame, k: int) -> tuple[DataFrame,
     floors = top_k(whole(top_k(seeds, 4 * k).select("qid", "chunk_id"), "seeds"), k).filter(F.col("rank") == k).select("qid", (F.col("score") - SLACK).alias("floor"))
     below = Window.partitionBy("qid").orderBy("u", "term").rowsBetween(Window.unboundedPreceding, 0)
     ranked = asked.join(floors, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).select("*", F.sum("u").over(below).alias("below"), F.sum("u").over(Window.partitionBy("qid")).alias("every"))
-    ranked = kept(ranked.withColumn("essential", F.col("below") >= SHARE * F.col("floor")), "ranked")
+    ranked = part(ranked.withColumn("essential", F.col("below") >= SHARE * F.col("floor")), "ranked")
     left = ranked.groupBy("qid").agg(F.max("floor").alias("floor"), F.coalesce(F.sum(F.when(~F.col("essential"), F.col("u"))), F.lit(0.0)).alias("rest"))
 
     reach = F.col("w") * F.col("peak") + F.col("every") - F.col("u") + SLACK >= F.col("floor")

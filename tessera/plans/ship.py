@@ -28,13 +28,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While this holds, jobs that start give Python workers at most so many rows at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
+def batches_of(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
+    """While this holds, jobs that start give Python workers at most so many rows, and about so many bytes, at a time."""
+    key, bytes_key = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, bytes_before = spark.conf.get(key), spark.conf.get(bytes_key)
     if int(before) <= 0 or int(before) > rows:
         spark.conf.set(key, str(rows))
+    if size:
+        spark.conf.set(bytes_key, str(size))
     try:
         yield
     finally:
         spark.conf.set(key, before)
+        spark.conf.set(bytes_key, bytes_before)

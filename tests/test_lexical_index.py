@@ -70,3 +70,31 @@ def test_blocks_hold_every_posting_once(index):
     with pytest.raises(ValueError, match="k1"):
         other = lexical.LexicalIndex(lexical.LexicalConfig(k1=2.0), index.postings, index.doc_stats, index.term_stats, index.corpus, index.blocks, index.levels)
         lexical.search(other, index.doc_stats.sparkSession.createDataFrame([(1, "the")], "qid long, query string"), 3, prune=True)
+
+
+def test_no_block_outgrows_its_size(index):
+    assert index.blocks.agg(F.max("n")).first()[0] <= lexical.BLOCK < index.term_stats.filter("term = 'the'").first()["df"]
+
+
+def test_phrases_met_where_chunks_lie(spark, index, queries, monkeypatch):
+    want = sorted(map(tuple, lexical.phrase_hits(index, queries).select("qid", "chunk_id", "n").collect()))
+    found = lexical.phrases_met(index, queries)
+    assert sorted(map(tuple, found.select("qid", "chunk_id", "n").collect())) == want
+    assert "at#" not in found._jdf.queryExecution().optimizedPlan().toString()  # no posting is shuffled
+    assert lexical.phrases_met(index, queries.filter("qid = 105")).isEmpty()
+    unknown = spark.createDataFrame([(1, '"nowhere at all"')], "qid long, query string")
+    assert lexical.phrases_met(index, unknown).isEmpty()
+    monkeypatch.setattr(lexical, "PHRASES", 2)
+    assert sorted(map(tuple, lexical.phrases_met(index, queries).select("qid", "chunk_id", "n").collect())) == want
+
+
+def test_boosted_queries_are_pruned_too(spark, index, monkeypatch):
+    queries = spark.createDataFrame([(100, 'the "alpha beta" of'), (101, '"beta the alpha" "the the"')], "qid long, query string")
+    plain = [sorted(map(tuple, lexical.search(index, queries, k, prune=False).collect())) for k in (1, 7, 2000)]
+    monkeypatch.setattr(lexical, "phrase_hits", None)  # places, and all postings of the terms, are not asked for
+    assert [sorted(map(tuple, lexical.search(index, queries, k, prune=True).collect())) for k in (1, 7, 2000)] == plain
+
+
+def test_results_are_searched_once(index, queries):
+    plan = lexical.search(index, queries, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
