@@ -60,9 +60,10 @@ def decode(rows: DataFrame, model_path: str) -> DataFrame:
 
 
 def digest(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids, of the decoded text and of the spans, out of `encode`'s rows."""
+    """doc_id, n_tokens, digests of the ids and of the decoded text, and the byte that the last span ends at (0 without ids), out of
+    `encode`'s rows: one row for each, whether it has ids or not."""
     joined = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
     return encoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), joined("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("covered_bytes"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("covered_bytes"),
     )

@@ -1,6 +1,7 @@
 """Codec, collocations and source divergence against the library, brute force, and the odd rows each must bear."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -74,6 +75,18 @@ def test_codec_bears_odd_rows(spark, odd):
     assert piece_codec.digest(piece_codec.encode(odd.limit(0), tokenizer_path(MODEL), decoded=True)).count() == 0
 
 
+def test_digest_bears_texts_without_ids(spark, odd):
+    library = _library()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = piece_codec.digest(piece_codec.encode(odd, tokenizer_path(MODEL), decoded=True)).collect()
+    want = collections.Counter()
+    for i, t in ODD:
+        ids = library.encode(t or "")
+        want[i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)), len((t or "").encode())] += 1
+    assert any(n == 0 for _, n, *_ in want)
+    assert collections.Counter(map(tuple, got)) == want
+
+
 def _brute_phrases(rows, least, top):
     f, n = collections.defaultdict(collections.Counter), collections.Counter()
     for lang, text in rows:
