@@ -23,6 +23,8 @@ STABLE = re.compile("[\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-Ƞ‐-‧‰
 #: The same pattern with the classes of `re`, equal on stable code points and faster.
 _find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 _gap = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])").search
+#: Characters that the faster library cuts by itself, at most.
+LONGEST = 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -126,7 +128,15 @@ class Texts:
     def ids(self, text: str) -> list[int]:
         if self.faster is None or not self.plain(text):
             return _ids(self.tokenizer, [text])[0]
-        return [i for part in stretches(text) for i in self.faster.encode_ordinary(part)]
+        return [i for part in stretches(text) for i in self._merged_ids(part)]
+
+    def _merged_ids(self, part: str) -> list[int]:
+        """The faster library steps back through white space and breaks off after a million steps: what `stretches` left
+        longer than `LONGEST` is cut into pre-tokens here."""
+        if len(part) <= LONGEST:
+            return self.faster.encode_ordinary(part)
+        merge = self.faster._core_bpe.encode_single_piece
+        return [i for t in _find(part) for i in merge(t.encode())]
 
 
 class Counter(Texts):

@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from tessera.llm import collocations, divergence, embedding_dedup, piece_codec, pieces
+from tessera.llm import collocations, divergence, embedding_dedup, piece_codec, pieces, pretoken
 from tessera.llm.queries import tokenizer_path
 
 LONG = "lorem ipsum, dolor " * 20_000
@@ -226,3 +226,11 @@ def test_code_bits_bound_the_angle():
         assert (bits(a, pair) <= embedding_dedup.most_apart(dim, 0.98, 1e-9)).all()
         if dim > 2:
             assert (bits(a, b) > embedding_dedup.most_apart(dim, 0.98, 1e-9)).mean() > 0.95
+
+
+def test_ids_of_long_white_space_equal_the_library():
+    path = tokenizer_path("byte_bpe_50k.json")
+    own, library = pretoken.Texts(path), pretoken._load(path)[0]
+    wide = 1_100_000
+    for text in ("a b" + " " * wide + "c d 12", "\n" * wide, "x y\t " + "\t " * (wide // 2), "word " * 120_000 + "," * 600_000 + " it's  so " + " " * 9):
+        assert own.plain(text) and own.ids(text) == library.encode(text, add_special_tokens=False).ids
